@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from coursewright.llm import mixing, sharding
-from coursewright.llm.common import documents
+from coursewright.llm import chat, fingerprints, langid, licenses, mixing, sharding
+from coursewright.llm.common import documents, table
 
 QUERIES = {
+    "op1_fingerprints": lambda spark, sf_dir: fingerprints.query(documents(spark, sf_dir)),
+    "op2_licenses": lambda spark, sf_dir: licenses.query(documents(spark, sf_dir)),
     "op3_sharding": lambda spark, sf_dir: sharding.query(documents(spark, sf_dir)),
+    "op4_chat": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
+    "op6_langid": lambda spark, sf_dir: langid.query(documents(spark, sf_dir)),
     "op10_mixing": lambda spark, sf_dir: mixing.query(documents(spark, sf_dir)),
 }
 
 ORACLES = {
+    "op2_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
