@@ -159,6 +159,7 @@ class Words:
         self.start, self.end = edges[0::2], edges[1::2]
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(random[raw] * up[:n], out=sums[1:])
+        self.sums, self.down = sums, down
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
         self.text = np.searchsorted(offs, self.start, side="right") - 1
         #: text i has words first[i] to first[i + 1]
@@ -167,6 +168,11 @@ class Words:
     def __len__(self) -> int:
         return len(self.hash)
 
+    def prefix_hash(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of the words ``at``, which have as many."""
+        first = self.start[at]
+        return mix((self.sums[first + k] - self.sums[first]) * self.down[first] + np.uint64(k))
+
     def grams(self, n: int, whole_short: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of n words within a text, and the index of the first word of each.
 

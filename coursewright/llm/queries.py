@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursewright.llm import chat, fingerprints, langid, licenses, mixing, sharding
+from coursewright.llm import chat, fingerprints, langid, licenses, mixing, neardup, sharding, toxicity
 from coursewright.llm.common import documents, table
 
 QUERIES = {
@@ -10,7 +10,9 @@ QUERIES = {
     "op2_licenses": lambda spark, sf_dir: licenses.query(documents(spark, sf_dir)),
     "op3_sharding": lambda spark, sf_dir: sharding.query(documents(spark, sf_dir)),
     "op4_chat": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
+    "op5_neardup": lambda spark, sf_dir: neardup.query(documents(spark, sf_dir)),
     "op6_langid": lambda spark, sf_dir: langid.query(documents(spark, sf_dir)),
+    "op9_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op10_mixing": lambda spark, sf_dir: mixing.query(documents(spark, sf_dir)),
 }
 
