@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursewright.llm import chat, fingerprints, langid, licenses, mixing, neardup, sharding, toxicity
+from coursewright.llm import chat, decontaminate, fingerprints, langid, licenses, mixing, neardup, passages, sharding, toxicity
 from coursewright.llm.common import documents, table
 
 QUERIES = {
@@ -12,6 +12,8 @@ QUERIES = {
     "op4_chat": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
     "op5_neardup": lambda spark, sf_dir: neardup.query(documents(spark, sf_dir)),
     "op6_langid": lambda spark, sf_dir: langid.query(documents(spark, sf_dir)),
+    "op7_decontaminate": lambda spark, sf_dir: decontaminate.query(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
+    "op8_passages": lambda spark, sf_dir: passages.query(documents(spark, sf_dir)),
     "op9_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op10_mixing": lambda spark, sf_dir: mixing.query(documents(spark, sf_dir)),
 }
