@@ -108,6 +108,21 @@ def predict(docs: DataFrame, dictionaries: list[tuple[str, bytes]], keep: list[s
     return rows.mapInArrow(work, schema)
 
 
+def accepted(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns and no other."""
+    langs, said = [lang for lang, _ in dictionaries], "__normalised_text"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, long = compressors(dictionaries, SHORT_LEVEL), compressors(dictionaries, LEVEL)
+        for batch in blocks(batches, said):
+            raw, offs = buffers(texts_of(batch.column(said)))
+            whole, cuts = raw.tobytes(), offs.tolist()
+            keep = [bool(langs) and b > a and decide(sizes(whole[a:b], short, long), langs)[2] >= MARGIN for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield batch.drop_columns([said]).filter(pa.array(keep, pa.bool_()))
+
+    return docs.withColumn(said, normalised(F.col("text"))).mapInArrow(work, docs.schema)
+
+
 def held_out(docs: DataFrame, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(docs["doc_id"].cast("string")), F.lit(folds)) == fold, F.lit(False))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import partitions, stored, word_count
+from coursewright.llm.common import WORD_PATTERN, partitions, stored, word_count
 
 #: Words in a block, and slots that an output shard has on average.
 BLOCK_WORDS, SHARD_SLOTS = 1024, 1024
@@ -34,6 +34,11 @@ def number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+def row_hash() -> Column:
+    """Equal for rows of equal doc_id, source and text."""
+    return F.xxhash64(*[x for c in ("doc_id", "source", "text") for x in (F.col(c), F.col(c).isNull())])
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and key (the source as a string that is never null)."""
     return docs.select(
@@ -42,6 +47,7 @@ def sized(docs: DataFrame) -> DataFrame:
         word_count(F.col("text")).alias("size"),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("key"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"),
+        row_hash().alias("row"),
     )
 
 
@@ -75,7 +81,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEA
 
 
 def slots(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """key, slot, block, len (words used of the block), shard: a row per slot, from rows (key, source_size, target)."""
+    """key, slot, turn (pass over the source), block, len (words used of the block), draw: a row per slot, from rows (key, source_size, target).
+
+    ``draw`` is a pseudorandom number; modulo a count of output shards it is the slot's shard.
+    """
     spark, b = sources.sparkSession, block_words
     per = (
         sources.filter("source_size > 0")
@@ -103,7 +112,7 @@ def slots(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) ->
         .withColumn("at", F.expr("slot % blocks"))
         .withColumn("block", F.when(F.col("at") < F.col("whole"), permuted).otherwise(F.col("whole")))
         .withColumn("len", F.when(in_rest & (F.col("at") == F.col("rest_whole")), F.col("rest_part")).when(F.col("at") < F.col("whole"), F.lit(b).cast("long")).otherwise(F.col("tail")))
-        .select("key", "slot", "block", "len", number(F.lit(seed), F.lit("s"), F.col("key"), F.col("slot")).alias("draw"))
+        .select("key", "slot", "turn", "block", "len", number(F.lit(seed), F.lit("s"), F.col("key"), F.col("slot")).alias("draw"))
     )
 
 
@@ -115,9 +124,9 @@ def shard_counts(dealt: DataFrame, n_shards: int) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Taken words of each row, and the slots.
 
-    First: doc_id, source, size, source_size, target, start (of the row's words in its source),
-    taken, and takes: an array of (turn's slot, shard, first, words) for each run of words taken.
-    Second: what ``slots`` gives.
+    First: row, doc_id, source, size, source_size, target, start (of the row's words in its
+    source), taken, and takes: an array of (turn, slot, draw, first, words) for each run of
+    words taken. Second: what ``slots`` gives.
     """
     base = stored(sized(docs), "mix-sizes")
     bucket = F.substring("h", 1, PREFIX)
@@ -133,7 +142,7 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple
     )
     dealt = slots(targets, seed, block_words)
     last = F.expr(f"(start + size - 1) div {block_words}")
-    keep = ["doc_id", "source", "size", "source_size", "target"]
+    keep = ["row", "doc_id", "source", "size", "source_size", "target"]
     pieces = (
         placed.filter("size > 0")
         .select(*keep, "key", "start", F.explode(F.sequence(F.expr(f"start div {block_words}"), last)).alias("block"))
@@ -142,17 +151,44 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple
     )
     words = F.greatest(F.least(F.col("hi"), F.coalesce(F.col("len"), F.lit(0))) - F.col("lo"), F.lit(0))
     joined = pieces.join(dealt, ["key", "block"], "left")
-    take = F.when(words > 0, F.struct("slot", "draw", (F.col("block") * block_words + F.col("lo") - F.col("start")).alias("first"), words.alias("words")))
+    take = F.when(words > 0, F.struct("turn", "slot", "draw", (F.col("block") * block_words + F.col("lo") - F.col("start")).alias("first"), words.alias("words")))
     taken = (
         joined.groupBy("key", "start")
         .agg(*[F.first(c).alias(c) for c in keep], F.coalesce(F.sum(words), F.lit(0)).alias("taken"), F.collect_list(take).alias("takes"))
         .select(*keep, "start", "taken", "takes")
     )
-    none = F.array().cast("array<struct<slot:bigint,draw:bigint,first:bigint,words:bigint>>")
+    none = F.array().cast("array<struct<turn:bigint,slot:bigint,draw:bigint,first:bigint,words:bigint>>")
     empty = placed.filter("size = 0").select(*keep, "start", F.lit(0).cast("long").alias("taken"), none.alias("takes"))
     return taken.unionByName(empty), dealt
 
 
+def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, with the same columns: once for each pass that takes words of a row.
+
+    A row that a pass takes whole keeps its text; of one taken in part the text is the words
+    taken, one blank between them. n_chars, where there is one, counts the new text.
+    """
+    taken, _ = mix(docs, seed)
+    same = Window.partitionBy("row").orderBy("row")
+    runs = F.filter("takes", lambda t: t["turn"] == F.col("turn"))
+    plan = (
+        taken.filter("taken > 0")
+        .withColumn("__nth", F.row_number().over(same))
+        .withColumn("turn", F.explode(F.array_distinct(F.transform("takes", lambda t: t["turn"]))))
+        .withColumn("runs", F.array_sort(F.transform(runs, lambda t: F.struct(t["first"].alias("first"), t["words"].alias("words")))))
+        .select(F.col("row").alias("__row"), "__nth", F.col("size").alias("__size"), F.col("runs").alias("__runs"))
+    )
+    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
+    some = F.flatten(F.transform("__runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int"))))
+    whole = F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["words"]) >= F.col("__size")
+    rows = docs.withColumn("__row", row_hash())
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).join(plan, ["__row", "__nth"])
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(some, " ")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
 def query(docs: DataFrame) -> DataFrame:
     taken, _ = mix(docs)
     return taken.select("doc_id", "size", "source_size", "target", "taken")

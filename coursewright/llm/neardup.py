@@ -261,5 +261,15 @@ def classes(docs: DataFrame) -> DataFrame:
     return of.join(sizes, "class").select("doc_id", "class_id", "class_rows")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each class, that of the least doc_id, with all its columns."""
+    kept = classes(docs).filter("doc_id <=> class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    kept = stored(kept, "near-kept")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    if kept.filter("__n > 1").isEmpty():
+        return rows
+    return rows.dropDuplicates(["doc_id"])
+
+
 def query(docs: DataFrame) -> DataFrame:
     return classes(docs).withColumn("kept", F.col("doc_id") == F.col("class_id"))
