@@ -54,7 +54,7 @@ def validate_lessons(df: DataFrame, registry: dict | None = None, permissive: bo
     ``registry`` maps (type, major) to a function from an exercise to its issues; ``permissive``
     accepts every declared extension without a check of its payload.
     """
-    read = parsed(df).withColumn("raw_json", F.when("ok_json", F.col("raw")))
+    read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw")))
     read = read.withColumn("lesson", F.from_json("raw_json", LESSON)).withColumn("structure", structural_issues(F.col("raw_json"))).withColumn("unseen", invisible_issues(F.col("raw_json")))
     semantic = rules.lesson_rules(F.col("lesson"), F.col("unseen"), registry, permissive)
     judged = _judged(read, F.when(F.col("ok_json"), F.when(F.size("structure") > 0, F.col("structure")).otherwise(semantic)))
@@ -67,7 +67,7 @@ def _strings(v: str, path: str) -> Column:
 
 def validate_manifests(df: DataFrame) -> DataFrame:
     """Rows with ``raw`` JSON of a manifest (see sources.manifests for YAML)."""
-    read = parsed(df).withColumn("raw_json", F.when("ok_json", F.col("raw"))).withColumn("structure", structural_issues(F.col("raw_json"), manifest=True))
+    read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw"))).withColumn("structure", structural_issues(F.col("raw_json"), manifest=True))
     read = read.withColumn("v", F.expr("try_parse_json(raw_json)"))
     listed = "schema_of_variant(variant_get(v, '$.metadata.retired_ids')) LIKE 'ARRAY%'"
     retired = _strings("v", "$.metadata.retired_ids")

@@ -14,10 +14,10 @@ from coursewright.plans.validate import exploded, validate_lessons
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.readStream.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
 
 
 def judge(spark: SparkSession, folder: str, out: str, checkpoint: str, registry: dict | None = None) -> StreamingQuery:
     """Writes the issues of what is there now to a new Parquet folder, each file once, and stops."""
-    issues = exploded(validate_lessons(landed(spark, folder), registry), "path")
+    issues = exploded(validate_lessons(landed(spark, folder), registry), "file")
     return issues.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
