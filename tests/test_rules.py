@@ -93,7 +93,7 @@ def test_step_rules(spark):
 
 def test_lesson_rules_and_messages(spark):
     twice = [c | {"stable_id": "same-id-1"} for c in CARDS]
-    got = judged(spark, lesson({"type": "free_text", "accept": ["a"]}, used=False, cards=CARDS), lesson(cards=twice), lesson(title="a​b­", cards=[])).orderBy("path").select("issues").collect()
+    got = judged(spark, lesson({"type": "free_text", "accept": ["a"]}, used=False, cards=CARDS), lesson(cards=twice), lesson({"type": "free_text", "accept": ["a"]}, title="a​b­", cards=[])).orderBy("path").select("issues").collect()
     (unused,), (dup,), (hidden,) = [r["issues"] for r in got]
     assert (unused["id"], unused["path"], unused["message"]) == ("W-CARD-UNUSED", "/cards", "2 cards are defined but never referenced by an exercise: c1, c2")
     assert dup["id"] == "E-STABLE-ID-DUP" and "(card 'c1', card 'c2')" in dup["message"]
