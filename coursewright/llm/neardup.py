@@ -7,11 +7,13 @@ the documents and must not pass for boilerplate. SAMPLES consistent samples give
 keys; documents that share a key are candidates, and a candidate pair is a link if its
 exact weighted Jaccard similarity is SIMILAR or more.
 
-Equal texts are one node. In a bucket, all nodes are compared with its least node; nodes
-that this leaves in other components are compared with the least of those; what is then
-still apart is compared with everything in the bucket by a join that keeps only pairs
-whose samples agree. So a group of thousands of copies makes thousands of pairs, and no
-link between candidates is lost. The classes are the connected components.
+Equal texts are one node. In a bucket, all nodes are compared with the one that meets most
+others in buckets, the least edited copy of a group. Where this leaves several components, a
+node's reach is the weight it shares with any other node of such buckets: no similarity is
+greater, so nodes of less reach than SIMILAR have no more links. The others are compared
+exactly with all others of their cluster (what buckets connect), in blocks, and a task sends
+only links that join components. So a group of thousands of copies makes thousands of pairs,
+and no link between candidates is lost. The classes are the connected components.
 
 Defined results: null texts are one class, as are equal texts, also those without a word.
 A text of fewer than five words is one shingle. class_id is the least doc_id of a class.
@@ -41,7 +43,8 @@ SAMPLES = BANDS * ROWS
 AGREE = 27
 COUNTERS, PARTS, COMMON = 1 << 20, 64, 1 / 3
 HASH_BITS = 44
-STAR_ROUNDS = 2
+#: Shingles in a block of sets that are compared with each other.
+SET_BLOCK = 1 << 20
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +63,28 @@ def counter_of(shingle: np.ndarray) -> np.ndarray:
     return (shingle & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def shares(docs: DataFrame) -> np.ndarray:
-    """For each counter the share of documents that have one of its shingles.
+class Idf:
+    """ln(1 + 1 / max(share, COMMON)) of a shingle: one value but for the counters of common shingles."""
+
+    def __init__(self, counter: np.ndarray, share: np.ndarray):
+        order = np.argsort(counter)
+        self.counter, self.value = counter[order], np.log1p(1 / share[order]).astype(np.float32)
+        self.rare = np.float32(np.log1p(1 / COMMON))
+
+    def of(self, shingle: np.ndarray) -> np.ndarray:
+        if not len(self.counter):
+            return np.full(len(shingle), self.rare)
+        own = counter_of(shingle)
+        at = np.minimum(np.searchsorted(self.counter, own), len(self.counter) - 1)
+        return np.where(self.counter[at] == own, self.value[at], self.rare)
+
+
+def common_shingles(docs: DataFrame) -> Idf:
+    """The counters whose shingles more than COMMON of all documents have, with their shares.
 
     Tasks count on their own and send compressed parts of the counters, which are summed part
-    by part; the driver gets COUNTERS numbers, however many documents there are.
+    by part. The driver gets the common ones: a document has so many counters on average at
+    most, divided by COMMON, however many documents there are.
     """
     step = COUNTERS // PARTS
 
@@ -80,23 +100,18 @@ def shares(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * PARTS, pa.int64())], ["part", "counts", "n"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)], "n": [pdf["n"].sum()]})
+        total = np.zeros(step, np.int64)
+        for counts in pdf["counts"]:
+            total += np.frombuffer(zlib.decompress(counts), np.int64)
+        at = np.flatnonzero(total > COMMON * pdf["n"].sum())
+        return pd.DataFrame({"counter": at + step * int(pdf["part"].iloc[0]), "share": total[at] / pdf["n"].sum()})
 
-    schema = "part int, counts binary, n long"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema).collect()
-    if not rows:
-        return np.zeros(COUNTERS)
-    total = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in sorted(rows, key=lambda r: r["part"])])
-    return total / rows[0]["n"]
+    rows = docs.select("text").mapInArrow(count, "part int, counts binary, n long").groupBy("part").applyInPandas(add, "counter long, share double").collect()
+    return Idf(np.array([r["counter"] for r in rows], np.int64), np.array([r["share"] for r in rows], float))
 
 
-def idf_of(share: np.ndarray) -> np.ndarray:
-    return np.log1p(1 / np.maximum(share, COMMON)).astype(np.float32)
-
-
-def weights(shingle: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(tf.astype(np.float32))) * idf[counter_of(shingle)]
+def weights(shingle: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
+    return (1 + np.log(tf.astype(np.float32))) * idf.of(shingle)
 
 
 @functools.cache
@@ -144,7 +159,7 @@ def node_of(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64(text, F.lit("node")))
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
     """node, keys (BANDS longs), drawn (SAMPLES ints) of each row that has a shingle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +184,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.select("node", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "node long, keys array<long>, drawn array<int>")
 
 
-def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
+def similarities(a: pa.Array, b: pa.Array, idf: Idf) -> np.ndarray:
     """Weighted Jaccard similarity of the texts, pair by pair."""
     sides = []
     for side in (a, b):
@@ -183,7 +198,7 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     return shared / np.maximum(sum_a + sum_b - shared, 1e-300)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
     """a, b, similarity of the pairs that are similar."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,50 +222,136 @@ def agreement(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
 
 
+def reach(texts: DataFrame, nodes: DataFrame, idf: Idf) -> DataFrame:
+    """node, reach: the weight that a node shares with any other of ``nodes``, as a share of its own.
+
+    No similarity to another of them can be greater.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            text, shingle, tf = shingles(batch.column("text"))
+            w = weights(shingle, tf, idf).astype(np.float64)
+            total = np.bincount(text, w, len(batch))
+            node = np.asarray(batch.column("node"))[text]
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(node), pa.array(w / np.maximum(total[text], 1e-300))], ["shingle", "node", "part"])
+
+    parts = texts.join(nodes, "node").select("node", "text").mapInArrow(work, "shingle long, node long, part double")
+    lone = parts.groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("part").alias("part")).filter("n = 1")
+    own = lone.groupBy("node").agg(F.sum("part").alias("alone"))
+    return nodes.join(own, "node", "left").select("node", (1 - F.coalesce("alone", F.lit(0.0))).alias("reach"))
+
+
+def apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, node, own (component) of the buckets that hold several components, with other columns of ``members``."""
+    own = members.join(found, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+    several = own.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high")
+    return own.join(several.select("bucket"), "bucket")
+
+
+def joined_sets(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """Pairs of nodes that join different components, from rows (node, own, block, i, j, shingles, weights) of two blocks or one.
+
+    Postings of all shingles give each node's overlaps at once. A pair is left out if pairs
+    before it have joined its components.
+    """
+    size = pdf["shingles"].map(len).to_numpy()
+    owner = np.repeat(np.arange(len(pdf)), size)
+    shingle, weight = np.concatenate(pdf["shingles"].to_list()), np.concatenate(pdf["weights"].to_list())
+    total = np.bincount(owner, weight, len(pdf))
+    order = np.argsort(shingle, kind="stable")
+    owner_of, weight_of = owner[order], weight[order]
+    first, last = np.searchsorted(shingle[order], shingle, "left"), np.searchsorted(shingle[order], shingle, "right")
+    start = np.r_[0, np.cumsum(size)]
+    own, block = pdf["own"].to_list(), pdf["block"].to_numpy()
+    across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out, nodes = [], pdf["node"].to_list()
+    for x in np.flatnonzero(block == pdf["i"].iloc[0]).tolist():
+        lo, n = first[start[x] : start[x + 1]], (last - first)[start[x] : start[x + 1]]
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        shared = np.bincount(owner_of[at], np.minimum(weight_of[at], np.repeat(weight[start[x] : start[x + 1]], n)), len(pdf))
+        near = shared >= SIMILAR * (total + total[x] - shared)
+        near &= block == pdf["j"].iloc[0] if across else np.arange(len(pdf)) > x
+        for y in np.flatnonzero(near).tolist():
+            if top(own[x]) != top(own[y]):
+                root[top(own[x])] = top(own[y])
+                out.append((nodes[x], nodes[y]))
+    return out
+
+
+def within(texts: DataFrame, nodes: DataFrame, idf: Idf) -> DataFrame:
+    """a, b: links that join the components of each cluster, from nodes (node, own, cluster).
+
+    A cluster's nodes are dealt to blocks of SET_BLOCK shingles, and a task compares two
+    blocks; what it sends are links that join components, not pairs.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            text, shingle, tf = shingles(batch.column("text"))
+            cut = pa.array(np.searchsorted(text, np.arange(len(batch) + 1)), pa.int32())
+            columns = [batch.column(c) for c in ("node", "own", "cluster")]
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (shingle.view(np.int64), weights(shingle, tf, idf).astype(np.float64))]
+            yield pa.RecordBatch.from_arrays([*columns, *lists], ["node", "own", "cluster", "shingles", "weights"])
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(joined_sets(pdf), columns=["a", "b"], dtype="int64")
+
+    several = nodes.groupBy("cluster").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("cluster")
+    schema = "node long, own long, cluster long, shingles array<long>, weights array<double>"
+    found = stored(texts.join(nodes.join(several, "cluster"), "node").select("node", "own", "cluster", "text").mapInArrow(sets, schema), "near-sets")
+    cuts = found.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / SET_BLOCK).cast("long").alias("cuts"))
+    dealt = found.join(cuts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(linked, "a long, b long")
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node) of all documents, and (node, component) of the nodes that are linked to others."""
-    idf = idf_of(shares(docs))
+    idf = common_shingles(docs)
     marked = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
     drawn = stored(signatures(marked, idf).groupBy("node").agg(F.first("keys").alias("keys"), F.first("drawn").alias("drawn")), "near-drawn")
     rows = stored(marked.select("doc_id", "node"), "near-rows")
     members = drawn.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    members = stored(members.join(shared, "bucket").select("bucket", "node", "hub"), "near-members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(members.join(shared, "bucket"), "near-members")
     # one row of each node that any bucket needs, with its text: found by doc_id, since a text may be on any number of rows
-    needed = members.select("node").distinct().join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    needed = company.select("node").join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
     texts = stored(marked.filter("text IS NOT NULL").join(needed, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
     drawn = drawn.select("node", "drawn")
-    edges, found, now = None, None, members.withColumn("own", F.col("node"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            pairs = now.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-            pairs = agreeing(pairs, drawn)
-        else:
-            side = now.join(drawn, "node")
-            # rest: nodes outside the component of the bucket's least node
-            rest = side.filter("own <> first_own")
-            one = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "own", "drawn")])
-            two = side.select("bucket", "first_own", *[F.col(c).alias(f"{c}_b") for c in ("node", "own", "drawn")])
-            apart = F.col("own_a") != F.col("own_b")
-            once = (F.col("own_b") == F.col("first_own")) | (F.col("node_a") > F.col("node_b"))
-            pairs = one.join(two, "bucket").filter(apart & once & (agreement("drawn_a", "drawn_b") >= AGREE))
-            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        new = verified(pairs, texts, idf).select("a", "b")
-        edges = stored(new if edges is None else new.unionByName(edges), "near-edges")
-        found = stored(components(edges), "near-components")
-        if turn == STAR_ROUNDS:
-            break
-        # buckets that still hold several components
-        own = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("own"))
-        by = own.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min(F.struct("node", "own")).alias("first")).filter("low <> high")
-        now = own.join(by.select("bucket", F.col("first.own").alias("first_own")), "bucket")
-        now = stored(now, "near-apart")
-        if now.isEmpty():
-            break
-        if turn + 1 < STAR_ROUNDS:
-            hubs = now.filter("own <> first_own").groupBy("bucket").agg(F.min(F.struct("node", "own")).alias("second"))
-            now = now.join(hubs, "bucket").filter("own <> second.own AND own <> first_own").select("bucket", "node", F.col("second.node").alias("hub"))
-    return rows, found
+
+    # the node with most company is the least edited of a group of copies
+    placed = members.join(company, "node")
+    hubs = placed.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    stars = members.join(hubs, "bucket").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = stored(verified(agreeing(stars, drawn), texts, idf).select("a", "b"), "near-edges")
+    found = components(edges)
+
+    rest = stored(apart(members.select("bucket", "node"), found), "near-apart")
+    # what shares too little with all others of these buckets has no more links
+    able = reach(texts, rest.select("node").distinct(), idf).filter(F.col("reach") >= SIMILAR - 1e-6).select("node")
+    rest = stored(apart(rest.select("bucket", "node").join(able, "node"), found), "near-able")
+    if rest.isEmpty():
+        return rows, found
+    meets = rest.groupBy("bucket").agg(F.min("node").alias("b"))
+    clusters = components(rest.join(meets, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "cluster")
+    owns = rest.groupBy("node").agg(F.first("own").alias("own"))
+    more = stored(within(texts, clusters.join(owns, "node"), idf), "near-edges")
+    # a component is joined to its nodes by found, so only new edges between components are new
+    name = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_own"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    known = found.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    lone = joined.join(found, joined["component"] == found["node"], "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+    return rows, known.unionByName(lone)
 
 
 def classes(docs: DataFrame) -> DataFrame:
