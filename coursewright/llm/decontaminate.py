@@ -3,14 +3,15 @@
 The test items come in slices of SLICE_BYTES of text at most, a size that a task can hold;
 however many items there are, the documents are read twice for each slice and never
 shuffled. First the documents that have each run of GRAM words of an item are counted, over
-all documents. An item's seeds are its runs of words that are rare (in RARE of the documents
-or fewer) and in any case the rarer half of its runs, so that an item that is in very many
-documents keeps seeds. Then the passages around a document's seeds, grouped by diagonal, are
+all documents. An item's seeds are its runs of words that are rare: in RARE of the documents or
+fewer, or in no more than ODD times as many as its median run, so that an item that is in
+very many documents keeps its seeds and loses only phrases that are common elsewhere. Then the passages around a document's seeds, grouped by diagonal, are
 aligned locally with the item: MATCH for an equal word, MISS for another, GAP for a missing
 one. The score is a share of what the item scores against itself; LEAST_SCORE and
 LEAST_WORDS equal words in net terms (or a whole shorter item) make a leak.
 
-Defined results: a null or empty text or item matches nothing. Rows that repeat give rows
+Defined results: a null or empty text or item matches nothing; an item of fewer than GRAM
+words is matched by a text of as few words alone. Rows that repeat give rows
 that repeat; items with equal texts match on their own. No rows or no items: no leaks. Other
 columns are not read, but for those a caller wants kept.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from coursewright.llm.common import Words, blocks
 
 GRAM, SLICE_BYTES = 4, 16 << 20
-RARE = 1e-5
+RARE, ODD = 1e-5, 4
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_SCORE, LEAST_WORDS = 0.4, 8
 
@@ -82,15 +83,15 @@ class Items:
         return near[same], at[same]
 
     def keep_rare(self, df: np.ndarray, n_docs: int) -> None:
-        """Leave the rare seeds, and the rarer half of each item's."""
+        """Leave the seeds that are rare, or not much more frequent than others of their item."""
         seen = df[np.searchsorted(self.seeds, self.gram)]
-        order = np.lexsort((self.place, seen, self.item))
+        order = np.lexsort((seen, self.item))
         item = self.item[order]
         start = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(item)])
-        rank = np.arange(len(item)) - np.repeat(start, size)
-        keep = np.zeros(len(item), bool)
-        keep[order] = (rank < (np.repeat(size, size) + 1) // 2) | (seen[order] <= max(1, RARE * n_docs))
+        median = np.zeros(len(item))
+        median[order] = np.repeat(seen[order][start + (size - 1) // 2], size)
+        keep = seen <= np.maximum(max(1, RARE * n_docs), ODD * median)
         gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
         self.set_seeds(gram)
 
