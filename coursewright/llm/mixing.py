@@ -169,20 +169,20 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     taken, one blank between them. n_chars, where there is one, counts the new text.
     """
     taken, _ = mix(docs, seed)
-    same = Window.partitionBy("row").orderBy("row")
-    runs = F.filter("takes", lambda t: t["turn"] == F.col("turn"))
-    plan = (
-        taken.filter("taken > 0")
-        .withColumn("__nth", F.row_number().over(same))
-        .withColumn("turn", F.explode(F.array_distinct(F.transform("takes", lambda t: t["turn"]))))
-        .withColumn("runs", F.array_sort(F.transform(runs, lambda t: F.struct(t["first"].alias("first"), t["words"].alias("words")))))
-        .select(F.col("row").alias("__row"), "__nth", F.col("size").alias("__size"), F.col("runs").alias("__runs"))
-    )
+    runs_of = lambda turn: F.filter("takes", lambda t: t["turn"] == turn)
+    words_of = lambda turn: F.array_sort(F.transform(runs_of(turn), lambda t: F.struct(t["first"].alias("first"), t["words"].alias("words"))))
+    turns = F.array_distinct(F.transform("takes", lambda t: t["turn"]))
+    # a row's passes; what rows that repeat take is gathered, as it doesn't matter which of them has which pass
+    each = stored(taken.select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.transform(turns, words_of).alias("passes")), "mix-plan")
+    plan = each.groupBy("__row").agg(F.first("__size").alias("__size"), F.flatten(F.collect_list("passes")).alias("__passes"), F.count("*").alias("n"))
+    rows = docs.withColumn("__row", row_hash())
+    if not plan.filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["__row"])
+    plan = plan.filter(F.size("__passes") > 0).drop("n")
+    rows = rows.join(plan, "__row").withColumn("__runs", F.explode("__passes"))
     words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
     some = F.flatten(F.transform("__runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int"))))
     whole = F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["words"]) >= F.col("__size")
-    rows = docs.withColumn("__row", row_hash())
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).join(plan, ["__row", "__nth"])
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(some, " ")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
