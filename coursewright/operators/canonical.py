@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursewright.functions.textsem import blank, is_true
 from coursewright.plans.rules import array_of
+from coursewright.schemas import LESSON
 
 
 def or_else(x: Column, default) -> Column:
@@ -85,6 +86,20 @@ def resolve_from_cards(lesson: Column) -> Column:
     return F.when(lesson["steps"].isNull(), lesson).otherwise(lesson.withField("steps", F.transform(lesson["steps"], step)))
 
 
+def parse_lessons(raw: DataFrame, entries: DataFrame | None = None, adapter=None, resolvers=()) -> DataFrame:
+    """Canonical lessons of raw rows (set, raw): adapter, context, pairs from cards, then each extension's resolver.
+
+    ``adapter`` turns rows with ``raw`` into rows with ``lesson``, typed JSON by default; a
+    resolver maps a lesson Column to another.
+    """
+    rows = adapter(raw) if adapter else raw.withColumn("lesson", F.from_json("raw", LESSON))
+    rows = inject_context(rows, entries, "set") if entries is not None else rows
+    lesson = resolve_from_cards(F.col("lesson"))
+    for resolve in resolvers:
+        lesson = resolve(lesson)
+    return rows.withColumn("lesson", lesson)
+
+
 def pairs_by_order(refs: DataFrame, cards: DataFrame, owner: str) -> DataFrame:
     """The relational form: owner, pairs (text, in order); from refs (owner, ord, card_id), cards (card_id, front, back), card_id unique."""
     found = refs.join(cards, "card_id")

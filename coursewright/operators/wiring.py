@@ -45,6 +45,18 @@ def containment(cards: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFra
     return some.join(other, on, "inner").groupBy(*[some[k] for k in keys], "card_id", "exercise_id").agg(F.count("*").alias("hits"))
 
 
+def keyed_containment(cards: DataFrame, quotes: DataFrame) -> DataFrame:
+    """containment without keys for cards of any number: a card meets the quotes that have its first three characters.
+
+    Shorter cards meet the quotes that have their first character.
+    """
+    text = F.col("text")
+    key = F.when(F.length(text) >= 3, F.substring(text, 1, 3)).otherwise(F.substring(text, 1, 1))
+    pieces = lambda n: F.regexp_extract_all("quote", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    split = quotes.withColumn("key", F.explode(F.array_distinct(F.concat(pieces(3), pieces(1)))))
+    return containment(cards.withColumn("key", key), split, ["key"]).drop("key")
+
+
 def verdicts(cards: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
     """keys, card_id, verdict (suggest, ambiguous or none), exercises, exercise_id (of the only one) for each card."""
     per = hits.groupBy(*keys, "card_id").agg(F.count("*").alias("exercises"), F.min("exercise_id").alias("exercise_id"))

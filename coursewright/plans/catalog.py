@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of cards that may be sent to all tasks; more go through a join on their first word.
+#: Bytes of cards that may be sent to all tasks; more go through a join on their first characters.
 CARD_BYTES = 64 << 20
 
 
@@ -54,11 +54,7 @@ def wiring_verdicts(spark, sf_dir):
     if size <= CARD_BYTES:
         hits = wiring.containment(F.broadcast(cards), quotes, [])
         return wiring.verdicts(cards, hits, [])
-    # a card's text begins with a word that any text holding it has, if it does not begin inside one
-    word = lambda x: F.regexp_extract(x, r"(\S+)", 1)
-    keyed = cards.withColumn("key", F.substring(word("text"), -3, 3))
-    split = quotes.withColumn("key", F.explode(F.array_distinct(F.transform(F.split("quote", r"\s+"), lambda w: F.substring(w, -3, 3)))))
-    return wiring.verdicts(cards, wiring.containment(keyed, split, ["key"]).drop("key"), [])
+    return wiring.verdicts(cards, wiring.keyed_containment(cards, quotes), [])
 
 
 @query("q02_dup_ids", "SELECT md5(text) AS stable_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -119,10 +119,3 @@ def validate_manifests(df: DataFrame) -> DataFrame:
 def exploded(judged: DataFrame, *keys: str) -> DataFrame:
     """A row per issue with its ordinal."""
     return judged.select(*keys, F.posexplode("issues").alias("ord", "issue")).select(*keys, "ord", "issue.*")
-
-
-def lint_text(judged: DataFrame, path: str = "path") -> DataFrame:
-    """A text line per issue and a verdict per file, in order of path."""
-    lines = F.transform("issues", lambda i: F.concat(F.lit("  ["), i["id"], F.lit("] "), i["path"], F.lit(" "), i["message"]))
-    head = F.concat(F.when(F.col("valid"), "ok   ").otherwise("FAIL "), F.col(path))
-    return judged.select(path, F.concat(F.array(head), F.coalesce(lines, F.array(F.lit("  not JSON")))).alias("lines")).orderBy(path)

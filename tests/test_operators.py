@@ -2,8 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from coursewright.operators import canonical, conformance, extensions, identity, migrate, mint, ordering, parity, wiring
-from coursewright.plans.validate import known_domain, known_level, lint_text, validate_lessons, validate_manifests
+from coursewright.operators import canonical, conformance, extensions, identity, migrate, mint, ordering, parity, reports, wiring
+from coursewright.plans.validate import known_domain, known_level, validate_lessons, validate_manifests
 from coursewright.schemas import EXERCISE, LESSON, MANIFEST
 from coursewright.sources import lessons as source
 from coursewright.sources import manifests, qti
@@ -90,6 +90,44 @@ def test_wiring(spark):
     assert [r[0] for r in wiring.unmatched(wanted, wiring.suggest(rows)).collect()] == ["no:no"]
 
 
+def test_containment_by_first_characters(spark):
+    cards = spark.createDataFrame([(1, "abc d"), (2, "b"), (3, ""), (4, "zz"), (5, "ünd")], "card_id long, text string")
+    quotes = spark.createDataFrame([(1, "xabc d"), (2, "abcd"), (3, None), (4, "rund ründ z"), (5, "b\nabc dz z")], "exercise_id long, quote string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(wiring.keyed_containment(cards, quotes)) == rows(wiring.containment(F.broadcast(cards), quotes, [])) != []
+
+
+def test_reports(spark):
+    x = {"id": "l", "title": "T", "cards": [{"id": "a", "front": "Haus", "back": "h"}, {"id": "b", "front": "Q", "back": "q"}], "steps": [drill(0, prompt="Haus"), drill(1, prompt="x")]}
+    (row,) = reports.wiring(wiring.suggest(typed(spark, x))).collect()
+    assert row.lines == ["OK    p0: 1 suggestion(s), 1 card(s) for manual review", "  suggest a:x0", "    front 'Haus' appears in prompt: \"Haus\"", "  manual  b - no verbatim match in any exercise text field"]
+    select = {"type": "cloze", "cloze_mode": "select", "sentence": "___", "blanks": [{"accept": ["x"]}], "distractors": ["y"]}
+    rows = migrate.migrated_and_valid(typed(spark, {"id": "l", "title": "T", "steps": [drill(0, **select), drill(1, **(select | {"blanks": []}))]}, {"id": "m", "title": "T", "steps": [drill(0, **select)]}))
+    one, two = [r.lines for r in reports.migration(rows).orderBy("path").collect()]
+    assert one[0] == "ERROR p0: migrated lesson fails validation (not written)" and "[E-CLOZE-BLANKS]" in one[1]
+    assert two == ["OK    p1: would convert 1 exercise(s)", "  converted x0"]
+    minted = mint.mint(spark.createDataFrame([("p", '{"cards": [{"id": "a"}]}'), ("q", "{")], "path string, raw string"))
+    assert [r.lines[0][:24] for r in reports.minting(minted).orderBy("path").collect()] == ["MINT p: 1 of 1 eligible ", "ERROR q: invalid JSON - "]
+    assert reports.minting_total(minted).first()[0] == ["total: 1 stable_id(s) across 2 file(s)"]
+    covered = spark.createDataFrame([("a", True), ("b", False)], "set string, covered boolean")
+    lines = [r.line for r in reports.coverage(covered, identity.gate(covered, 1), 1).orderBy("ord").collect()]
+    assert lines == ["stable-id coverage: 1 of 2 set(s) fully minted, baseline 1", "FAIL INCOMPLETE: 1 listed set(s) carry no complete stable_id coverage: b"]
+    rows = spark.createDataFrame([("s", "a", "card", "card", "l", 0)], ELEMENT)
+    files = spark.createDataFrame([("s", "l")], "set string, filename string")
+    side = rows, files, rows.select("set", "stable_id").limit(0)
+    gone = rows.limit(0), files, side[2]
+    lines = [r.line for r in reports.stability(identity.checked(side, gone), identity.violations(side, gone)).orderBy("phase", "ord").collect()]
+    assert lines[0].startswith("checked: 1 base id(s) / 0 head id(s), 1 base lesson(s) / 1 head") and lines[1] == "FAIL: 1 stability violation(s)" and lines[2].startswith("  V1 s: stable_id 'a'")
+
+
+def test_parse_lessons(spark):
+    raw = spark.createDataFrame([("s", json.dumps({"id": "l", "cards": [{"id": "c", "front": "f", "back": "b"}], "steps": [drill(0, type="matching", from_cards=True, card_ids=["c"])]}))], "set string, raw string")
+    entries = spark.createDataFrame([("s", "de", "en", "math")], "set string, target_language string, source_language string, domain string")
+    titled = lambda lesson: lesson.withField("title", F.lit("by an extension"))
+    got = canonical.parse_lessons(raw, entries, resolvers=[titled]).first().lesson
+    assert (got.domain, got.title, got.steps[0].exercise.pairs[0].right) == ("math", "by an extension", "b")
+
+
 def test_migrate(spark):
     select = {"type": "cloze", "cloze_mode": "select", "sentence": "a ___", "blanks": [{"accept": ["x", "y"]}], "distractors": ["x", "z", "z"]}
     multi = {"type": "cloze", "cloze_mode": "multiselect", "sentence": "___", "prompt": "", "accept": ["x", "y"], "distractors": ["z"]}
@@ -299,7 +337,9 @@ def test_parity_and_conformance(spark):
     assert (row.repos, row.lessons, row.invalid, row.empty_repos, row.ok) == (1, 2, 1, 1, False)
     assert conformance.discrepancies(judged).count() == 4
     assert [tuple(r) for r in conformance.exercises_by_type(judged).collect()] == [("free_text", 1), ("matching", 6)]
-    assert [r.lines[0] for r in lint_text(judged).collect()] == ["FAIL p0", "ok   p1"]
+    shown = [r.lines for r in reports.lint(judged).orderBy("path").collect()]
+    assert shown[0][0] == "ERROR p0" and shown[0][1].startswith("  [E-MATCH-PAIRS] /steps/0/exercise MATCHING") and shown[0][1].endswith("(see matching)") and shown[1] == ["OK    p1"]
+    assert reports.failed(judged, "valid").first()[0] == 1
 
 
 def test_files_and_stream(spark, tmp_path):
