@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursewright.schemas import LESSON
+from coursewright.sources.manifests import manifests
 
 
 def read_raw(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
@@ -57,3 +58,34 @@ def snapshot(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_texts(rows: DataFrame, folder: str, text: str = "raw") -> None:
     """path and text of the rows, in a new folder: the files that were read are never written over."""
     rows.select("path", F.col(text).alias("text")).write.mode("errorifexists").parquet(folder)
+
+
+def inventory_of(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """elements, lessons (set, filename) and retired (set, stable_id) of a tree (name, raw), as operators.identity takes them."""
+    from coursewright.operators.identity import inventory
+
+    lessons, sets = snapshot(files)
+    read = manifests(sets.select(F.col("set").alias("path"), "raw"))
+    ids = F.expr("try_variant_get(try_parse_json(raw), '$.metadata.retired_ids', 'array<variant>')")
+    texts = F.transform(F.filter(ids, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
+    retired = read.select(F.col("path").alias("set"), F.explode(texts).alias("stable_id")).filter("stable_id <> ''")
+    return inventory(lessons), lessons.select("set", "filename"), retired
+
+
+def listed_elements(files: DataFrame, root: str = "manifest.yaml") -> tuple[DataFrame, DataFrame]:
+    """Sets of the root manifest (set, its path) and their elements (set, lesson, has_id), as identity.coverage takes them.
+
+    A lesson that a set lists and that isn't there has one element without an id.
+    """
+    sets = manifests(files.filter(F.col("name") == root).select(F.col("name").alias("path"), "raw")).select(F.explode("manifest.sets").alias("s"))
+    sets = sets.filter("coalesce(s.path, '') <> ''").select(F.col("s.path").alias("set"))
+    own = manifests(files.filter(F.col("name").endswith("/manifest.yaml")).select(F.regexp_replace("name", r"/manifest\.yaml\z", "").alias("path"), "raw"))
+    names = own.select(F.col("path").alias("set"), F.explode(F.expr("try_variant_get(try_parse_json(raw), '$.metadata.lessons', 'array<string>')")).alias("lesson"))
+    listed = sets.join(names, "set").withColumn("name", F.concat_ws("/", "set", F.lit("lessons"), "lesson"))
+    found = listed.join(typed(files).select("name", "raw", "lesson").withColumnRenamed("lesson", "content"), "name", "left")
+    ids = F.concat(
+        F.transform(F.coalesce("content.cards", F.array()), lambda c: F.coalesce(c["stable_id"], F.lit("")) != ""),
+        F.transform(F.filter(F.coalesce("content.steps", F.array()), lambda s: s["exercise"].isNotNull()), lambda s: F.coalesce(s["exercise"]["stable_id"], F.lit("")) != ""),
+    )
+    has = F.when(F.col("raw").isNull(), F.array(F.lit(False))).otherwise(ids)
+    return sets, found.select("set", "lesson", F.explode_outer(has).alias("has_id"))
