@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import partitions
+from coursewright.llm.common import in_arrow, partitions
 
 #: frames: what stands before and after a role's text, and whether the text is trained on.
-#: next: the roles that may follow a state; the state after a turn is its role.
+#: next: the roles that may follow a state; the state after a turn is its role, '' the start.
 TEMPLATE = {
     "frames": {
         "system": {"before": "<<SYS>>", "after": "<</SYS>>", "loss": False},
@@ -36,7 +36,6 @@ TEMPLATE = {
         "other": {"before": "[ROLE={}]", "after": "[/ROLE]", "loss": False},
     },
     "next": {"": ["system", "user"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]},
-    "end": ["assistant", "user"],
 }
 
 SEGMENTS = "conv_id long, segment long, turn long, text string, loss boolean, error string"
@@ -153,7 +152,7 @@ def format_conversations(conversations: DataFrame, template: dict = TEMPLATE) ->
 
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     ordered = turns.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(work, SEGMENTS)
+    return in_arrow(ordered, work, SEGMENTS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_errors long"
@@ -188,7 +187,7 @@ def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
 
         return sent(rows(), DIGEST_SCHEMA)
 
-    return segments.mapInArrow(work, DIGESTS)
+    return in_arrow(segments, work, DIGESTS)
 
 
 #: The conversation that the query adds: control strings as texts.

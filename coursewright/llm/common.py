@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task works on at once; one longer text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+
+#: Bytes of an Arrow batch on its way to a Python task and back.
+BATCH_SIZE, BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, "1"
 
 #: What separates words where an operator counts them: ASCII space, tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -29,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     set_ = sc._jsc.sc().getCheckpointDir()
     if set_.isDefined():
         return set_.get()
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="coursewright-"))
     return sc._jsc.sc().getCheckpointDir().get()
@@ -92,7 +95,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             lo = hi
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of BATCH_BYTES, unless the session has a size of its own (Spark's is 64 MB)."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SIZE, UNSET) == UNSET:
+        conf.set(BATCH_SIZE, str(BATCH_BYTES))
     return df.mapInArrow(work, schema)
 
 

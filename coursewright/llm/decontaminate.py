@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import Words, blocks
+from coursewright.llm.common import Words, blocks, in_arrow
 
 GRAM, SLICE_BYTES = 4, 16 << 20
 RARE, ODD = 1e-5, 4
@@ -162,7 +162,7 @@ def seed_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, total[some]])], ["seed", "n"])
 
-    rows = docs.select("text").mapInArrow(work, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row per seed of the slice
+    rows = in_arrow(docs.select("text"), work, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row per seed of the slice
     df, n_docs = np.zeros(len(items.seeds), np.int64), 0
     for seed, n in rows:
         if seed < 0:
@@ -196,7 +196,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, LEAKS)
+        one = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, LEAKS)
         found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], LEAKS) if found is None else found
 
@@ -213,7 +213,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                 keep[[t for t, *_ in shared.value.leaks(batch.column("text"))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = in_arrow(docs, work, docs.schema)
     assert [f.name for f in docs.schema.fields] == [f.name for f in fields]
     return docs
 

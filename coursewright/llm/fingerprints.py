@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import blocks, mix, partitions
+from coursewright.llm.common import blocks, in_arrow, mix, partitions
 
 SMALLEST, NORMAL, LARGEST = 12, 32, 128
 HARD_BITS, EASY_BITS = 6, 4
@@ -109,7 +109,7 @@ def fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
             own = [batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*own, pa.array(map(encoded, sets), pa.string()), pa.array(map(len, sets), pa.int64())], [f.name for f in fields] + ["fingerprint", "n_chunks"])
 
-    return rows.mapInArrow(work, schema)
+    return in_arrow(rows, work, schema)
 
 
 def range_of(key: Column, borders: list[int]) -> Column:
@@ -179,4 +179,4 @@ def query(docs: DataFrame) -> DataFrame:
                 yield done(held)
                 held = held[-1:]
 
-    return with_next(docs).mapInArrow(work, SCHEMA)
+    return in_arrow(with_next(docs), work, SCHEMA)

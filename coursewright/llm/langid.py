@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import blocks, buffers, texts_of
+from coursewright.llm.common import blocks, buffers, in_arrow, texts_of
 
 #: Bound of the sample: documents of a language, normalised characters of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 2000, 65536
@@ -105,7 +105,7 @@ def predict(docs: DataFrame, dictionaries: list[tuple[str, bytes]], keep: list[s
             names = [f.name for f in fields] + ["lang_pred", "score", "margin", "rejected"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.int64()), pa.array([m < MARGIN for m in margin])], names)
 
-    return rows.mapInArrow(work, schema)
+    return in_arrow(rows, work, schema)
 
 
 def accepted(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFrame:
@@ -120,7 +120,7 @@ def accepted(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFram
             keep = [bool(langs) and b > a and decide(sizes(whole[a:b], short, long), langs)[2] >= MARGIN for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield batch.drop_columns([said]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn(said, normalised(F.col("text"))).mapInArrow(work, docs.schema)
+    return in_arrow(docs.withColumn(said, normalised(F.col("text"))), work, docs.schema)
 
 
 def held_out(docs: DataFrame, folds: int = 4, fold: int = 2) -> Column:

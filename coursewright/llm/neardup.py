@@ -28,12 +28,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import Words, blocks, mix, stored
+from coursewright.llm.common import Words, blocks, in_arrow, mix, stored
 from coursewright.llm.components import components
 
 GRAM, SIMILAR = 5, 0.8
@@ -44,7 +43,7 @@ AGREE = 27
 COUNTERS, PARTS, COMMON = 1 << 20, 64, 1 / 3
 HASH_BITS = 44
 #: Shingles in a block of sets that are compared with each other.
-SET_BLOCK = 1 << 20
+SET_BLOCK = 1 << 18
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,14 +98,14 @@ def common_shingles(docs: DataFrame) -> Idf:
             parts = [zlib.compress(total[i * step : (i + 1) * step].tobytes(), 1) for i in range(PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * PARTS, pa.int64())], ["part", "counts", "n"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(step, np.int64)
-        for counts in pdf["counts"]:
+    def add(table: pa.Table) -> pa.Table:
+        total, n = np.zeros(step, np.int64), sum(table.column("n").to_pylist())
+        for counts in table.column("counts").to_pylist():
             total += np.frombuffer(zlib.decompress(counts), np.int64)
-        at = np.flatnonzero(total > COMMON * pdf["n"].sum())
-        return pd.DataFrame({"counter": at + step * int(pdf["part"].iloc[0]), "share": total[at] / pdf["n"].sum()})
+        at = np.flatnonzero(total > COMMON * n)
+        return pa.table({"counter": at + step * table.column("part")[0].as_py(), "share": total[at] / n})
 
-    rows = docs.select("text").mapInArrow(count, "part int, counts binary, n long").groupBy("part").applyInPandas(add, "counter long, share double").collect()
+    rows = in_arrow(docs.select("text"), count, "part int, counts binary, n long").groupBy("part").applyInArrow(add, "counter long, share double").collect()
     return Idf(np.array([r["counter"] for r in rows], np.int64), np.array([r["share"] for r in rows], float))
 
 
@@ -181,7 +180,7 @@ def signatures(docs: DataFrame, idf: Idf) -> DataFrame:
                 ["node", "keys", "drawn"],
             )
 
-    return docs.select("node", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "node long, keys array<long>, drawn array<int>")
+    return in_arrow(docs.select("node", F.coalesce("text", F.lit("")).alias("text")), work, "node long, keys array<long>, drawn array<int>")
 
 
 def similarities(a: pa.Array, b: pa.Array, idf: Idf) -> np.ndarray:
@@ -209,7 +208,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long, similarity double")
+    return in_arrow(two.select("a", "b", "text_a", "text_b"), work, "a long, b long, similarity double")
 
 
 def agreeing(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -236,7 +235,7 @@ def reach(texts: DataFrame, nodes: DataFrame, idf: Idf) -> DataFrame:
             node = np.asarray(batch.column("node"))[text]
             yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(node), pa.array(w / np.maximum(total[text], 1e-300))], ["shingle", "node", "part"])
 
-    parts = texts.join(nodes, "node").select("node", "text").mapInArrow(work, "shingle long, node long, part double")
+    parts = in_arrow(texts.join(nodes, "node").select("node", "text"), work, "shingle long, node long, part double")
     lone = parts.groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("part").alias("part")).filter("n = 1")
     own = lone.groupBy("node").agg(F.sum("part").alias("alone"))
     return nodes.join(own, "node", "left").select("node", (1 - F.coalesce("alone", F.lit(0.0))).alias("reach"))
@@ -249,22 +248,24 @@ def apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(several.select("bucket"), "bucket")
 
 
-def joined_sets(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+def joined_sets(rows: pa.Table) -> list[tuple[int, int]]:
     """Pairs of nodes that join different components, from rows (node, own, block, i, j, shingles, weights) of two blocks or one.
 
     Postings of all shingles give each node's overlaps at once. A pair is left out if pairs
     before it have joined its components.
     """
-    size = pdf["shingles"].map(len).to_numpy()
-    owner = np.repeat(np.arange(len(pdf)), size)
-    shingle, weight = np.concatenate(pdf["shingles"].to_list()), np.concatenate(pdf["weights"].to_list())
-    total = np.bincount(owner, weight, len(pdf))
+    rows = rows.combine_chunks()
+    lists = rows.column("shingles").combine_chunks()
+    size = np.asarray(lists.value_lengths())
+    shingle, weight = np.asarray(lists.flatten()), np.asarray(rows.column("weights").combine_chunks().flatten())
+    n_rows = len(size)
+    owner = np.repeat(np.arange(n_rows, dtype=np.int32), size)
+    total = np.bincount(owner, weight, n_rows)
     order = np.argsort(shingle, kind="stable")
-    owner_of, weight_of = owner[order], weight[order]
-    first, last = np.searchsorted(shingle[order], shingle, "left"), np.searchsorted(shingle[order], shingle, "right")
+    owner, by, placed = owner[order], shingle[order], weight[order]
     start = np.r_[0, np.cumsum(size)]
-    own, block = pdf["own"].to_list(), pdf["block"].to_numpy()
-    across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    own, block, nodes = rows.column("own").to_pylist(), np.asarray(rows.column("block")), rows.column("node").to_pylist()
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -272,13 +273,15 @@ def joined_sets(pdf: pd.DataFrame) -> list[tuple[int, int]]:
             root[x] = x = root.get(root[x], root[x])
         return x
 
-    out, nodes = [], pdf["node"].to_list()
-    for x in np.flatnonzero(block == pdf["i"].iloc[0]).tolist():
-        lo, n = first[start[x] : start[x + 1]], (last - first)[start[x] : start[x + 1]]
+    out = []
+    for x in np.flatnonzero(block == i).tolist():
+        mine = shingle[start[x] : start[x + 1]]
+        lo = np.searchsorted(by, mine, "left")
+        n = np.searchsorted(by, mine, "right") - lo
         at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        shared = np.bincount(owner_of[at], np.minimum(weight_of[at], np.repeat(weight[start[x] : start[x + 1]], n)), len(pdf))
+        shared = np.bincount(owner[at], np.minimum(placed[at], np.repeat(weight[start[x] : start[x + 1]], n)), n_rows)
         near = shared >= SIMILAR * (total + total[x] - shared)
-        near &= block == pdf["j"].iloc[0] if across else np.arange(len(pdf)) > x
+        near &= block == j if i != j else np.arange(n_rows) > x
         for y in np.flatnonzero(near).tolist():
             if top(own[x]) != top(own[y]):
                 root[top(own[x])] = top(own[y])
@@ -301,16 +304,17 @@ def within(texts: DataFrame, nodes: DataFrame, idf: Idf) -> DataFrame:
             lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (shingle.view(np.int64), weights(shingle, tf, idf).astype(np.float64))]
             yield pa.RecordBatch.from_arrays([*columns, *lists], ["node", "own", "cluster", "shingles", "weights"])
 
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(joined_sets(pdf), columns=["a", "b"], dtype="int64")
+    def linked(rows: pa.Table) -> pa.Table:
+        pairs = np.array(joined_sets(rows), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     several = nodes.groupBy("cluster").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("cluster")
     schema = "node long, own long, cluster long, shingles array<long>, weights array<double>"
-    found = stored(texts.join(nodes.join(several, "cluster"), "node").select("node", "own", "cluster", "text").mapInArrow(sets, schema), "near-sets")
+    found = stored(in_arrow(texts.join(nodes.join(several, "cluster"), "node").select("node", "own", "cluster", "text"), sets, schema), "near-sets")
     cuts = found.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / SET_BLOCK).cast("long").alias("cuts"))
     dealt = found.join(cuts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(linked, "a long, b long")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(linked, "a long, b long")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

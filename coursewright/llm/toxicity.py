@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import Words, blocks
+from coursewright.llm.common import Words, blocks, in_arrow
 
 SAMPLE, FEATURES, LEAST_ROWS, LEAST_CHI = 6000, 800, 3, 20.0
 PREFIXES, TIMES = (5, 6, 7, 8), 3
@@ -133,7 +133,7 @@ def vocabulary(sample: DataFrame, size: int = FEATURES) -> tuple[Vocabulary, int
     own = np.concatenate([term_features(t) for t in GROUP_OF])
     if not n0 or not n1:
         return Vocabulary(own), n0, n1
-    counts = sample.select("text", "toxic").mapInArrow(work, "feature long, place long, n long, k long").groupBy("feature", "place").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counts = in_arrow(sample.select("text", "toxic"), work, "feature long, place long, n long, k long").groupBy("feature", "place").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k, all_ = F.col("n"), F.col("k"), float(n0 + n1)
     chi = all_ * F.pow(k * all_ - n * float(n1), 2) / (n * (all_ - n + 1e-9) * float(n0) * n1)
     best = counts.filter(n >= LEAST_ROWS).groupBy("feature").agg(F.max(chi).alias("chi")).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(size).select("feature").collect()
@@ -159,7 +159,7 @@ def examples(sample: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
             kinds = {"toxic": pa.int32(), "bits": pa.list_(pa.int32()), "swapped": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
 
-    rows = sample.select("text", "toxic").mapInArrow(work, "toxic int, bits array<int>, swapped array<int>").collect()
+    rows = in_arrow(sample.select("text", "toxic"), work, "toxic int, bits array<int>, swapped array<int>").collect()
     real = [r for r in rows if r["toxic"] >= 0]
     x = np.zeros((len(real), vocab.columns), np.float32)
     for i, r in enumerate(real):
@@ -216,7 +216,7 @@ def score(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, keep: list[st
             own = [batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], [f.name for f in fields] + ["score"])
 
-    return rows.mapInArrow(work, schema)
+    return in_arrow(rows, work, schema)
 
 
 def held_out(docs: DataFrame, folds: int = 3, fold: int = 1) -> Column:
