@@ -103,6 +103,33 @@ def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(work, schema)
 
 
+#: Bits of a filter by key (2 MB), and of one of its parts, which is what Spark's bitmap functions make.
+FILTER_BITS, PART_BITS = 1 << 24, 1 << 15
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """One row with a bit for the hash of each key, of FILTER_BITS bits however many keys there are; no row for no keys."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    one = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("of"), F.count("*").alias("n")).filter("n > 0")
+    whole = F.sequence(F.lit(1).cast("long"), F.lit(FILTER_BITS // PART_BITS).cast("long"))
+    return one.select(F.transform(whole, lambda i: F.element_at("of", i)).alias("__bits"))
+
+
+def by_filter(df: DataFrame, key: str, filtered: DataFrame, may_be_in: bool) -> DataFrame:
+    """The rows whose key may be among the filter's keys, or else those whose key is not.
+
+    The filter is one row of bounded size, so this is a test of each row and no product; it
+    saves a shuffle of the rows that don't matter, and when the bits are full it saves none.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    part = F.element_at("__bits", (at / PART_BITS).cast("int") + 1)
+    within = at % PART_BITS
+    byte = F.conv(F.hex(F.substring(part, (within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (within % 8).cast("int")) == 1, F.lit(False))
+    return df.join(F.broadcast(filtered), is_set, "left_semi" if may_be_in else "left_anti")
+
+
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import Words, blocks, in_arrow, mix, stored
+from coursewright.llm.common import Words, blocks, by_filter, in_arrow, key_filter, mix, stored
 from coursewright.llm.components import components
 
 GRAM, SIMILAR = 5, 0.8
@@ -329,7 +329,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one row of each node that any bucket needs, with its text: found by doc_id, since a text may be on any number of rows
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     needed = company.select("node").join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    texts = stored(marked.filter("text IS NOT NULL").join(needed, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    likely = by_filter(marked.filter("text IS NOT NULL"), "node", key_filter(company, "node"), True)
+    texts = stored(likely.join(needed, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
     drawn = drawn.select("node", "drawn")
 
     # the node with most company is the least edited of a group of copies
@@ -358,22 +359,40 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, known.unionByName(lone)
 
 
+def classed(docs: DataFrame) -> DataFrame:
+    """doc_id, node, class of each row."""
+    rows, found = links(docs)
+    return rows.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), class_rows, for each row."""
-    rows, found = links(docs)
-    of = rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class"))
+    of = classed(docs)
     sizes = of.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
     return of.join(sizes, "class").select("doc_id", "class_id", "class_rows")
 
 
+def row_key(doc_id: Column, node: Column) -> Column:
+    return F.xxhash64(doc_id, doc_id.isNull(), node)
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of the least doc_id, with all its columns."""
-    kept = classes(docs).filter("doc_id <=> class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    kept = stored(kept, "near-kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    if kept.filter("__n > 1").isEmpty():
-        return rows
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each class, one of the least doc_id, with all its columns.
+
+    Only rows that may have to go are shuffled.
+    """
+    of = stored(classed(docs), "near-classes")
+    first = of.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    rows = of.join(first, "class").groupBy(row_key(F.col("doc_id"), F.col("node")).alias("__key")).agg(F.count("*").alias("n"), F.first(stays).alias("__stays"))
+    odd = stored(rows.filter("NOT __stays OR n > 1").select("__key", "__stays"), "near-odd")
+    bits = key_filter(odd, "__key")
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), node_of(F.col("text"))))
+    rest = by_filter(keyed, "__key", bits, True).join(odd, "__key", "left")
+    kept = by_filter(keyed, "__key", bits, False).select(*docs.columns).unionByName(rest.filter("__stays IS NULL").select(*docs.columns))
+    if odd.filter("__stays").isEmpty():
+        return kept
+    return kept.unionByName(rest.filter("__stays").dropDuplicates(["__key"]).select(*docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
