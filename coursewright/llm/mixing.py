@@ -150,7 +150,7 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple
         .withColumn("hi", F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)))
     )
     words = F.greatest(F.least(F.col("hi"), F.coalesce(F.col("len"), F.lit(0))) - F.col("lo"), F.lit(0))
-    joined = pieces.join(dealt, ["key", "block"], "left")
+    joined = pieces.join(dealt.hint("merge"), ["key", "block"], "left")  # both sides grow with the corpus
     take = F.when(words > 0, F.struct("turn", "slot", "draw", (F.col("block") * block_words + F.col("lo") - F.col("start")).alias("first"), words.alias("words")))
     taken = (
         joined.groupBy("key", "start")
