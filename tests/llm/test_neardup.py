@@ -91,3 +91,10 @@ def test_common_shingles_weigh_less(spark):
 def test_blocks_of_sets_find_what_one_block_finds(spark, monkeypatch):
     monkeypatch.setattr(nd, "SET_BLOCK", 500)
     test_a_group_of_edited_copies(spark, 3)
+
+
+def test_representatives_with_repeated_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "another text"), (2, "another text"), (3, None), (4, None), (None, "a b c d e f"), (None, "lone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, nd.representatives(docs).collect()), key=str)
+    assert got == [(1, "a b c d e f"), (1, "another text"), (3, None), (None, "lone")]
