@@ -55,7 +55,6 @@ class Format:
         self.before = {role: f["before"] for role, f in self.frames.items() if role != "other"}
         self.role_of = {text: role for role, text in self.before.items()}
         self.other = self.frames["other"]["before"].split("{}")
-        self.after = {f["after"]: role for role, f in self.frames.items()}
 
     def escape(self, text: str) -> str:
         return self.unsafe.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
@@ -76,32 +75,45 @@ class Format:
 
 
 class Reader:
-    """Reads formatted text back, segment by segment: (role, text, text under the loss mask) for each turn that ends."""
+    """Reads formatted text back from its characters: (role, text, text under the loss mask) for each turn that ends.
+
+    Where turns begin and end is found by their control strings alone, however the text comes
+    in pieces; texts are escaped, so the first control string in a turn is its end.
+    """
 
     def __init__(self, form: Format):
-        self.form, self.role, self.parts, self.trained = form, None, [], []
+        self.form, self.raw, self.spans = form, "", []
+
+    def opened(self) -> tuple[str, int] | None:
+        """The role of the turn, and where its text begins."""
+        form, raw = self.form, self.raw
+        head, tail = form.other
+        if raw.startswith(head) and (end := raw.find(tail, len(head))) >= 0:
+            return unquote(raw[len(head) : end]), end + len(tail)
+        for before, role in form.role_of.items():
+            if raw.startswith(before):
+                return role, len(before)
+        if not any(x.startswith(raw) or raw.startswith(x) for x in (head, *form.role_of)):
+            raise ValueError(f"no turn begins with {raw[:40]!r}")
+        return None
 
     def feed(self, text: str, loss: bool) -> tuple[str, str, str] | None:
         form = self.form
-        if self.role is None:
-            head, tail = form.other
-            if text in form.role_of:
-                self.role = form.role_of[text]
-            elif text.startswith(head) and text.endswith(tail):
-                self.role = unquote(text[len(head) : len(text) - len(tail)])
-            else:
-                raise ValueError(f"no turn begins with {text[:40]!r}")
+        self.raw += text
+        self.spans.append((len(text), loss))
+        if not (opened := self.opened()) or not (end := form.control.search(self.raw, opened[1])):
             return None
-        if text in form.after and not loss:
-            turn = self.role, form.unescape("".join(self.parts)), form.unescape("".join(self.trained))
-            self.role, self.parts, self.trained = None, [], []
-            return turn
-        if form.control.search(text):
-            raise ValueError("a control string inside a turn")
-        self.parts.append(text)
-        if loss:
-            self.trained.append(text)
-        return None
+        role, start = opened
+        if end[0] != form.frames[role if role in form.before else "other"]["after"]:
+            raise ValueError(f"a control string inside a turn: {end[0]!r}")
+        at, trained, left = 0, [], []
+        for n, masked in self.spans:
+            trained += [self.raw[max(at, start) : min(at + n, end.start())]] if masked else []
+            left += [(at + n - max(at, end.end()), masked)] if at + n > end.end() else []
+            at += n
+        turn = role, form.unescape(self.raw[start : end.start()]), form.unescape("".join(trained))
+        self.raw, self.spans = self.raw[end.end() :], left
+        return turn
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -67,6 +67,23 @@ def test_reader_refuses_what_is_not_framed():
     reader = chat.Reader(FORM)
     with pytest.raises(ValueError, match="no turn begins"):
         reader.feed("text", False)
+    reader = chat.Reader(FORM)
     reader.feed("[INST]", False)
     with pytest.raises(ValueError, match="control string"):
         reader.feed("a</s>b", False)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "x]y"]), st.text("<s>[/INST]\\ ok", max_size=12)), min_size=1, max_size=4), st.integers(1, 5))
+def test_reader_does_not_need_the_segments(turns, n):
+    pieces = [(c, loss) for role, text in turns for piece, loss in FORM.segments(role, text) for c in piece]
+    reader, got = chat.Reader(FORM), []
+    for i in range(0, len(pieces), n):  # pieces of n characters under one mask
+        part = pieces[i : i + n]
+        while part:
+            same = [c for c, loss in part if loss == part[0][1]] if len({loss for _, loss in part}) == 1 else [part[0][0]]
+            got.append(reader.feed("".join(same), part[0][1]))
+            part = part[len(same) :]
+    got = [t for t in got if t]
+    assert [(r, t) for r, t, _ in got] == turns[: len(got)] and len(got) == len(turns)
+    assert [learned for _, _, learned in got] == [t if r == "assistant" else "" for r, t in turns]
