@@ -34,8 +34,8 @@ def known_level(domain: Column, level: Column) -> Column:
 
 
 def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """With ``ok_json``: whether the raw text is JSON at all. Duplicate keys are JSON."""
-    return df.withColumn("ok_json", F.coalesce(F.get_json_object(F.concat(F.lit("["), F.col(raw), F.lit("]")), "$[0]").isNotNull() | (F.trim(raw) == "null"), F.lit(False)))
+    """With ``ok_json``: whether the raw text is one JSON value. Duplicate keys are JSON."""
+    return df.withColumn("ok_json", F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col(raw), F.lit("]"))) == 1, F.lit(False)))
 
 
 def _judged(df: DataFrame, issues: Column) -> DataFrame:
@@ -55,7 +55,7 @@ def validate_lessons(df: DataFrame, registry: dict | None = None, permissive: bo
     accepts every declared extension without a check of its payload.
     """
     read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw")))
-    read = read.withColumn("lesson", F.from_json("raw_json", LESSON)).withColumn("structure", structural_issues(F.col("raw_json"))).withColumn("unseen", invisible_issues(F.col("raw_json")))
+    read = read.withColumn("lesson", F.from_json("raw_json", LESSON)).withColumn("structure", structural_issues(F.col("raw_json"))).withColumn("ok_json", F.col("structure").isNotNull()).withColumn("unseen", invisible_issues(F.col("raw_json")))
     semantic = rules.lesson_rules(F.col("lesson"), F.col("unseen"), registry, permissive)
     judged = _judged(read, F.when(F.col("ok_json"), F.when(F.size("structure") > 0, F.col("structure")).otherwise(semantic)))
     return judged.withColumn("valid", is_true(F.col("valid"))).drop("structure", "unseen", "raw_json")
@@ -67,7 +67,7 @@ def _strings(v: str, path: str) -> Column:
 
 def validate_manifests(df: DataFrame) -> DataFrame:
     """Rows with ``raw`` JSON of a manifest (see sources.manifests for YAML)."""
-    read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw"))).withColumn("structure", structural_issues(F.col("raw_json"), manifest=True))
+    read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw"))).withColumn("structure", structural_issues(F.col("raw_json"), manifest=True)).withColumn("ok_json", F.col("structure").isNotNull())
     read = read.withColumn("v", F.expr("try_parse_json(raw_json)"))
     listed = "schema_of_variant(variant_get(v, '$.metadata.retired_ids')) LIKE 'ARRAY%'"
     retired = _strings("v", "$.metadata.retired_ids")

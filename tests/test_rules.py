@@ -127,8 +127,10 @@ def test_structure_comes_first(spark):
 
 
 def test_duplicate_keys_are_json(spark):
-    raw = spark.createDataFrame([('{"id":"a","id":"b"}',), ("null",), ("[1",), ("",), (None,)], "raw string")
-    assert [r[0] for r in parsed(raw).select("ok_json").collect()] == [True, True, False, False, False]
+    raw = spark.createDataFrame([('{"id":"a","id":"b"}',), ("null",), ("[1",), ("",), (None,), ("1,2",), ('{"a":1} x',)], "raw string")
+    assert [r[0] for r in parsed(raw).select("ok_json").collect()] == [True, True, False, False, False, False, False]
+    odd = judged(spark, "1,2", "{'a': 1}", '{"a":1} x', "5").orderBy("path").select("ok_json", "valid", "issues.id").collect()
+    assert [tuple(r) for r in odd] == [(False, False, None)] * 3 + [(True, False, ["E-SCHEMA"])]
 
 
 def ext(kind, payload, declared="@1"):
