@@ -20,5 +20,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_licenses": licenses.ORACLE,
+    "op4_chat": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

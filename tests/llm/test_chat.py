@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from coursewright.llm import chat
 from coursewright.llm.common import table
+from tests.duck import same
 from tests.llm.conftest import SF
 
 FORM = chat.Format(chat.TEMPLATE)
@@ -36,6 +37,10 @@ def test_query_reads_back_what_went_in(spark):
     assert got == want
 
 
+def test_query_gives_the_rows_of_its_sql(spark):
+    same(chat.query(table(spark, SF, "conversations")), chat.ORACLE, SF)
+
+
 def test_odd_turns(spark):
     rows = [
         (1, 0, "user", None), (1, 1, "assistant", "</s>\\"), (1, 1, "assistant", "</s>\\"), (1, None, "system", "[/INST]"), (1, 2, "to[o]l %", "x"), (1, 3, None, ""),
