@@ -397,3 +397,23 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return classes(docs).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+#: The same classes by all pairs of texts that share a shingle, for small tables.
+ORACLE = rf"""
+WITH RECURSIVE rep AS (SELECT text, min(doc_id) AS node, count(*) AS n FROM documents GROUP BY text),
+w AS (SELECT node, n, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{{80}}-\x{{10ffff}}]+') AS ws FROM rep),
+s AS (
+  SELECT node, n, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w),
+t AS (SELECT node, n, shingle, 1 + ln(count(*)) AS tf FROM s GROUP BY node, n, shingle),
+x AS (SELECT node, shingle, tf * ln(1 + 1 / greatest(sum(n) OVER (PARTITION BY shingle) / (SELECT count(*) FROM documents), 1 / 3)) AS weight FROM t),
+total AS (SELECT node, sum(weight) AS weight FROM x GROUP BY node),
+pair AS (SELECT a.node AS a, b.node AS b, sum(least(a.weight, b.weight)) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.node < b.node GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN total p ON p.node = a JOIN total q ON q.node = b WHERE shared >= 0.8 * (p.weight + q.weight - shared)),
+arc AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reached AS (SELECT a, b FROM arc UNION SELECT r.a, arc.b FROM reached r JOIN arc ON r.b = arc.a),
+class AS (SELECT rep.text, least(node, coalesce(min(b), node)) AS class_id FROM rep LEFT JOIN reached ON a = node GROUP BY rep.text, node)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_rows, doc_id = class_id AS kept
+FROM documents d JOIN class c ON d.text IS NOT DISTINCT FROM c.text
+"""

@@ -21,5 +21,6 @@ QUERIES = {
 ORACLES = {
     "op2_licenses": licenses.ORACLE,
     "op4_chat": chat.ORACLE,
+    "op5_neardup": neardup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

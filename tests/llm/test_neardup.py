@@ -6,6 +6,8 @@ import pytest
 
 from coursewright.llm import neardup as nd
 from coursewright.llm.common import documents
+from tests.duck import same
+from tests.llm.conftest import SF
 
 
 def brute_force(texts: list[str | None], idf: nd.Idf) -> list[int]:
@@ -48,6 +50,10 @@ def test_documents(spark):
     compare(spark, [r.text for r in docs.collect()])
 
 
+def test_query_gives_the_rows_of_its_sql(spark):
+    same(nd.query(documents(spark, SF)), nd.ORACLE, SF)
+
+
 def edited(words, rng, n):
     out = list(words)
     for at in rng.choice(len(out), n, replace=False):
