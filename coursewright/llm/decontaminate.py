@@ -4,10 +4,12 @@ The test items come in slices of SLICE_BYTES of text at most, a size that a task
 however many items there are, the documents are read twice for each slice and never
 shuffled. First the documents that have each run of GRAM words of an item are counted, over
 all documents. An item's seeds are its runs of words that are rare: in RARE of the documents or
-fewer, or in no more than ODD times as many as its median run, so that an item that is in
-very many documents keeps its seeds and loses only phrases that are common elsewhere. Then the passages around a document's seeds, grouped by diagonal, are
+fewer, or in no more than ODD times as many as its median run among those that occur. The other
+runs that occur are common seeds. The passages around a document's seeds, grouped by diagonal, are
 aligned locally with the item: MATCH for an equal word, MISS for another, GAP for a missing
-one. The score is a share of what the item scores against itself; LEAST_SCORE and
+one. Where all seeds are common, a passage is aligned only if the words that it has in common
+with the item, in any order, could score enough (an exact upper bound), so that how often a
+leak is repeated never decides whether it is found. The score is a share of what the item scores against itself; LEAST_SCORE and
 LEAST_WORDS equal words in net terms (or a whole shorter item) make a leak.
 
 Defined results: a null or empty text or item matches nothing; an item of fewer than GRAM
@@ -56,20 +58,27 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best, end - back, end
 
 
-class Items:
-    """Words and seeds of a slice of items."""
+def most(item: np.ndarray, passage: np.ndarray) -> int:
+    """An upper bound of their score: each word in an aligned part is in the other text too, or costs 1."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
-        self.ids = ids
-        words = Words(pa.array([t or "" for t in texts], pa.string()))
-        self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        gram, at = words.grams(GRAM)
-        self.item, self.place = words.text[at], at - words.first[words.text[at]]
-        self.set_seeds(gram)
+    def best(words: np.ndarray, other: np.ndarray) -> int:
+        own = np.sort(other)
+        same = own[np.minimum(np.searchsorted(own, words), len(own) - 1)] == words
+        total = np.cumsum(np.where(same, MATCH, -min(-MISS, -GAP)))
+        return int((total - np.minimum.accumulate(np.r_[0, total[:-1]])).max())
+
+    return max(0, min(best(passage, item), best(item, passage))) if len(item) and len(passage) else 0
 
-    def set_seeds(self, gram: np.ndarray) -> None:
+
+class Seeds:
+    """Runs of words, and the item and place of each."""
+
+    def __init__(self, gram: np.ndarray, item: np.ndarray, place: np.ndarray):
+        self.set_seeds(gram, item, place)
+
+    def set_seeds(self, gram: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], self.item[order], self.place[order]
+        self.gram, self.item, self.place = gram[order], item[order], place[order]
         self.seeds, first = np.unique(self.gram, return_index=True)
         self.first = np.r_[first, len(self.gram)]
         self.likely = np.zeros(1 << 22, bool)
@@ -82,47 +91,71 @@ class Items:
         same = self.seeds[at] == gram[near]
         return near[same], at[same]
 
+    def entries(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index in ``gram``, item and place in it, of all places of the seeds."""
+        hit, seed = self.hits(gram)
+        size = self.first[seed + 1] - self.first[seed]
+        entry = np.repeat(self.first[seed], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(hit, size), self.item[entry], self.place[entry]
+
+
+class Items(Seeds):
+    """Words and seeds of a slice of items."""
+
+    def __init__(self, ids: list[int], texts: list[str | None]):
+        self.ids = ids
+        words = Words(pa.array([t or "" for t in texts], pa.string()))
+        self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        gram, at = words.grams(GRAM)
+        super().__init__(gram, words.text[at], at - words.first[words.text[at]])
+        self.common = Seeds(gram[:0], self.item[:0], self.place[:0])
+
     def keep_rare(self, df: np.ndarray, n_docs: int) -> None:
-        """Leave the seeds that are rare, or not much more frequent than others of their item."""
+        """Leave the seeds that are rare, or not much more frequent than others of their item; set apart the others that occur."""
         seen = df[np.searchsorted(self.seeds, self.gram)]
-        order = np.lexsort((seen, self.item))
+        there = np.flatnonzero(seen)
+        order = there[np.lexsort((seen[there], self.item[there]))]
         item = self.item[order]
         start = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(item)])
-        median = np.zeros(len(item))
+        median = np.zeros(len(seen))
         median[order] = np.repeat(seen[order][start + (size - 1) // 2], size)
         keep = seen <= np.maximum(max(1, RARE * n_docs), ODD * median)
-        gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self.set_seeds(gram)
+        self.common = Seeds(self.gram[~keep], self.item[~keep], self.place[~keep])
+        self.set_seeds(self.gram[keep], self.item[keep], self.place[keep])
 
     def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, last word) of the leaks."""
         words = Words(texts)
         gram, at = words.grams(GRAM)
-        hit, seed = self.hits(gram)
+        rare, common = self.entries(gram), self.common.entries(gram)
+        hit, item, place = (np.concatenate(both) for both in zip(rare, common, strict=True))
         if not len(hit):
             return
-        size = self.first[seed + 1] - self.first[seed]
-        entry = np.repeat(self.first[seed], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        word = np.repeat(at[hit], size)
-        text, item = words.text[word], self.item[entry]
-        diagonal = word - words.first[text] - self.place[entry]
+        is_rare = np.arange(len(hit)) < len(rare[0])
+        word = at[hit]
+        text = words.text[word]
+        diagonal = word - words.first[text] - place
         order = np.lexsort((diagonal, item, text))
-        text, item, diagonal = text[order], item[order], diagonal[order]
+        text, item, diagonal, is_rare = text[order], item[order], diagonal[order], is_rare[order]
         length = np.array([len(w) for w in self.words])
         slack = length[item] // 4 + 4
         border = np.ones(len(text), bool)
         border[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > 2 * slack[1:])
         start = np.flatnonzero(border)
+        some_rare = np.logical_or.reduceat(is_rare, start).tolist()
         found: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for lo, hi in zip(start.tolist(), np.r_[start[1:], len(text)].tolist(), strict=True):
+        for lo, hi, sure in zip(start.tolist(), np.r_[start[1:], len(text)].tolist(), some_rare, strict=True):
             t, i = int(text[lo]), int(item[lo])
             first, last = int(words.first[t]), int(words.first[t + 1])
             a = max(first, first + int(diagonal[lo]) - int(slack[lo]))
             b = min(last, first + int(diagonal[hi - 1]) + int(length[i]) + int(slack[lo]))
-            score, p, q = aligned(self.words[i], words.hash[a:b])
             whole = MATCH * int(length[i])
-            if score >= LEAST_SCORE * whole and score >= min(whole, MATCH * LEAST_WORDS):
+            enough = max(LEAST_SCORE * whole, min(whole, MATCH * LEAST_WORDS))
+            if not sure and most(self.words[i], words.hash[a:b]) < enough:
+                continue
+            score, p, q = aligned(self.words[i], words.hash[a:b])
+            if score >= enough:
                 got = (score / whole, a - first + p, a - first + q)
                 if got > found.get((t, i), (0.0, 0, 0)):
                     found[t, i] = got

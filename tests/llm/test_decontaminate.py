@@ -78,3 +78,34 @@ def test_every_item_keeps_seeds():
     items = dc.Items([1], ["a b c d e f g h"])
     items.keep_rare(np.where(items.seeds == items.seeds[2], 10**5, 50), 10**6)
     assert len(items.gram) == 4
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=9), st.lists(st.integers(0, 9), min_size=1, max_size=14))
+def test_bound_of_the_score(a, b):
+    assert dc.most(np.array(a, np.uint64), np.array(b, np.uint64)) >= plain_score(a, b)
+
+
+def test_repeated_edited_and_partial_passages(spark):
+    rng = np.random.default_rng(6)
+    noise = lambda n: [f"w{i}" for i in rng.integers(1 << 40, size=n)]
+    rows, want, items = [], set(), []
+
+    def put(item, said, times):
+        for _ in range(times):
+            want.add((len(rows), item))
+            rows.append((len(rows), " ".join(noise(30) + said + noise(30))))
+
+    for times in (2, 50, 3000):
+        for kind in ("edited", "partial", "edited beside whole", "partial beside others"):
+            item = noise(40)
+            items.append((len(items), " ".join(item)))
+            said = item[:20] if kind.startswith("partial") else [f"e{i}" if i % 7 == 6 else w for i, w in enumerate(item)]
+            put(len(items) - 1, said, times)
+            if kind == "edited beside whole":  # the runs across the edits are in one document
+                put(len(items) - 1, item, 1)
+            if kind == "partial beside others":  # the second half's runs are in one document each
+                rows.extend((len(rows) + i, " ".join(noise(30) + item[k : k + 9])) for i, k in enumerate(range(19, 32, 4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = dc.query(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
