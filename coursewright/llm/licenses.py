@@ -1,7 +1,10 @@
 """Licence scans by sentence rules, with DataFrame operations only.
 
-A text is cut into sentences, each sentence is normalised (lower case, runs of anything but
-ASCII letters and digits become one blank) and looked up among known licence sentences.
+A text is cut into sentences, which may be wrapped over lines with comment leaders; each is
+normalised (lower case, runs of anything but ASCII letters and digits become one blank) and
+looked up among known licence sentences. Where it is none, each of its lines is looked up. The
+SQL knows lines only: it gives the same rows where no known sentence is wrapped and no Apache
+header is there.
 The identifiers found, in order, are matched against ordered rules: a rule holds where its
 identifiers follow one another among those found. Everything is a projection of the row
 itself: no shuffle, and a text of any length stays in its row.
@@ -51,26 +54,35 @@ RULES = [
     ("proprietary", False, ["reserved"]),
 ]
 
-#: A sentence ends with a line, or with . ! ? before a blank or the end.
-BREAK = r"\n+|[.!?]+(\s+|$)"
+#: The standard header, beside what the SQL knows.
+HEADER = {"apache-2-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"}
+HEADER_RULES = [("Apache-2.0", True, ["apache-2-header"])]
+
+#: A line without words: blanks and a comment leader.
+EMPTY = r"[^\S\n]*[#*/;%-]*[^\S\n]*\n"
+#: A sentence ends with an empty line, a colon that ends a line, or . ! ? before a blank or the end.
+BREAK = rf"\n(?:{EMPTY})+|:[^\S\n]*\n|[.!?]+(\s+|$)"
+#: An empty line before an address does not end a sentence.
+BEFORE_URL = rf"\n(?:{EMPTY})+(?=[^\S\n]*[#*/;%-]*[^\S\n]*https?://)"
 OTHER = "[^a-z0-9]+"
 
 
-def normal_sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order."""
-    parts = F.split(F.coalesce(text, F.lit("")), BREAK)
-    return F.transform(parts, lambda s: F.btrim(F.regexp_replace(F.lower(s), OTHER, " ")))
+def normal(sentence: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(sentence), OTHER, " "))
 
 
-def sentence_ids(text: Column, known: dict[str, str] = SENTENCES) -> Column:
+def sentence_ids(text: Column, known: dict[str, str] = SENTENCES | HEADER) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     names = {sentence: name for name, sentence in known.items()}
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    found = F.filter(normal_sentences(text), lambda s: s.isin(list(names)))
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), BEFORE_URL, "\n"), BREAK)
+    is_known = lambda s: s.isin(list(names))
+    lines = lambda part: F.filter(F.transform(F.split(part, "\n+"), normal), is_known)
+    found = F.flatten(F.transform(parts, lambda s: F.when(is_known(normal(s)), F.array(normal(s))).otherwise(lines(s))))
     return F.transform(found, lambda s: F.element_at(lookup, s))
 
 
-def scan(docs: DataFrame, rules=RULES, known: dict[str, str] = SENTENCES) -> DataFrame:
+def scan(docs: DataFrame, rules=RULES + HEADER_RULES, known: dict[str, str] = SENTENCES | HEADER) -> DataFrame:
     """doc_id, sentence_ids (array, in order), licenses (array, in the order of the rules), commercial (null without a licence)."""
     trail = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     hits = [F.when(F.col("trail").contains(f",{','.join(ids)},"), F.struct(F.lit(name).alias("name"), F.lit(free).alias("free"))) for name, free, ids in rules]

@@ -1,3 +1,5 @@
+import textwrap
+
 from coursewright.llm import licenses
 from coursewright.llm.common import documents
 from tests.duck import same
@@ -22,3 +24,39 @@ def test_full_texts(spark):
     text = f"{said['mit-grant'].capitalize()}:\n\n{said['mit-condition']}.\n{said['mit-as-is']}."
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.licenses == ["MIT"] and row.commercial
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_wrapped_texts(spark):
+    said = licenses.SENTENCES
+    wrap = lambda name, end: textwrap.fill(said[name].capitalize() + end, 72)
+    mit = "MIT License\n\n" + "\n\n".join([wrap("mit-grant", ":"), wrap("mit-condition", "."), wrap("mit-as-is", ".")])
+    bsd = wrap("bsd-redistribute", ":") + "\n1. Source code must keep the notice.\n\n" + wrap("bsd-as-is", ".")
+    lead = lambda text, mark: "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+    whole = {"MIT": mit, "BSD": bsd, "Apache-2.0": APACHE, "GPL-3.0": GPL}
+    rows = [(name, form) for name, text in whole.items() for form in (text, lead(text, "#"), lead(text, " *"), lead(text, "//"), text.replace("\n", "\r\n"))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.licenses, r.commercial) for r in got] == [(name, [name], True) for name, _ in rows]
+    assert {tuple(r.sentence_ids) for r in got if r.doc_id == "Apache-2.0"} == {("apache-2-header", "apache-2-copy")}
+
+
+def test_one_line_notices_stay(spark):
+    text = "some words\nReleased under the MIT license\nAll rights reserved\nmore"
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().sentence_ids == ["mit-notice", "reserved"]
