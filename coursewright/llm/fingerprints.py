@@ -13,8 +13,9 @@ as well.
 
 Defined results: a null text is an empty one. An empty text has the empty fingerprint; two
 empty ones are alike (1), an empty and another are not (0). Rows with equal or null doc_id
-(null first) follow in order of text. A lone row is its own neighbour. No rows: no rows.
-Other columns are not read.
+(null first) follow in order of text, equal rows in any order. A lone row is its own neighbour.
+A very long text is one row of a task, chunked as a whole. No rows: no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -113,15 +114,13 @@ def fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def range_of(key: Column, borders: list[int]) -> Column:
-    """The number of borders at or below the key, as a search tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(borders[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(borders))
+    """The number of borders (sorted) at or below the key, by binary search: the plan has one array however many borders there are."""
+    if not borders:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(borders).bit_length()))]
+    at = F.array(*[F.lit(b) for b in borders])
+    onward = lambda n, step: F.when((n + step <= len(borders)) & (F.get(at, n + step - 1) <= key), n + step).otherwise(n)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), onward)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -132,11 +131,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"] if n > 1 else []
     rows = rows.withColumn("range", range_of(F.col("key"), sorted(set(cuts or []))))
     firsts = sorted((r["range"], r["key"]) for r in rows.groupBy("range").agg(F.min("key").alias("key")).collect())  # a row per task
-    host = F.lit(None).cast("int")
-    for (_, key), (before, _) in zip(firsts, firsts[-1:] + firsts[:-1], strict=True):
-        host = F.when(F.col("key") == key, before).otherwise(host)
+    hosts = [(key, before) for (_, key), (before, _) in zip(firsts, firsts[-1:] + firsts[:-1], strict=True)]
+    rows = rows.join(F.broadcast(spark.createDataFrame(hosts, "key long, host int")), "key", "left")
     homes = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")))
-    guests = F.when(host.isNotNull(), F.array(F.struct(host.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array())
+    guests = F.when(F.col("host").isNotNull(), F.array(F.struct(F.col("host").alias("range"), F.lit(True).alias("guest")))).otherwise(F.array())
     dealt = rows.select("doc_id", "text", "key", F.explode(F.concat(homes, guests)).alias("home")).select("doc_id", "text", "key", "home.*")
     return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "guest", "key", "text")
 

@@ -1,4 +1,5 @@
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 from hypothesis import given, settings
@@ -70,3 +71,28 @@ def test_query_is_that_of_a_plain_reader(spark, docs):
 def test_a_lone_row_is_its_own_neighbour(spark):
     (row,) = fp.query(spark.createDataFrame([(7, "ab" * 200)], "doc_id long, text string")).collect()
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(("ab" * 200).encode()).hexdigest()
+
+
+def test_ranges_are_those_of_bisection(spark):
+    rng = np.random.default_rng(3)
+    keys = [(int(k),) for k in rng.integers(-50, 50, 200)] + [(fp.FIRST_KEY,)]
+    rows = spark.createDataFrame(keys, "key long")
+    for n in (0, 1, 2, 3, 7, 8, 9, 40):
+        borders = sorted({int(b) for b in rng.integers(-50, 50, n)})
+        got = rows.select("key", fp.range_of(rows["key"], borders).alias("range")).collect()
+        assert [r.range for r in got] == [bisect_right(borders, r.key) for r in got]
+
+
+def test_the_plan_of_three_thousand_ranges(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        dealt = fp.with_next(rows)
+        assert "Exchange" in dealt._jdf.queryExecution().executedPlan().toString()
+        few = dealt.filter("doc_id < 40").select("doc_id", "range", "guest").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    home = {r.doc_id: r.range for r in few if not r.guest}
+    assert len(home) == 40 and len(set(home.values())) > 3
+    assert all(r.range == home[r.doc_id - 1] for r in few if r.guest and r.doc_id)
