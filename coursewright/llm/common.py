@@ -130,6 +130,41 @@ def by_filter(df: DataFrame, key: str, filtered: DataFrame, may_be_in: bool) ->
     return df.join(F.broadcast(filtered), is_set, "left_semi" if may_be_in else "left_anti")
 
 
+def bitmap(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A bit for the low bits of each long key, as bytes on the driver: of a fixed size however many keys there are."""
+    at = F.pmod(F.col(key), F.lit(bits)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # bits / PART_BITS at most
+    whole = np.zeros(bits // 8, np.uint8)
+    step = PART_BITS // 8
+    for r in rows:
+        whole[(r["part"] - 1) * step : r["part"] * step] = np.frombuffer(r["bits"], np.uint8)
+    return whole
+
+
+def in_bitmap(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each uint64 key is set."""
+    at = keys & np.uint64(8 * len(whole) - 1)
+    return (whole[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+#: A key of more than this part of the rows is looked up in a broadcast table: there are fewer than HOT such keys.
+HOT = 256
+
+
+def look_up(rows: DataFrame, values: DataFrame, key: str, spread: str = "inner") -> DataFrame:
+    """``rows`` joined with ``values`` (one row a key) where few keys may hold a large part of all rows.
+
+    Keys that more than 1 / HOT of the rows have meet a broadcast of fewer than HOT values, in
+    place; a shuffle deals the others, none of which can fill a task.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    total = rows.count()
+    hot = stored(sizes.filter(F.col("__n") * HOT > total).select(key).join(values, key), "hot-keys")
+    seen = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values, key, spread)
+    return seen.unionByName(rest)
+
+
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
