@@ -63,6 +63,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, each with so many underscores behind it that no column has it (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-blank characters; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -113,7 +124,7 @@ def key_filter(keys: DataFrame, key: str) -> DataFrame:
     parts = keys.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     one = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("of"), F.count("*").alias("n")).filter("n > 0")
     whole = F.sequence(F.lit(1).cast("long"), F.lit(FILTER_BITS // PART_BITS).cast("long"))
-    return one.select(F.transform(whole, lambda i: F.element_at("of", i)).alias("__bits"))
+    return one.select(F.transform(whole, lambda i: F.element_at("of", i)).alias("bits"))
 
 
 def by_filter(df: DataFrame, key: str, filtered: DataFrame, may_be_in: bool) -> DataFrame:
@@ -122,12 +133,13 @@ def by_filter(df: DataFrame, key: str, filtered: DataFrame, may_be_in: bool) ->
     The filter is one row of bounded size, so this is a test of each row and no product; it
     saves a shuffle of the rows that don't matter, and when the bits are full it saves none.
     """
+    (bits,) = spare(df.columns, "bits")
     at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    part = F.element_at("__bits", (at / PART_BITS).cast("int") + 1)
+    part = F.element_at(bits, (at / PART_BITS).cast("int") + 1)
     within = at % PART_BITS
     byte = F.conv(F.hex(F.substring(part, (within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.coalesce(F.getbit(byte, (within % 8).cast("int")) == 1, F.lit(False))
-    return df.join(F.broadcast(filtered), is_set, "left_semi" if may_be_in else "left_anti")
+    return df.join(F.broadcast(filtered.toDF(bits)), is_set, "left_semi" if may_be_in else "left_anti")
 
 
 def bitmap(keys: DataFrame, key: str, bits: int) -> np.ndarray:

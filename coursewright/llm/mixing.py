@@ -1,30 +1,35 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Each source's words, its documents one after the other in the order of a hash, are packed
-into blocks of fixed length. A source takes its target as slots: whole passes over its
-blocks, then a part of a pass, in the order that a pseudorandom index permutation of its
-own gives. One multinomial draw per slot deals the slots to output shards. Slots and
-documents meet in a join on (source, block).
+into blocks of fixed length. A source takes its target as slots, each a block or a part of one.
+How many slots of each source an output shard has is drawn: every source's slots fall on the
+shards multinomially, so that the counts of all shards together are those of the targets. A
+shard's slots then follow those of the shards before it, and a source's j-th slot is the block at
+place j of a pseudorandom index permutation of the source, a new one for each pass over its
+blocks; the last pass ends where the target is reached. Slots and documents meet in a join on
+(source, block).
 
 Defined results: null text or no word: size 0, nothing taken. A null source is a source of
-its own, the last. Rows that repeat are rows of their own. No rows: no rows. Other columns
-of the input are not read, so that their names cannot clash.
+its own, the last. Rows that repeat are rows of their own; rows of one doc_id follow in order of
+size, and which of two equal ones comes first does not show. A very long text has pieces in many
+blocks. No rows: no rows. Other columns of the input are not read, so that their names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import WORD_PATTERN, partitions, stored, word_count
+from coursewright.llm.common import WORD_PATTERN, partitions, spare, stored, word_count
 
 #: Words in a block, and slots that an output shard has on average.
 BLOCK_WORDS, SHARD_SLOTS = 1024, 1024
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
-#: Documents of a source are dealt by the first three hex digits of their hash, for sums that no single task makes.
-PREFIX = 3
-#: Primes just under 2^31. A source has fewer blocks than that, so each is coprime to their number.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+#: Rounds of a walk of the permutation, and walks at most: more than any cycle of a domain of 64 has, and beyond that
+#: fewer than 2 in 9 indices need another walk each time.
+ROUNDS, WALKS = 4, 64
 #: Slots that one row is exploded into.
 RUN = 4096
 
@@ -80,12 +85,39 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEA
     return s.select("key", "source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 
-def slots(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """key, slot, turn (pass over the source), block, len (words used of the block), draw: a row per slot, from rows (key, source_size, target).
+def permuted(at: Column, n: Column, seed: int, key: Column, turn: Column) -> Column:
+    """The place of index ``at`` in a pseudorandom permutation of 0 to n - 1, one for each seed, key and turn.
 
-    ``draw`` is a pseudorandom number; modulo a count of output shards it is the slot's shard.
+    A Feistel network on pairs below the root of n, rounded up, permutes the next square number;
+    what falls outside of n walks on. A state is a number, -1 - number when it has arrived.
     """
-    spark, b = sources.sparkSession, block_words
+    root = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+
+    def step(state: Column, i: Column) -> Column:
+        left, right = F.floor(state / root).cast("long"), state % root
+        moved = right * root + (left + number(F.lit(seed), F.lit("f"), key, turn, i % ROUNDS, right) % root) % root
+        return F.when(state < 0, state).when((i % ROUNDS == ROUNDS - 1) & (moved < n), -1 - moved).otherwise(moved)
+
+    return -1 - F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * WALKS - 1)), at.cast("long"), step)
+
+
+def spread(rows: DataFrame, n: str, name: str, *keys: str) -> DataFrame:
+    """Each row once for each number ``name`` from 0 to n - 1, dealt to tasks by ``keys`` in runs of RUN numbers."""
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {RUN}"))).alias("run")
+    dealt = rows.filter(f"{n} > 0").select("*", run).repartition(partitions(rows.sparkSession), *keys, "run")
+    return dealt.select("*", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col(n), (F.col("run") + 1) * RUN) - 1)).alias(name)).drop("run")
+
+
+def shard_counts(per: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """key, shard, k: how many slots of each source an output shard has, drawn slot by slot; from rows (key, n)."""
+    shards = F.greatest(F.ceil(F.sum("n").over(Window.partitionBy(F.lit(0))) / shard_slots), F.lit(1))  # a row per source
+    drawn = spread(per.select("key", "n", shards.alias("shards")), "n", "i", "key")
+    return drawn.groupBy("key", (number(F.lit(seed), F.lit("s"), F.col("key"), F.col("i")) % F.col("shards")).alias("shard")).agg(F.count("*").alias("k"))
+
+
+def slots(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """key, shard, slot, turn (pass over the source), block, len (words used of the block): a row per slot, from rows (key, source_size, target)."""
+    b = block_words
     per = (
         sources.filter("source_size > 0")
         .select("key", F.col("source_size").alias("s"), F.round("target").cast("long").alias("take"))
@@ -99,37 +131,30 @@ def slots(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) ->
         .withColumn("n", F.col("passes") * F.col("blocks") + F.col("rest_whole") + F.when(F.col("rest_part") > 0, 1).otherwise(0))
         .filter("n > 0")
     )
-    run = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))).alias("run")
-    dealt = per.select("*", run).repartition(partitions(spark), "key", "run")
-    slot = F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)).alias("slot")
-    mult = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (number(F.lit(seed), F.lit("p"), F.col("key"), F.col("turn")) % len(PRIMES) + 1).cast("int"))
-    add = number(F.lit(seed), F.lit("c"), F.col("key"), F.col("turn"))
-    permuted = (F.col("at") * (mult % F.col("whole")) + add % F.col("whole")) % F.col("whole")
+    before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per output shard
+    counts = shard_counts(per, seed, shard_slots).withColumn("start", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    each = spread(counts.join(F.broadcast(per), "key"), "k", "j", "key", "shard")
     in_rest = F.col("turn") == F.col("passes")
     return (
-        dealt.select("*", slot)
+        each.withColumn("slot", F.col("start") + F.col("j"))
         .withColumn("turn", F.expr("slot div blocks"))
         .withColumn("at", F.expr("slot % blocks"))
-        .withColumn("block", F.when(F.col("at") < F.col("whole"), permuted).otherwise(F.col("whole")))
+        .withColumn("block", F.when(F.col("at") < F.col("whole"), permuted(F.col("at"), F.col("whole"), seed, F.col("key"), F.col("turn"))).otherwise(F.col("whole")))
         .withColumn("len", F.when(in_rest & (F.col("at") == F.col("rest_whole")), F.col("rest_part")).when(F.col("at") < F.col("whole"), F.lit(b).cast("long")).otherwise(F.col("tail")))
-        .select("key", "slot", "turn", "block", "len", number(F.lit(seed), F.lit("s"), F.col("key"), F.col("slot")).alias("draw"))
+        .select("key", "shard", "slot", "turn", "block", "len")
     )
 
 
-def shard_counts(dealt: DataFrame, n_shards: int) -> DataFrame:
-    """shard, key, n: the multinomial counts of each source's slots per output shard."""
-    return dealt.groupBy((F.col("draw") % n_shards).alias("shard"), "key").agg(F.count("*").alias("n"))
-
-
 def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Taken words of each row, and the slots.
 
     First: row, doc_id, source, size, source_size, target, start (of the row's words in its
-    source), taken, and takes: an array of (turn, slot, draw, first, words) for each run of
+    source), taken, and takes: an array of (turn, slot, shard, first, words) for each run of
     words taken. Second: what ``slots`` gives.
     """
     base = stored(sized(docs), "mix-sizes")
-    bucket = F.substring("h", 1, PREFIX)
+    # documents of a source are dealt by the first hex digits of their hash: about as many buckets as documents in each
+    bucket = F.substring("h", 1, max(1, math.ceil(math.log(max(base.count(), 1), 16) / 2)))
     sums = base.groupBy("key", "source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
     targets = stored(source_targets(sums), "mix-targets")
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,13 +176,13 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple
     )
     words = F.greatest(F.least(F.col("hi"), F.coalesce(F.col("len"), F.lit(0))) - F.col("lo"), F.lit(0))
     joined = pieces.join(dealt.hint("merge"), ["key", "block"], "left")  # both sides grow with the corpus
-    take = F.when(words > 0, F.struct("turn", "slot", "draw", (F.col("block") * block_words + F.col("lo") - F.col("start")).alias("first"), words.alias("words")))
+    take = F.when(words > 0, F.struct("turn", "slot", "shard", (F.col("block") * block_words + F.col("lo") - F.col("start")).alias("first"), words.alias("words")))
     taken = (
         joined.groupBy("key", "start")
         .agg(*[F.first(c).alias(c) for c in keep], F.coalesce(F.sum(words), F.lit(0)).alias("taken"), F.collect_list(take).alias("takes"))
         .select(*keep, "start", "taken", "takes")
     )
-    none = F.array().cast("array<struct<turn:bigint,slot:bigint,draw:bigint,first:bigint,words:bigint>>")
+    none = F.array().cast("array<struct<turn:bigint,slot:bigint,shard:bigint,first:bigint,words:bigint>>")
     empty = placed.filter("size = 0").select(*keep, "start", F.lit(0).cast("long").alias("taken"), none.alias("takes"))
     return taken.unionByName(empty), dealt
 
@@ -173,16 +198,17 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     words_of = lambda turn: F.array_sort(F.transform(runs_of(turn), lambda t: F.struct(t["first"].alias("first"), t["words"].alias("words"))))
     turns = F.array_distinct(F.transform("takes", lambda t: t["turn"]))
     # a row's passes; what rows that repeat take is gathered, as it doesn't matter which of them has which pass
-    each = stored(taken.select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.transform(turns, words_of).alias("passes")), "mix-plan")
-    plan = each.groupBy("__row").agg(F.first("__size").alias("__size"), F.flatten(F.collect_list("passes")).alias("__passes"), F.count("*").alias("n"))
-    rows = docs.withColumn("__row", row_hash())
+    row, size, passes, runs = spare(docs.columns, "row", "size", "passes", "runs")
+    each = stored(taken.select(F.col("row").alias(row), F.col("size").alias(size), F.transform(turns, words_of).alias(passes)), "mix-plan")
+    plan = each.groupBy(row).agg(F.first(size).alias(size), F.flatten(F.collect_list(passes)).alias(passes), F.count("*").alias("n"))
+    rows = docs.withColumn(row, row_hash())
     if not plan.filter("n > 1").isEmpty():
-        rows = rows.dropDuplicates(["__row"])
-    plan = plan.filter(F.size("__passes") > 0).drop("n")
-    rows = rows.join(plan, "__row").withColumn("__runs", F.explode("__passes"))
+        rows = rows.dropDuplicates([row])
+    plan = plan.filter(F.size(passes) > 0).drop("n")
+    rows = rows.join(plan, row).withColumn(runs, F.explode(passes))
     words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
-    some = F.flatten(F.transform("__runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int"))))
-    whole = F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["words"]) >= F.col("__size")
+    some = F.flatten(F.transform(runs, lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int"))))
+    whole = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["words"]) >= F.col(size)
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(some, " ")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -190,8 +216,10 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """The contract's columns, the least output shard that takes words of a document (null: none) and how many do."""
     taken, _ = mix(docs)
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_sort(F.array_distinct(F.transform("takes", lambda t: t["shard"])))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", F.get(shards, F.lit(0)).alias("first_shard"), F.size(shards).cast("long").alias("n_shards"))
 
 
 ORACLE = f"""
@@ -211,14 +239,21 @@ per AS (
   SELECT *, s // {BLOCK_WORDS} AS whole, s % {BLOCK_WORDS} AS tail, round(target)::BIGINT AS take FROM tgt WHERE s > 0),
 per2 AS (
   SELECT *, whole + (tail > 0)::INT AS blocks, take // s AS passes, take % s AS rest, least((take % s) // {BLOCK_WORDS}, whole) AS rw FROM per),
+dr AS (
+  SELECT *, greatest(ceil(sum(nn) OVER () / {SHARD_SLOTS}), 1)::BIGINT AS shards
+  FROM (SELECT *, passes * blocks + rw + (rest > rw * {BLOCK_WORDS})::INT AS nn, ceil(sqrt(whole::DOUBLE))::BIGINT AS root FROM per2) WHERE nn > 0),
+ct AS (
+  SELECT k, ('0x' || substr(md5('0/s/' || k || '/' || i), 1, 15))::BIGINT % shards AS shard, count(*) AS kk
+  FROM (SELECT k, shards, unnest(range(nn::BIGINT)) AS i FROM dr) GROUP BY 1, 2),
 sl AS (
-  SELECT *, unnest(range(passes * blocks + rw + (rest > rw * {BLOCK_WORDS})::INT)) AS slot FROM per2),
+  SELECT dr.*, shard, unnest(range(first::BIGINT, (first + kk)::BIGINT)) AS slot
+  FROM (SELECT *, sum(kk) OVER (PARTITION BY k ORDER BY shard) - kk AS first FROM ct) c JOIN dr USING (k)),
 sl2 AS (
   SELECT *, slot // blocks AS turn, slot % blocks AS pos FROM sl),
 sl3 AS (
-  SELECT k, CASE WHEN pos < whole THEN
-      (pos * ({list(PRIMES)}[(('0x' || substr(md5('0/p/' || k || '/' || turn), 1, 15))::BIGINT % {len(PRIMES)} + 1)::INT] % whole)
-       + ('0x' || substr(md5('0/c/' || k || '/' || turn), 1, 15))::BIGINT % whole) % whole ELSE whole END AS block,
+  SELECT k, shard, CASE WHEN pos < whole THEN -1 - list_reduce(range({ROUNDS * WALKS}), lambda state, i: CASE
+      WHEN state < 0 THEN state
+      WHEN i % {ROUNDS} = {ROUNDS - 1} AND MOVED < whole THEN -1 - MOVED ELSE MOVED END, pos::BIGINT) ELSE whole END AS block,
     CASE WHEN turn = passes AND pos = rw THEN rest - rw * {BLOCK_WORDS} WHEN pos < whole THEN {BLOCK_WORDS} ELSE tail END AS n
   FROM sl2),
 pos AS (
@@ -226,9 +261,14 @@ pos AS (
 pc AS (
   SELECT *, unnest(range((start // {BLOCK_WORDS})::BIGINT, ((start + size - 1) // {BLOCK_WORDS})::BIGINT + 1)) AS block FROM pos WHERE size > 0),
 tk AS (
-  SELECT pc.k, pc.start, sum(greatest(0, least(least(start + size - pc.block * {BLOCK_WORDS}, {BLOCK_WORDS}), sl3.n)
-      - greatest(start - pc.block * {BLOCK_WORDS}, 0)))::BIGINT AS taken
-  FROM pc JOIN sl3 ON pc.k = sl3.k AND pc.block = sl3.block GROUP BY 1, 2)
-SELECT pos.doc_id, pos.size, tgt.s AS source_size, tgt.target AS target, (CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END)::BIGINT AS taken
+  SELECT k, start, sum(words)::BIGINT AS taken, min(shard) FILTER (words > 0) AS first_shard, count(DISTINCT shard) FILTER (words > 0) AS n_shards
+  FROM (
+    SELECT pc.k, pc.start, sl3.shard, greatest(0, least(least(start + size - pc.block * {BLOCK_WORDS}, {BLOCK_WORDS}), sl3.n)
+      - greatest(start - pc.block * {BLOCK_WORDS}, 0)) AS words
+    FROM pc JOIN sl3 ON pc.k = sl3.k AND pc.block = sl3.block) GROUP BY 1, 2)
+SELECT pos.doc_id, pos.size, tgt.s AS source_size, tgt.target AS target, (CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END)::BIGINT AS taken,
+  first_shard, coalesce(n_shards, 0) AS n_shards
 FROM pos JOIN tgt USING (k) LEFT JOIN tk ON tk.k = pos.k AND tk.start = pos.start AND pos.size > 0
-"""
+""".replace(
+    "MOVED", f"((state % root) * root + (state // root + ('0x' || substr(md5('0/f/' || k || '/' || turn || '/' || (i % {ROUNDS}) || '/' || (state % root)), 1, 15))::BIGINT % root) % root)"
+)

@@ -46,12 +46,39 @@ def test_taken_words(spark):
 
 def test_permutation_takes_each_block_once(spark):
     sources = spark.createDataFrame([("sa", 10_000, 14_999.6), ("sb", 37, 20.0), ("sc", 5, 10.0)], "key string, source_size long, target double")
-    dealt = mixing.slots(sources, block_words=16)
-    turns = dealt.groupBy("key", "turn", "block").count()
-    assert turns.filter("count > 1").count() == 0
+    dealt = mixing.slots(sources, block_words=16, shard_slots=100).cache()
+    assert dealt.groupBy("key", "turn", "block").count().filter("count > 1").count() == 0
     assert {r.key: r.n for r in dealt.groupBy("key").agg(F.sum("len").alias("n")).collect()} == {"sa": 15_000, "sb": 20, "sc": 10}
-    counts = mixing.shard_counts(dealt, 4)
-    assert counts.agg(F.sum("n")).first()[0] == dealt.count()
+    # every pass but the last is over all blocks, and slots are numbered without gaps, shard after shard
+    rows = dealt.filter("key = 'sa'").orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(len(rows))) and [r.shard for r in rows] == sorted(r.shard for r in rows)
+    assert {r.block for r in rows if r.turn == 0} == set(range(625))
+
+
+def test_permutations_of_all_small_sizes(spark):
+    rows = spark.range(1, 120).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("at"))
+    got = rows.select("n", "at", mixing.permuted(F.col("at"), F.col("n"), 3, F.lit("sa"), F.lit(1)).alias("to")).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.n, {})[r.at] = r.to
+    assert all(sorted(to.values()) == list(range(n)) for n, to in by.items())
+    far = [abs(by[100][i] - by[100][i + 1]) for i in range(99)]
+    assert sum(far) / 99 > 20 and by[100] != by[99]
+
+
+def test_shard_counts_are_multinomial_and_sum_to_the_slots(spark):
+    per = spark.createDataFrame([("sa", 30_000), ("sb", 10_000), ("sc", 7)], "key string, n long")
+    counts = mixing.shard_counts(per, shard_slots=1000).toPandas()
+    assert counts.groupby("key").k.sum().to_dict() == {"sa": 30_000, "sb": 10_000, "sc": 7}
+    assert set(counts.shard) <= set(range(41))
+    for key, n in (("sa", 30_000), ("sb", 10_000)):
+        some = counts[counts.key == key].k
+        expected = n / 41
+        chi = ((some - expected) ** 2 / expected).sum()
+        assert len(some) == 41 and 15 < chi < 80  # 40 degrees of freedom
+    again = mixing.shard_counts(per.repartition(3), shard_slots=1000).toPandas()
+    order = ["key", "shard"]
+    assert counts.sort_values(order).values.tolist() == again.sort_values(order).values.tolist()
 
 
 def test_mixed_documents_hold_the_words_taken(spark):
