@@ -1,24 +1,30 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-A document is the weighted set of its runs of five words: (1 + ln tf) * ln(1 + 1 / max(f, 1/3)),
-where f is the share of documents that have the shingle, counted over all documents in
-2^20 hashed counters. The share is cut at 1/3 because a group of copies may hold a third of
-the documents and must not pass for boilerplate. SAMPLES consistent samples give BANDS
-keys; documents that share a key are candidates, and a candidate pair is a link if its
-exact weighted Jaccard similarity is SIMILAR or more.
+A document is the weighted set of its runs of five words: (1 + ln tf) * ln(1 + 1 / f), where f
+is the share of documents that have the shingle, LEAST_SHARE at least. A group of near copies may
+hold a third of all documents, and must not pass for boilerplate; so documents are counted by
+candidate groups, those that have the same least shingle hash: a document counts as one by the
+size of its group. Group sizes and shares are kept in hashed counters of fixed size and counted
+over all documents. SAMPLES consistent samples give BANDS keys; documents that share a key are
+candidates, and a candidate pair is a link if its exact weighted Jaccard similarity is SIMILAR or
+more. Candidates with so few equal samples that a link among them is one in a million (AGREE) are
+not looked at.
 
 Equal texts are one node. In a bucket, all nodes are compared with the one that meets most
 others in buckets, the least edited copy of a group. Where this leaves several components, a
 node's reach is the weight it shares with any other node of such buckets: no similarity is
 greater, so nodes of less reach than SIMILAR have no more links. The others are compared
-exactly with all others of their cluster (what buckets connect), in blocks, and a task sends
-only links that join components. So a group of thousands of copies makes thousands of pairs,
-and no link between candidates is lost. The classes are the connected components.
+exactly within their cluster (what buckets connect), in blocks, but for pairs inside of
+the cluster's largest component, which need no more links; a task sends only links that join
+components. So a group of thousands of copies makes thousands of pairs, and the work on what is
+left grows with the nodes outside of the largest component times all nodes of the cluster. The
+classes are the connected components.
 
 Defined results: null texts are one class, as are equal texts, also those without a word.
-A text of fewer than five words is one shingle. class_id is the least doc_id of a class.
-Rows that repeat are one node, and rows of the result each; no rows, no rows. Other columns
-are not read.
+A text of fewer than five words is one shingle. A very long text is one set, of all its
+shingles. class_id is the least doc_id of a class; among nodes that meet equally many others
+the greatest is compared with the rest. Rows that repeat are one node, and rows of the result
+each; no rows, no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import Words, blocks, by_filter, in_arrow, key_filter, mix, stored
+from coursewright.llm.common import Words, blocks, by_filter, in_arrow, key_filter, look_up, mix, spare, stored
 from coursewright.llm.components import components
 
 GRAM, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
-#: Share of agreeing samples below which a pair is not verified: four standard deviations under SIMILAR.
-AGREE = 27
-COUNTERS, PARTS, COMMON = 1 << 20, 64, 1 / 3
+#: Equal samples below which a pair is not verified: five standard deviations under what SIMILAR makes likely.
+AGREE = 24
+COUNTERS, PARTS, LEAST_SHARE = 1 << 20, 64, 1 / 100
 HASH_BITS = 44
 #: Shingles in a block of sets that are compared with each other.
 SET_BLOCK = 1 << 18
@@ -63,12 +69,12 @@ def counter_of(shingle: np.ndarray) -> np.ndarray:
 
 
 class Idf:
-    """ln(1 + 1 / max(share, COMMON)) of a shingle: one value but for the counters of common shingles."""
+    """ln(1 + 1 / share) of a shingle, for a share of LEAST_SHARE or more; from the counters of the shingles above it."""
 
     def __init__(self, counter: np.ndarray, share: np.ndarray):
         order = np.argsort(counter)
         self.counter, self.value = counter[order], np.log1p(1 / share[order]).astype(np.float32)
-        self.rare = np.float32(np.log1p(1 / COMMON))
+        self.rare = np.float32(np.log1p(1 / LEAST_SHARE))
 
     def of(self, shingle: np.ndarray) -> np.ndarray:
         if not len(self.counter):
@@ -78,35 +84,62 @@ class Idf:
         return np.where(self.counter[at] == own, self.value[at], self.rare)
 
 
-def common_shingles(docs: DataFrame) -> Idf:
-    """The counters whose shingles more than COMMON of all documents have, with their shares.
+def counted(docs: DataFrame, count, above: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Counters and what ``count`` (shingle keys of a block -> counters, amounts, total) adds to them over all
+    documents, and the sum of all totals; of counters with more than ``above`` times that sum.
 
-    Tasks count on their own and send compressed parts of the counters, which are summed part
-    by part. The driver gets the common ones: a document has so many counters on average at
-    most, divided by COMMON, however many documents there are.
+    Tasks count on their own and send compressed parts of the counters, which are summed part by part.
     """
     step = COUNTERS // PARTS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(COUNTERS, np.int64), 0
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(COUNTERS, np.float32), 0.0
         for batch in blocks(batches):
-            text, shingle, _ = shingles(batch.column("text"))
-            both = np.unique(text << np.int64(20) | counter_of(shingle))
-            total += np.bincount(both & (COUNTERS - 1), minlength=COUNTERS)
-            n += len(batch)
+            at, amount, some = count(*shingles(batch.column("text"))[:2])
+            total += np.bincount(at, amount, COUNTERS).astype(np.float32)
+            n += some
         if n:
             parts = [zlib.compress(total[i * step : (i + 1) * step].tobytes(), 1) for i in range(PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * PARTS, pa.int64())], ["part", "counts", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * PARTS, pa.float64())], ["part", "counts", "n"])
 
     def add(table: pa.Table) -> pa.Table:
-        total, n = np.zeros(step, np.int64), sum(table.column("n").to_pylist())
+        total, n = np.zeros(step), sum(table.column("n").to_pylist())
         for counts in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(counts), np.int64)
-        at = np.flatnonzero(total > COMMON * n)
-        return pa.table({"counter": at + step * table.column("part")[0].as_py(), "share": total[at] / n})
+            total += np.frombuffer(zlib.decompress(counts), np.float32)
+        at = np.flatnonzero(total > above * n)
+        return pa.table({"counter": at + step * table.column("part")[0].as_py(), "amount": total[at], "n": np.full(len(at), n)})
+
+    rows = in_arrow(docs.select("text"), work, "part int, counts binary, n double").groupBy("part").applyInArrow(add, "counter long, amount double, n double").collect()  # COUNTERS at most
+    return np.array([r["counter"] for r in rows], np.int64), np.array([r["amount"] for r in rows], float), rows[0]["n"] if rows else 0.0
+
+
+def least_shingles(text: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have a shingle, and the counter of the one with the least hash."""
+    start = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(mix(shingle), start) if len(text) else shingle
+    return text[start], (least >> np.uint64(44)).astype(np.int64)
+
+
+def common_shingles(docs: DataFrame) -> Idf:
+    """The counters whose shingles more than LEAST_SHARE of all documents have, by candidate groups, with their shares."""
+
+    def group_sizes(text: np.ndarray, shingle: np.ndarray):
+        _, group = least_shingles(text, shingle)
+        return group, np.ones(len(group)), len(group)
 
-    rows = in_arrow(docs.select("text"), count, "part int, counts binary, n long").groupBy("part").applyInArrow(add, "counter long, share double").collect()
-    return Idf(np.array([r["counter"] for r in rows], np.int64), np.array([r["share"] for r in rows], float))
+    at, size, _ = counted(docs, group_sizes, 0.0)
+    sizes = np.ones(COUNTERS, np.float32)
+    sizes[at] = size
+    shared = docs.sparkSession.sparkContext.broadcast(sizes)
+
+    def shares(text: np.ndarray, shingle: np.ndarray):
+        owner, group = least_shingles(text, shingle)
+        part = 1.0 / shared.value[group]
+        both = np.unique(np.searchsorted(owner, text) << np.int64(20) | counter_of(shingle))
+        return both & (COUNTERS - 1), part[both >> np.int64(20)], float(part.sum())
+
+    at, amount, n = counted(docs, shares, LEAST_SHARE)
+    return Idf(at, np.minimum(amount / max(n, 1e-300), 1.0))
 
 
 def weights(shingle: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
@@ -292,33 +325,40 @@ def joined_sets(rows: pa.Table) -> list[tuple[int, int]]:
 def within(texts: DataFrame, nodes: DataFrame, idf: Idf) -> DataFrame:
     """a, b: links that join the components of each cluster, from nodes (node, own, cluster).
 
-    A cluster's nodes are dealt to blocks of SET_BLOCK shingles, and a task compares two
-    blocks; what it sends are links that join components, not pairs.
+    A cluster's nodes are dealt to blocks of SET_BLOCK shingles, those of its largest component
+    apart from the others, and a task compares two blocks, of which one holds others at least;
+    what it sends are links that join components, not pairs.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             text, shingle, tf = shingles(batch.column("text"))
             cut = pa.array(np.searchsorted(text, np.arange(len(batch) + 1)), pa.int32())
-            columns = [batch.column(c) for c in ("node", "own", "cluster")]
+            columns = [batch.column(c) for c in ("node", "own", "cluster", "main")]
             lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (shingle.view(np.int64), weights(shingle, tf, idf).astype(np.float64))]
-            yield pa.RecordBatch.from_arrays([*columns, *lists], ["node", "own", "cluster", "shingles", "weights"])
+            yield pa.RecordBatch.from_arrays([*columns, *lists], ["node", "own", "cluster", "main", "shingles", "weights"])
 
     def linked(rows: pa.Table) -> pa.Table:
         pairs = np.array(joined_sets(rows), np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    several = nodes.groupBy("cluster").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("cluster")
-    schema = "node long, own long, cluster long, shingles array<long>, weights array<double>"
-    found = stored(in_arrow(texts.join(nodes.join(several, "cluster"), "node").select("node", "own", "cluster", "text"), sets, schema), "near-sets")
-    cuts = found.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / SET_BLOCK).cast("long").alias("cuts"))
-    dealt = found.join(cuts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    sizes = nodes.groupBy("cluster", "own").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("cluster").agg(F.count("*").alias("parts"), F.max_by("own", F.struct("n", "own")).alias("largest")).filter("parts > 1")
+    some = nodes.join(several, "cluster").select("node", "own", "cluster", (F.col("own") == F.col("largest")).alias("main"))
+    schema = "node long, own long, cluster long, main boolean, shingles array<long>, weights array<double>"
+    found = stored(in_arrow(texts.join(some, "node").select("node", "own", "cluster", "main", "text"), sets, schema), "near-sets")
+    cuts = lambda which: F.ceil(F.sum(F.when(which, F.size("shingles")).otherwise(0)) / SET_BLOCK).cast("long")
+    cut = found.groupBy("cluster").agg(cuts(~F.col("main")).alias("others"), cuts(F.col("main")).alias("mains"))
+    dealt = found.join(cut, "cluster").withColumn("others", F.greatest("others", F.lit(1)))
+    one = F.lit(1).cast("long")
+    block = F.when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("node"), F.greatest("mains", one))).otherwise(F.pmod(F.xxhash64("node"), "others"))
+    last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     return dealt.groupBy("cluster", "i", "j").applyInArrow(linked, "a long, b long")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node) of all documents, and (node, component) of the nodes that are linked to others."""
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, node) of all documents, (node, component) of the nodes that are linked to others, and the links found (a, b)."""
     idf = common_shingles(docs)
     marked = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
     drawn = stored(signatures(marked, idf).groupBy("node").agg(F.first("keys").alias("keys"), F.first("drawn").alias("drawn")), "near-drawn")
@@ -330,7 +370,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     needed = company.select("node").join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
     likely = by_filter(marked.filter("text IS NOT NULL"), "node", key_filter(company, "node"), True)
-    texts = stored(likely.join(needed, ["doc_id", "node"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    texts = stored(same_row(likely, needed).select("node", "text").dropDuplicates(["node"]), "near-texts")
     drawn = drawn.select("node", "drawn")
 
     # the node with most company is the least edited of a group of copies
@@ -345,7 +385,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     able = reach(texts, rest.select("node").distinct(), idf).filter(F.col("reach") >= SIMILAR - 1e-6).select("node")
     rest = stored(apart(rest.select("bucket", "node").join(able, "node"), found), "near-able")
     if rest.isEmpty():
-        return rows, found
+        return rows, found, edges
     meets = rest.groupBy("bucket").agg(F.min("node").alias("b"))
     clusters = components(rest.join(meets, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "cluster")
     owns = rest.groupBy("node").agg(F.first("own").alias("own"))
@@ -356,20 +396,44 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     known = found.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     lone = joined.join(found, joined["component"] == found["node"], "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
-    return rows, known.unionByName(lone)
+    return rows, known.unionByName(lone), edges.unionByName(more)
 
 
-def classed(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class of each row."""
-    rows, found = links(docs)
-    return rows.join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
+def by_class(rows: DataFrame, found: DataFrame, *values) -> DataFrame:
+    """``rows`` with ``values``, aggregates over each class of its nodes (node, first: the least (none, doc_id), n: rows).
+
+    Nodes are classed first and rows meet the result once; a class or a node may hold a third of all rows.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    nodes = rows.groupBy("node").agg(first, F.count("*").alias("n")).join(found, "node", "left")
+    nodes = stored(nodes.withColumn("class", F.coalesce("component", "node")).drop("component"), "near-nodes")
+    known = look_up(nodes.select("node", "class"), nodes.groupBy("class").agg(*values), "class").drop("class")
+    return look_up(rows, stored(known, "near-known"), "node")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), class_rows, for each row."""
-    of = classed(docs)
-    sizes = of.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
-    return of.join(sizes, "class").select("doc_id", "class_id", "class_rows")
+    rows, found, _ = links(docs)
+    told = by_class(rows, found, F.min("first.doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
+    return told.select("doc_id", "class_id", "class_rows")
+
+
+def found_links(docs: DataFrame) -> DataFrame:
+    """doc_id, other_id (the least ids of both texts), similarity: the links that make the classes, each verified."""
+    rows, _, edges = links(docs)
+    marked = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
+    ends = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"), "near-ends")
+    likely = by_filter(marked.filter("text IS NOT NULL"), "node", key_filter(ends, "node"), True)
+    texts = stored(same_row(likely, ends).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    told = verified(edges.distinct(), texts, common_shingles(docs))
+    name = lambda side, id_: ends.select(F.col("node").alias(side), F.col("doc_id").alias(id_))
+    return told.join(name("a", "doc_id"), "a").join(name("b", "other_id"), "b").select("doc_id", "other_id", "similarity")
+
+
+def same_row(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id, null or not, and node are wanted."""
+    id_ = lambda df: F.struct(F.coalesce(df["doc_id"], F.lit(0)).alias("id"), df["doc_id"].isNull().alias("none"))
+    return rows.withColumn("id", id_(rows)).join(wanted.select("node", id_(wanted).alias("id")), ["id", "node"])
 
 
 def row_key(doc_id: Column, node: Column) -> Column:
@@ -377,29 +441,31 @@ def row_key(doc_id: Column, node: Column) -> Column:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each class, one of the least doc_id, with all its columns.
+    """One row of each class, one of the least doc_id (null only where there is no other), with all its columns.
 
-    Only rows that may have to go are shuffled.
+    Of equal rows any one stays. Only rows that may have to go are shuffled.
     """
-    of = stored(classed(docs), "near-classes")
-    first = of.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
-    rows = of.join(first, "class").groupBy(row_key(F.col("doc_id"), F.col("node")).alias("__key")).agg(F.count("*").alias("n"), F.first(stays).alias("__stays"))
-    odd = stored(rows.filter("NOT __stays OR n > 1").select("__key", "__stays"), "near-odd")
-    bits = key_filter(odd, "__key")
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), node_of(F.col("text"))))
-    rest = by_filter(keyed, "__key", bits, True).join(odd, "__key", "left")
-    kept = by_filter(keyed, "__key", bits, False).select(*docs.columns).unionByName(rest.filter("__stays IS NULL").select(*docs.columns))
-    if odd.filter("__stays").isEmpty():
+    rows, found, _ = links(docs)
+    best = by_class(rows, found, F.min(F.struct("first.none", "first.doc_id", "node")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node"))
+    keys = best.groupBy(row_key(F.col("doc_id"), F.col("node")).alias("key")).agg(F.count("*").alias("n"), F.bool_or(stays).alias("stays"))
+    odd = stored(keys.filter("NOT stays OR n > 1").select("key", "stays"), "near-odd")
+    key, stays = spare(docs.columns, "key", "stays")
+    odd, bits = odd.toDF(key, stays), key_filter(odd, "key")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), node_of(F.col("text"))))
+    rest = by_filter(keyed, key, bits, True).join(odd, key, "left")
+    kept = by_filter(keyed, key, bits, False).select(*docs.columns).unionByName(rest.filter(F.col(stays).isNull()).select(*docs.columns))
+    if odd.filter(F.col(stays)).isEmpty():
         return kept
-    return kept.unionByName(rest.filter("__stays").dropDuplicates(["__key"]).select(*docs.columns))
+    return kept.unionByName(rest.filter(F.col(stays)).dropDuplicates([key]).select(*docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
     return classes(docs).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
-#: The same classes by all pairs of texts that share a shingle, for small tables.
+#: The same classes by all pairs of texts that share a shingle, for small tables. Candidate groups go by md5 here, another
+#: sample of the same kind: shares of common shingles differ a little, classes only where a pair is that near to SIMILAR.
 ORACLE = rf"""
 WITH RECURSIVE rep AS (SELECT text, min(doc_id) AS node, count(*) AS n FROM documents GROUP BY text),
 w AS (SELECT node, n, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{{80}}-\x{{10ffff}}]+') AS ws FROM rep),
@@ -407,7 +473,9 @@ s AS (
   SELECT node, n, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w),
 t AS (SELECT node, n, shingle, 1 + ln(count(*)) AS tf FROM s GROUP BY node, n, shingle),
-x AS (SELECT node, shingle, tf * ln(1 + 1 / greatest(sum(n) OVER (PARTITION BY shingle) / (SELECT count(*) FROM documents), 1 / 3)) AS weight FROM t),
+g AS (SELECT node, any_value(n) AS n, min(md5(shingle)) AS grp FROM t GROUP BY node),
+part AS (SELECT node, n / sum(n) OVER (PARTITION BY grp) AS part FROM g),
+x AS (SELECT node, shingle, tf * ln(1 + 1 / greatest(sum(part) OVER (PARTITION BY shingle) / (SELECT sum(part) FROM part), {LEAST_SHARE})) AS weight FROM t JOIN part USING (node)),
 total AS (SELECT node, sum(weight) AS weight FROM x GROUP BY node),
 pair AS (SELECT a.node AS a, b.node AS b, sum(least(a.weight, b.weight)) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.node < b.node GROUP BY 1, 2),
 link AS (SELECT a, b FROM pair JOIN total p ON p.node = a JOIN total q ON q.node = b WHERE shared >= 0.8 * (p.weight + q.weight - shared)),

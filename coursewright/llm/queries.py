@@ -11,6 +11,7 @@ QUERIES = {
     "op3_sharding": lambda spark, sf_dir: sharding.query(documents(spark, sf_dir)),
     "op4_chat": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
     "op5_neardup": lambda spark, sf_dir: neardup.query(documents(spark, sf_dir)),
+    "neardup_links": lambda spark, sf_dir: neardup.found_links(documents(spark, sf_dir)),
     "op6_langid": lambda spark, sf_dir: langid.query(documents(spark, sf_dir)),
     "op7_decontaminate": lambda spark, sf_dir: decontaminate.query(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
     "op8_passages": lambda spark, sf_dir: passages.query(documents(spark, sf_dir)),

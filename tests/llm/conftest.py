@@ -5,7 +5,7 @@ from coursewright.llm.common import documents
 SF = "/root/testdata/sf0.001"
 
 #: Columns that operators use inside, as columns of the input.
-CLASHES = ["size", "score", "node", "shard", "slot", "key", "row", "text_a", "bucket", "rejected"]
+CLASHES = ["size", "score", "node", "shard", "slot", "key", "row", "text_a", "bucket", "rejected", "said", "bits", "stays", "runs", "passes", "whole", "id", "__key", "__row", "__text", "Size_"]
 
 
 @pytest.fixture(scope="session")

@@ -86,12 +86,54 @@ def test_weights_and_samples_agree_with_similarity():
     assert all(abs(a - b) < 0.25 for a, b in zip(sims, same, strict=True)) and sims[0] > 0.7 > sims[1] and same[2] == 0
 
 
+def plain_shares(texts: list[str]) -> dict[int, float]:
+    """The share of each shingle, by candidate groups."""
+    text, shingle, _ = nd.shingles(pa.array(texts))
+    sets = [set(shingle[text == i].tolist()) for i in range(len(texts))]
+    group = [min(nd.mix(np.array(sorted(s), np.uint64)).tolist()) >> 44 if s else None for s in sets]
+    part = [1 / group.count(g) if g is not None else 0.0 for g in group]
+    share: dict = defaultdict(float)
+    for s, p in zip(sets, part, strict=True):
+        for x in s:
+            share[x] += p / sum(part)
+    return share
+
+
 def test_common_shingles_weigh_less(spark):
-    rows = spark.createDataFrame([(f"a b c d e f{i} g{i} h{i} i{i} j{i}",) for i in range(40)], "text string")
+    """Boilerplate loses weight with its share; what copies of one text share does not."""
+    rng = np.random.default_rng(1)
+    noise = lambda n: " ".join(f"n{i}" for i in rng.integers(0, 1 << 40, n))
+    half, tenth = "this half of all texts says so", "one in ten says this much here"
+    texts = [f"{noise(30)} {half if i % 2 else ''} {tenth if i % 10 == 0 else ''}" for i in range(200)]
+    copied = noise(80)
+    texts += [copied] * 100 + [f"{copied} {noise(1)}" for _ in range(100)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     idf = nd.common_shingles(rows)
-    _, shingle, _ = nd.shingles(pa.array(["a b c d e"]))
-    _, other, _ = nd.shingles(pa.array(["never seen before at all"]))
-    assert idf.of(shingle)[0] == pytest.approx(np.log(2)) and idf.of(other)[0] == pytest.approx(np.log(4))
+    want = plain_shares(texts)
+    weight = lambda said: idf.of(nd.shingles(pa.array([said]))[1]).tolist()
+    for said in (half, tenth, copied):
+        expected = [np.log1p(1 / max(want[x], nd.LEAST_SHARE)) for x in nd.shingles(pa.array([said]))[1].tolist()]
+        assert weight(said) == pytest.approx(expected, rel=1e-3)
+    assert max(weight(half)) < max(weight(tenth)) < min(weight(copied)) and min(weight("never seen before at all")) == pytest.approx(np.log1p(1 / nd.LEAST_SHARE))
+
+
+def test_links_are_told_and_verified(spark):
+    docs = documents(spark, SF)
+    said = {r.doc_id: r.text for r in docs.collect()}
+    found = nd.found_links(docs).collect()
+    idf = nd.common_shingles(docs)
+    sims = nd.similarities(pa.array([said[r.doc_id] for r in found]), pa.array([said[r.other_id] for r in found]), idf)
+    assert found and [r.similarity for r in found] == pytest.approx(sims.tolist()) and min(sims) >= nd.SIMILAR
+    of = {r.doc_id: r.class_id for r in nd.query(docs).collect()}
+    assert all(of[r.doc_id] == of[r.other_id] and said[r.doc_id] != said[r.other_id] for r in found)
+
+
+def test_near_copies_on_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "x"])), (None, "another text of six words altogether"), (4, " ".join([*words, "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.class_rows, str(r.class_id)) for r in nd.query(docs).collect()) == [(1, "None"), (3, "4"), (3, "4"), (3, "4")]
+    assert sorted(map(str, (r.doc_id for r in nd.representatives(docs).collect()))) == ["4", "None"]
 
 
 def test_blocks_of_sets_find_what_one_block_finds(spark, monkeypatch):
