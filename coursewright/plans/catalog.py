@@ -465,3 +465,6 @@ def prompts(spark, sf_dir):
 @query("q32_blank", "SELECT doc_id, trim(regexp_extract(text, '^\\S*')) = '' AS is_blank FROM documents")
 def blanks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", blank(F.regexp_extract("text", r"\A\S*", 0)).alias("is_blank"))
+
+
+from coursewright.plans import catalog_lessons  # noqa: E402, F401  adds its queries
