@@ -67,7 +67,7 @@ def _places(value, path: str):
 def _described(raw: str | None) -> list[dict]:
     try:
         found = list(_places(json.loads(raw or "null"), ""))
-    except ValueError:
+    except (ValueError, RecursionError):  # faults that the structure tells
         return []
     if not found:
         return []

@@ -62,7 +62,7 @@ def mint_text(path: str, raw: str, seed: str = "") -> tuple[bool, int, int, str
     try:
         wanted = eligible(before := json.loads(raw))
         found = [m for m in id_members(raw) if m[:2] in wanted]
-    except (ValueError, AttributeError, TypeError, IndexError) as error:
+    except (ValueError, AttributeError, TypeError, IndexError, RecursionError) as error:
         return False, 0, 0, str(error), None
     if len(found) != len(wanted):
         return False, 0, len(wanted), INCOMPLETE.format(len(found), len(wanted)), None

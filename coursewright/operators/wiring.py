@@ -35,8 +35,7 @@ def text_fields(ex: Column) -> Column:
 def containment(cards: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:
     """card_id, exercise_id, hits: which exercises contain a card; from cards (keys, card_id, text), quotes (keys, exercise_id, quote).
 
-    The equal keys (a lesson's path) make it a hash join with a residual test. Without keys the
-    smaller side must be bounded by the caller.
+    The equal keys (a lesson's path) make it a hash join with a residual test.
     """
     some = cards.filter(~falsy(F.col("text")))
     hit = F.col("quote").contains(F.col("text"))
@@ -45,16 +44,44 @@ def containment(cards: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFra
     return some.join(other, on, "inner").groupBy(*[some[k] for k in keys], "card_id", "exercise_id").agg(F.count("*").alias("hits"))
 
 
+#: Words in a row by which a card is looked for.
+RUN = 4
+
+
+def runs_of_words(words: Column, n: int) -> Column:
+    """Hashes of all n words in a row, from shifted copies of the words: no step looks at more than n of them."""
+    shifted = [F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(n)]
+    whole = F.filter(F.arrays_zip(*shifted), lambda z: z[f"w{n - 1}"].isNotNull())
+    return F.transform(whole, lambda z: F.xxhash64(F.lit(n), *[z[f"w{k}"] for k in range(n)]))
+
+
 def keyed_containment(cards: DataFrame, quotes: DataFrame) -> DataFrame:
-    """containment without keys for cards of any number: a card meets the quotes that have its first three characters.
+    """containment without keys for cards and quotes of any number, by an index of words in a row.
 
-    Shorter cards meet the quotes that have their first character.
+    All words (between blanks) of a card but its first and last, which may be parts of words, stand in
+    a quote that contains it. Of its runs of RUN of these words (or all of them, if fewer) the one that the
+    fewest exercises have finds the candidates, and only these are tested. A card of one or two words
+    is found by its first characters.
     """
-    text = F.col("text")
-    key = F.when(F.length(text) >= 3, F.substring(text, 1, 3)).otherwise(F.substring(text, 1, 1))
-    pieces = lambda n: F.regexp_extract_all("quote", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    split = quotes.withColumn("key", F.explode(F.array_distinct(F.concat(pieces(3), pieces(1)))))
-    return containment(cards.withColumn("key", key), split, ["key"]).drop("key")
+    words = lambda text: F.split(text, " ")
+    inner = F.slice(words(F.col("text")), 2, F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0)))
+    some = cards.filter(~falsy(F.col("text"))).withColumn("inner", inner).withColumn("n", F.least(F.size("inner"), F.lit(RUN)))
+    head = lambda text, n: F.xxhash64(F.lit(-n), F.substring(text, 1, n))
+    keys, of_quote = F.array(F.when(F.length("text") >= 3, head(F.col("text"), 3)).otherwise(head(F.col("text"), 1))), []
+    lengths = {r["n"] for r in some.select("n").distinct().collect()}  # RUN + 1 at most
+    for n in sorted(lengths - {0}):
+        keys = F.when(F.col("n") == n, F.array_distinct(runs_of_words(F.col("inner"), n))).otherwise(keys)
+        of_quote.append(runs_of_words(words(F.col("quote")), n))
+    if 0 in lengths:
+        chars = lambda n: F.transform(F.regexp_extract_all("quote", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda x: F.xxhash64(F.lit(-n), x))
+        of_quote += [chars(3), chars(1)]
+    none = F.array().cast("array<bigint>")
+    wanted = some.select("card_id", F.explode(keys).alias("key"))
+    found = quotes.select("exercise_id", F.explode(F.array_distinct(F.concat(none, *of_quote))).alias("key")).join(wanted.select("key").distinct(), "key").distinct()
+    rarest = wanted.join(found.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("card_id").agg(F.min_by("key", F.coalesce("n", F.lit(0))).alias("key"))
+    pairs = rarest.join(found, "key").select("card_id", "exercise_id").distinct()
+    tested = pairs.join(cards.select("card_id", "text"), "card_id").join(quotes.select("exercise_id", "quote"), "exercise_id").filter(F.col("quote").contains(F.col("text")))
+    return tested.groupBy("card_id", "exercise_id").agg(F.count("*").alias("hits"))
 
 
 def verdicts(cards: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coursewright.functions.invisible import invisible_count
-from coursewright.functions.textsem import SPACES, blank, markers, matches_whole, tells_length, trimmed
+from coursewright.functions.textsem import blank, markers, matches_whole, tells_length, trimmed
 from coursewright.operators import canonical, conformance, extensions, identity, migrate, ordering, parity, wiring
 from coursewright.plans import rules, validate
-from coursewright.schemas import CARD, EXERCISE, SLUG, STABLE_ID
+from coursewright.schemas import EXERCISE, LESSON, SLUG, STABLE_ID
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,10 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of cards that may be sent to all tasks; more go through a join on their first characters.
-CARD_BYTES = 64 << 20
-
-
 @query(
     "q01_wiring",
     """
@@ -50,10 +46,6 @@ FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) AND b.text <>
 def wiring_verdicts(spark, sf_dir):
     cards = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("card_id"), "text")
     quotes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("exercise_id"), F.col("text").alias("quote"))
-    size = cards.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size <= CARD_BYTES:
-        hits = wiring.containment(F.broadcast(cards), quotes, [])
-        return wiring.verdicts(cards, hits, [])
     return wiring.verdicts(cards, wiring.keyed_containment(cards, quotes), [])
 
 
@@ -192,16 +184,26 @@ def order_pairs(spark, sf_dir) -> DataFrame:
     return line.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
 
 
+def order_issues(spark, sf_dir) -> DataFrame:
+    """l_orderkey, ex, i: an exercise that matches the names of an order's parts with their brands, and each of its issues."""
+    pairs = order_pairs(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("p_name").alias("left"), F.col("p_brand").alias("right"))).alias("pairs"))
+    ex = F.struct("pairs", F.lit(False).alias("from_cards"), F.array().cast("array<string>").alias("card_ids"))
+    judged = pairs.select("l_orderkey", ex.alias("ex"))
+    return judged.select("l_orderkey", "ex", F.explode(rules.matching(F.col("ex"), F.lit("/exercise"))).alias("i"))
+
+
 @query("q11_dup_left", "SELECT l_orderkey, lower(trim(p_name)) AS term, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(*) > 1")
 def dup_left(spark, sf_dir):
-    pairs = order_pairs(spark, sf_dir).select("l_orderkey", F.lower(trimmed(F.col("p_name"))).alias("term"))
-    return identity.duplicate_counts(pairs, ["l_orderkey", "term"])
+    said = r"(?s)left value '(.*)' is repeated at positions ([0-9, ]+);"
+    found = order_issues(spark, sf_dir).filter("i.id = 'E-MATCH-DUP-LEFT'")
+    return found.select("l_orderkey", F.lower(trimmed(F.regexp_extract("i.message", said, 1))).alias("term"), F.size(F.split(F.regexp_extract("i.message", said, 2), ", ")).cast("long").alias("n"))
 
 
 @query("q12_ambig", "SELECT l_orderkey, count(*) AS pairs, count(DISTINCT p_brand) AS rights FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 HAVING count(*) > count(DISTINCT p_brand)")
 def ambiguous(spark, sf_dir):
-    counts = order_pairs(spark, sf_dir).groupBy("l_orderkey", "p_brand").agg(F.count("*").alias("n")).groupBy("l_orderkey")
-    return counts.agg(F.sum("n").alias("pairs"), F.count("p_brand").alias("rights")).filter("pairs > rights")
+    found = order_issues(spark, sf_dir).filter("i.id = 'W-MATCH-AMBIG'")
+    rights = F.array_distinct(F.transform("ex.pairs", lambda p: p["right"]))
+    return found.select("l_orderkey", F.size("ex.pairs").cast("long").alias("pairs"), F.size(rights).cast("long").alias("rights"))
 
 
 @query("q13_markers", "SELECT doc_id, (len(string_split(replace(text, ' the ', ' ___ '), '___')) - 1)::BIGINT AS markers FROM documents")
@@ -273,14 +275,34 @@ def widths(spark, sf_dir):
 
 @query("q19_unused", "SELECT p_partkey, p_name FROM part ANTI JOIN (SELECT l_partkey AS p_partkey FROM lineitem WHERE l_quantity > 45) USING (p_partkey)")
 def unused(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name").join(used, "p_partkey", "left_anti")
+    """A lesson for ten parts: they are its cards, and the large lines that order them its exercises."""
+    used = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.expr("l_partkey div 10").alias("lesson_id"), F.col("l_partkey").cast("string").alias("card")).distinct()
+    steps = used.groupBy("lesson_id").agg(F.collect_list(F.struct(F.struct(F.array("card").alias("card_ids")).alias("exercise"))).alias("steps"))
+    cards = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 10").alias("lesson_id")).agg(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("front"))).alias("cards"))
+    lessons = cards.join(steps, "lesson_id", "left").select(F.struct("cards", "steps").alias("lesson"))
+    left = rules.unused_cards(F.col("lesson"))
+    named = lessons.select(F.explode(F.filter("lesson.cards", lambda c: F.array_contains(left, c["id"]))).alias("c"))
+    return named.select(F.col("c.id").cast("long").alias("p_partkey"), F.col("c.front").alias("p_name"))
 
 
 @query("q20_cardref", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem ANTI JOIN (SELECT p_partkey AS l_partkey FROM part WHERE p_size <= 40) USING (l_partkey)")
 def card_refs(spark, sf_dir):
-    cards = table(spark, sf_dir, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(cards, "l_partkey", "left_anti")
+    """A lesson for each order: its parts of size 40 or less are cards, and an exercise names all its lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_linenumber")
+    rows = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", "left")
+    ref = F.concat_ws("/", "p_partkey", "l_linenumber")
+    lessons = rows.groupBy("l_orderkey").agg(F.collect_list(ref).alias("card_ids"), F.collect_list(F.when(F.col("p_size") <= 40, ref)).alias("cards"))
+    ex = typed(F.struct(F.lit("e").alias("id"), F.lit("free_text").alias("type"), "card_ids"), EXERCISE)
+    majors = F.array().cast("array<struct<type string, major int>>")
+    found = rules.exercise(F.col("ex"), F.lit("/exercise"), F.col("cards"), majors, {})
+    told = lessons.select("l_orderkey", "cards", ex.alias("ex")).select("l_orderkey", F.explode(found).alias("i")).filter("i.id = 'E-CARD-REF'")
+    at = F.split(F.regexp_extract("i.message", r"unknown card '([0-9/]+)'", 1), "/")
+    return told.select("l_orderkey", at[0].cast("long").alias("l_partkey"), at[1].cast("int").alias("l_linenumber"))
+
+
+def typed(x, kind: str):
+    """A struct as one of the format's types, what it doesn't have null."""
+    return F.from_json(F.to_json(x), kind)
 
 
 def conversation_steps(spark, sf_dir) -> DataFrame:
@@ -318,9 +340,18 @@ def step_rules(spark, sf_dir):
     """SELECT l_orderkey, string_agg(p_name || '=' || p_brand, ', ' ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pairs FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 40 GROUP BY 1""",
 )
 def from_cards(spark, sf_dir):
-    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("card_id"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("ord"))
-    cards = table(spark, sf_dir, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("front"), F.col("p_brand").alias("back"))
-    return canonical.pairs_by_order(refs, cards, "l_orderkey")
+    """A lesson for each order: an exercise whose pairs come from the cards of its lines, in order."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_linenumber", "l_extendedprice")
+    rows = line.join(table(spark, sf_dir, "part").filter("p_size <= 40").select("p_partkey", "p_name", "p_brand"), "p_partkey", "left")
+    id_ = F.col("p_partkey").cast("string")
+    refs = F.collect_list(F.struct("l_linenumber", "p_partkey", "l_extendedprice", id_.alias("id")))
+    cards = F.collect_list(F.when(F.col("p_name").isNotNull(), F.struct(id_.alias("id"), F.col("p_name").alias("front"), F.col("p_brand").alias("back"))))
+    lessons = rows.groupBy("l_orderkey").agg(F.transform(F.sort_array(refs), lambda r: r["id"]).alias("card_ids"), cards.alias("cards"))
+    ex = F.struct(F.lit("e").alias("id"), F.lit("matching").alias("type"), F.lit(True).alias("from_cards"), "card_ids")
+    lesson = typed(F.struct("cards", F.array(F.struct(F.lit("exercise").alias("type"), ex.alias("exercise"))).alias("steps")), LESSON)
+    done = lessons.filter(F.size("cards") > 0).select("l_orderkey", canonical.resolve_from_cards(lesson).alias("lesson"))
+    pairs = F.element_at("lesson.steps", 1)["exercise"]["pairs"]
+    return done.select("l_orderkey", F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["left"], p["right"])), ", ").alias("pairs"))
 
 
 @query(
@@ -346,10 +377,13 @@ def context(spark, sf_dir):
 SELECT event_id, 'E-UNKNOWN-FIELD' AS id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events WHERE list_contains(json_keys(props), 'k')""",
 )
 def strict(spark, sf_dir):
-    allowed = F.array(F.lit("id"), F.lit("title"))
-    unknown = F.array_except(F.json_object_keys("props"), allowed)
-    rows = table(spark, sf_dir, "events").select("event_id", F.explode(unknown).alias("field"), F.get_json_object("props", "$.k").alias("value"))
-    return rows.select("event_id", F.lit("E-UNKNOWN-FIELD").alias("id"), "field", "value")
+    """A lesson for each event, with the members of its properties among its own."""
+    head = F.concat(F.lit('{"id":"event-'), F.col("event_id").cast("string"), F.lit('","title":"t","steps":[{"id":"s","type":"theory","body":"b"}]'))
+    rest = F.regexp_replace("props", r"(?s)\A\s*\{(\s*\}\z)?", "")
+    raw = F.concat(head, F.when(rest == "", "}").otherwise(F.concat(F.lit(","), rest)))
+    judged = validate.exploded(validate.validate_lessons(table(spark, sf_dir, "events").select("event_id", "props", raw.alias("raw"))), "event_id", "props")
+    field = F.regexp_extract("message", r"additional properties \((.*)\)", 1)
+    return judged.filter("id = 'E-UNKNOWN-FIELD'").select("event_id", "id", field.alias("field"), F.get_json_object("props", "$.k").alias("value"))
 
 
 @query(
@@ -431,14 +465,16 @@ def migrated(spark, sf_dir):
 @query(
     "q29_vocab",
     f"""
-SELECT c_custkey, lower(coalesce(c_mktsegment, '')) IN ('', {', '.join(f"'{d}'" for d in validate.DOMAINS)}) AS domain_known,
-  upper(trim(substr(c_name, length(c_name) - 1))) IN ({', '.join(f"'{x}'" for x in validate.LEVELS)}) OR (lower(c_mktsegment) <> 'language' AND lower(CASE WHEN c_custkey % 3 = 0 THEN ' None' ELSE '' END) = ' none') AS level_known
-FROM customer""",
+WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'Language' WHEN 2 THEN 'MATH' WHEN 3 THEN c_mktsegment END AS domain, ['a1 ', 'B2', c_name, ' None', 'C3'][c_custkey % 5 + 1] AS level FROM customer)
+SELECT c_custkey, lower(coalesce(domain, '')) IN ('', {', '.join(f"'{d}'" for d in validate.DOMAINS)}) AS domain_known,
+  upper(trim(level)) IN ({', '.join(f"'{x}'" for x in validate.LEVELS)}) OR (lower(coalesce(domain, 'language')) <> 'language' AND lower(trim(level)) = 'none') AS level_known
+FROM c""",
 )
 def vocabulary(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    level = F.when(F.col("c_custkey") % 3 == 0, " None").otherwise(F.expr("substr(c_name, length(c_name) - 1)"))
-    return c.select("c_custkey", validate.known_domain(F.col("c_mktsegment")).alias("domain_known"), validate.known_level(F.col("c_mktsegment"), level).alias("level_known"))
+    k = F.col("c_custkey")
+    domain = F.when(k % 4 == 1, "Language").when(k % 4 == 2, "MATH").when(k % 4 == 3, F.col("c_mktsegment"))
+    level = F.element_at(F.array(F.lit("a1 "), F.lit("B2"), F.col("c_name"), F.lit(" None"), F.lit("C3")), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", validate.known_domain(domain).alias("domain_known"), validate.known_level(domain, level).alias("level_known"))
 
 
 @query(
@@ -462,9 +498,10 @@ def prompts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", migrate.merged_prompt(ex).alias("prompt"))
 
 
-@query("q32_blank", "SELECT doc_id, trim(regexp_extract(text, '^\\S*')) = '' AS is_blank FROM documents")
+@query("q32_blank", r"SELECT doc_id, regexp_full_match(text, '\s*') AS is_blank, regexp_full_match(CASE WHEN doc_id % 3 = 0 THEN text ELSE chr(160) || chr(65279) || chr(9) END, '[\s\x{a0}\x{feff}]*') AS is_odd_blank FROM documents")
 def blanks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", blank(F.regexp_extract("text", r"\A\S*", 0)).alias("is_blank"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("\u00a0\ufeff\t")
+    return table(spark, sf_dir, "documents").select("doc_id", blank(F.col("text")).alias("is_blank"), blank(text).alias("is_odd_blank"))
 
 
 from coursewright.plans import catalog_lessons  # noqa: E402, F401  adds its queries

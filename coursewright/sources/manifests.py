@@ -37,14 +37,33 @@ def loader():
     return Core
 
 
+#: Values that a document may have when its aliases are written out.
+MOST_VALUES = 1_000_000
+
+
+def written_out(value, known: dict[int, int]) -> int:
+    """How many values a value holds when aliases, which are one object each, are written out."""
+    if not isinstance(value, (dict, list)):
+        return 1
+    if id(value) not in known:
+        known[id(value)] = MOST_VALUES + 1  # what holds itself has no end
+        known[id(value)] = 1 + sum(written_out(v, known) for v in (value.values() if isinstance(value, dict) else value))
+    return known[id(value)]
+
+
 def to_json(text: str | None) -> tuple[str | None, str | None]:
+    """JSON, or why there is none: bad YAML, values that JSON lacks, too deep nesting, aliases that grow without bound."""
     import yaml
 
     try:
         value = yaml.load(text or "", loader())  # noqa: S506  the loader is a safe one
-    except yaml.YAMLError as error:
+        if written_out(value, {}) > MOST_VALUES:
+            return None, f"more than {MOST_VALUES} values when aliases are written out"
+        return (None if value is None else json.dumps(value, ensure_ascii=False, allow_nan=False)), None
+    except RecursionError:
+        return None, "nested too deeply"
+    except (yaml.YAMLError, TypeError, ValueError) as error:
         return None, str(error)
-    return (None if value is None else json.dumps(value, ensure_ascii=False)), None
 
 
 def manifests(files: DataFrame) -> DataFrame:
