@@ -13,9 +13,10 @@ leak is repeated never decides whether it is found. The score is a share of what
 LEAST_WORDS equal words in net terms (or a whole shorter item) make a leak.
 
 Defined results: a null or empty text or item matches nothing; an item of fewer than GRAM
-words is matched by a text of as few words alone. Rows that repeat give rows
-that repeat; items with equal texts match on their own. No rows or no items: no leaks. Other
-columns are not read, but for those a caller wants kept.
+words is matched by a text of as few words alone. A document and an item make one leak at most: the
+passage of highest score, of equal ones the last. A very long text is read whole, in a block of its
+own. Rows that repeat give rows that repeat; items with equal texts match on their own. No rows or
+no items: no leaks. Other columns are not read, but for those a caller wants kept.
 """
 
 from __future__ import annotations
@@ -195,14 +196,11 @@ def seed_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, total[some]])], ["seed", "n"])
 
-    rows = in_arrow(docs.select("text"), work, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row per seed of the slice
-    df, n_docs = np.zeros(len(items.seeds), np.int64), 0
-    for seed, n in rows:
-        if seed < 0:
-            n_docs = n
-        else:
-            df[seed] = n
-    return df, n_docs
+    rows = in_arrow(docs.select("text"), work, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # 16 bytes per seed of the slice
+    seed, n = (rows.column(c).to_numpy() for c in ("seed", "n"))
+    df = np.zeros(len(items.seeds), np.int64)
+    df[seed[seed >= 0]] = n[seed >= 0]
+    return df, int(n[seed < 0].sum())
 
 
 def rare(docs: DataFrame, items: Items) -> Items:
@@ -235,10 +233,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns, in place: nothing is shuffled."""
-    fields = docs.schema.fields
+    """The rows of ``docs`` without a leak, with all their columns, in place: nothing is shuffled. Seeds are counted over all rows for each slice."""
+    fields, whole = docs.schema.fields, docs
     for part in slices(items):
-        shared = docs.sparkSession.sparkContext.broadcast(rare(docs, part))
+        shared = docs.sparkSession.sparkContext.broadcast(rare(whole, part))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in blocks(batches):

@@ -5,15 +5,20 @@ three times in a text. Spark counts them over the labelled sample, and the FEATU
 highest chi-square form the vocabulary, with all identity terms. Training minimises
 logistic loss + L2 + SWAP times the mean squared change of score when an identity term of a
 labelled sentence is swapped for another of its group, so that neutral mentions of a group
-don't count as toxic. Rows of label 1, the rarer, count POSITIVE times. Scoring reads whole texts in the executors.
+don't count as toxic. A swap changes no features but those of the terms, so that Spark counts equal
+changes and few different ones are left. Rows of label 1, the rarer, count POSITIVE times. Scoring
+reads whole texts in the executors.
 
-Bound of the sample: SAMPLE labelled rows in expectation, those of lowest hash. What
-reaches the driver is SAMPLE rows of TIMES * FEATURES bits at most.
+Bound of the sample: SAMPLE labelled documents in expectation, those of lowest hash, and the SWAPS
+most frequent changes of their sentences. What reaches the driver is so many rows of
+TIMES * (FEATURES + features of the identity terms) bits at most, however many rows there are.
 
 Defined results: a null text is an empty one; an empty text scores what the intercept
-gives. Rows that repeat give rows that repeat; no rows, no rows. Without labels of both
-kinds all scores are the share of label 1 (0.5 without any label). Other columns are not
-read.
+gives. A very long text is scored whole. Of rows with one doc_id the least text is learned from, of
+several labels the greater counts; features of equal chi-square are taken in order of their hash,
+equally frequent changes in order of their features. Rows that repeat give rows that repeat; no
+rows, no rows. Without labels of both kinds all scores are the share of label 1 (0.5 without any
+label). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import Words, blocks, in_arrow
+from coursewright.llm.common import Words, blocks, in_arrow, spare
 
-SAMPLE, FEATURES, LEAST_ROWS, LEAST_CHI = 6000, 800, 3, 20.0
+SAMPLE, SWAPS, FEATURES, LEAST_ROWS, LEAST_CHI = 6000, 2000, 800, 3, 20.0
 PREFIXES, TIMES = (5, 6, 7, 8), 3
 STEPS, L2, SWAP, POSITIVE = 400, 1e-4, 5.0, 6.0
 THRESHOLD = 0.7
@@ -44,6 +49,26 @@ IDENTITY = [
     ["young", "old", "elderly"],
     ["disabled", "deaf", "blind"],
     ["immigrant", "refugee", "native"],
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["frau", "mann"],
+    ["christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"],
+    ["schwule", "lesben", "bisexuelle"],
+    ["schwarze", "weiße", "asiaten"],
+    ["afrikaner", "europäer", "amerikaner", "araber", "chinesen", "türken"],
+    ["ausländer", "flüchtlinge", "einheimische"],
+    ["behinderte", "gehörlose", "blinde"],
+    ["femmes", "hommes", "filles", "garçons"],
+    ["chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"],
+    ["noirs", "blancs", "asiatiques"],
+    ["africains", "européens", "américains", "arabes", "chinois"],
+    ["immigrés", "réfugiés"],
+    ["handicapés", "sourds", "aveugles"],
+    ["mujeres", "hombres", "niñas", "niños"],
+    ["cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"],
+    ["negros", "blancos", "asiáticos"],
+    ["africanos", "europeos", "americanos", "árabes", "chinos"],
+    ["inmigrantes", "refugiados"],
+    ["discapacitados", "sordos", "ciegos"],
 ]
 GROUP_OF = {term: group for group in IDENTITY for term in group}
 TERMS = re.compile(rf"\b({'|'.join(sorted(GROUP_OF, key=lambda t: (-len(t), t)))})\b")
@@ -106,7 +131,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFr
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = known.filter(draw < min(1.0, bound / max(n, 1)))
-    return docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    some = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+    return some.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
 def vocabulary(sample: DataFrame, size: int = FEATURES) -> tuple[Vocabulary, int, int]:
@@ -147,45 +173,54 @@ def swaps(text: str) -> Iterator[tuple[str, str]]:
             yield sentence, TERMS.sub(lambda m: (g := GROUP_OF[m[0]])[(g.index(m[0]) + 1) % len(g)], sentence)
 
 
-def examples(sample: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits of the sample's rows, their labels, and the changes of bits under swaps."""
+def examples(sample: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the sample's rows, and their labels."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(vocab.lists(batch.column("text")), pa.list_(pa.int32()))], ["toxic", "bits"])
+
+    rows = in_arrow(sample.select("text", "toxic"), work, "toxic int, bits array<int>").collect()  # SAMPLE of them
+    x = np.zeros((len(rows), vocab.columns), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r["bits"]] = 1
+    return x, np.array([r["toxic"] for r in rows], np.float32)
+
+
+def changes(sample: DataFrame, vocab: Vocabulary, bound: int = SWAPS) -> tuple[np.ndarray, np.ndarray]:
+    """The changes of bits under swaps, each different one once, and how often each occurs; the bare swaps of every group among them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            out = [(int(y), on, None) for y, on in zip(batch.column("toxic").to_pylist(), vocab.lists(batch.column("text")), strict=True)]
             pairs = [p for t in batch.column("text").to_pylist() for p in swaps(t)]
             if pairs:
-                out += [(-1, a, b) for a, b in zip(*[vocab.lists(pa.array([p[i] for p in pairs])) for i in (0, 1)], strict=True)]
-            kinds = {"toxic": pa.int32(), "bits": pa.list_(pa.int32()), "swapped": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
-
-    rows = in_arrow(sample.select("text", "toxic"), work, "toxic int, bits array<int>, swapped array<int>").collect()
-    real = [r for r in rows if r["toxic"] >= 0]
-    x = np.zeros((len(real), vocab.columns), np.float32)
-    for i, r in enumerate(real):
-        x[i, r["bits"]] = 1
-    told = [(r["bits"], r["swapped"]) for r in rows if r["toxic"] < 0]
-    for group in IDENTITY:  # the bare swaps of every group stand beside those found
-        told += zip(vocab.lists(pa.array(group)), vocab.lists(pa.array(group[1:] + group[:1])), strict=True)
+                one, other = (vocab.lists(pa.array([p[i] for p in pairs])) for i in (0, 1))
+                told = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in zip(one, other, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in told], pa.list_(pa.int32())) for i in (0, 1)], ["lost", "won"])
+
+    counted_ = in_arrow(sample.select("text"), work, "lost array<int>, won array<int>").groupBy("lost", "won").agg(F.count("*").alias("n"))
+    told = [(r["lost"], r["won"], r["n"]) for r in counted_.orderBy(F.desc("n"), "lost", "won").limit(bound).collect()]
+    for group in IDENTITY:
+        told += [(np.setdiff1d(a, b), np.setdiff1d(b, a), 1) for a, b in zip(vocab.lists(pa.array(group)), vocab.lists(pa.array(group[1:] + group[:1])), strict=True)]
     change = np.zeros((len(told), vocab.columns), np.float32)
-    for i, (a, b) in enumerate(told):
-        change[i, b] += 1
-        change[i, a] -= 1
-    return x, np.array([r["toxic"] for r in real], np.float32), change
+    for i, (lost, won, _) in enumerate(told):
+        change[i, won], change[i, lost] = 1, -1
+    return change, np.array([n for _, _, n in told], np.float32)
 
 
-def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, often: np.ndarray) -> np.ndarray:
     """Weights and, last, the intercept, by Adam over the whole sample."""
     w = np.zeros(x.shape[1] + 1, np.float64)
     w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     m, v = np.zeros_like(w), np.zeros_like(w)
     grad = np.empty_like(w)
     weight = np.where(y > 0, POSITIVE, 1) / len(y)
+    share = often / max(often.sum(), 1)
     for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30)))
         miss = ((p - y) * weight).astype(np.float32)
-        moved = change @ w[:-1].astype(np.float32)
-        grad[:-1] = miss @ x + 2 * L2 * w[:-1] + 2 * SWAP * (moved @ change) / max(len(change), 1)
+        moved = change @ w[:-1].astype(np.float32) * share
+        grad[:-1] = miss @ x + 2 * L2 * w[:-1] + 2 * SWAP * (moved @ change)
         grad[-1] = miss.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -200,18 +235,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Vocabulary, np.ndarray]:
         w = np.zeros(vocab.columns + 1)
         w[-1] = np.log((n1 + 0.5) / (n0 + 0.5))
         return vocab, w
-    return vocab, fit(*examples(sample, vocab))
+    return vocab, fit(*examples(sample, vocab), *changes(sample, vocab))
 
 
 def score(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of all rows, with the score."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    (said,) = spare(keep, "said")
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias(said))
     fields = rows.schema.fields[:-1]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "__text"):
-            rows, columns = vocab.bits(batch.column("__text"))
+        for batch in blocks(batches, said):
+            rows, columns = vocab.bits(batch.column(said))
             z = np.bincount(rows, weights[columns], len(batch)) + weights[-1]
             own = [batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], [f.name for f in fields] + ["score"])

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from coursewright.llm import decontaminate as dc
-from coursewright.llm.common import documents, table
+from coursewright.llm.common import Words, documents, table
 from tests.llm.conftest import SF
 
 WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
@@ -109,3 +109,21 @@ def test_repeated_edited_and_partial_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = dc.query(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_query_finds_what_alignment_of_all_pairs_finds(spark):
+    """Every document against every item as a whole: no leak is missing, none is made up."""
+    docs, items = documents(spark, SF).collect(), table(spark, SF, "benchmark").collect()
+    found = {(r.doc_id, r.item_id): r for r in dc.query(documents(spark, SF), table(spark, SF, "benchmark")).collect()}
+    said = {d.doc_id: Words(pa.array([d.text])).hash for d in docs}
+    want = {}
+    for item in items:
+        words = Words(pa.array([item.text])).hash
+        whole = dc.MATCH * len(words)
+        for d, text in said.items():
+            if len(words) and np.isin(words, text).sum() >= dc.GRAM:
+                best, _ = dc.local_score(words, text)
+                if best >= max(dc.LEAST_SCORE * whole, min(whole, dc.MATCH * dc.LEAST_WORDS)):
+                    want[d, item.item_id] = best / whole
+    assert found.keys() == want.keys() and want
+    assert all(abs(found[p].score - want[p]) < 1e-9 for p in want)
