@@ -1,5 +1,7 @@
 import textwrap
 
+import duckdb
+
 from coursewright.llm import licenses
 from coursewright.llm.common import documents
 from tests.duck import same
@@ -16,7 +18,7 @@ def test_rules_ask_for_order(spark):
     texts = ["First  sentence! other words. SECOND, sentence", "second sentence\nfirst sentence", "first sentence 2", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = licenses.scan(rows, rules, known).orderBy("doc_id").collect()
-    assert [(r.sentence_ids, r.licenses, r.commercial) for r in got] == [(["a", "b"], ["AB", "B"], False), (["b", "a"], ["B"], False), ([], [], None), ([], [], None)]
+    assert [(r.sentence_ids, r.licenses, r.commercial) for r in got] == [(["a", "b"], ["AB"], True), (["b", "a"], ["B"], False), ([], [], None), ([], [], None)]
 
 
 def test_full_texts(spark):
@@ -60,3 +62,37 @@ def test_wrapped_texts(spark):
 def test_one_line_notices_stay(spark):
     text = "some words\nReleased under the MIT license\nAll rights reserved\nmore"
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().sentence_ids == ["mit-notice", "reserved"]
+
+
+def wrapped(names, mark=""):
+    """The sentences of a licence text as they are usually set: 72 columns, a comment leader, numbered clauses."""
+    said, paragraphs = licenses.SENTENCES, []
+    for i, name in enumerate(names):
+        number = f"{i}. " if name in ("bsd-source", "bsd-binary", "bsd-endorse") else ""
+        paragraphs.append(textwrap.fill(number + said[name].capitalize() + (":" if name in ("mit-grant", "bsd-redistribute", "zlib-grant") else "."), 72))
+    return "\n".join(f"{mark} {line}".rstrip() for line in "\n\n".join(paragraphs).split("\n"))
+
+
+def test_every_rule_over_wrapped_texts_and_its_sql(spark):
+    rows = [(4 * i + j, wrapped(ids, mark)) for i, (_, _, ids) in enumerate(licenses.RULES) for j, mark in enumerate(("", "#", " *", "//"))]
+    rows += [(1000, None), (1001, ""), (1002, "See http\n\n  http://x.org/a. All rights\nreserved. Or not:\nAll rights reserved")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs.filter("doc_id < 1000")).collect()
+    assert len(got) == 4 * len(licenses.RULES)
+    for r in got:
+        name, free, ids = licenses.RULES[r.doc_id // 4]
+        assert (r.sentence_ids, r.licenses, r.commercial) == (ids, [name], free)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(licenses.ORACLE).fetchall()
+    columns = [d[0] for d in con.description]
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in licenses.query(docs).collect()))) == sorted(map(str, want))
+
+
+def test_particular_rules_use_sentences_up(spark):
+    bsd3 = ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"]
+    gpl2 = ["gpl-2-free", "gpl-hope", "gpl-see"]
+    rows = [(1, wrapped(bsd3)), (2, wrapped([x for x in bsd3 if x != "bsd-endorse"])), (3, wrapped(gpl2)), (4, wrapped([*bsd3, *gpl2, "reserved"]))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [["BSD-3-Clause"], ["BSD-2-Clause"], ["GPL-2.0"], ["GPL-2.0", "BSD-3-Clause", "proprietary"]]
+    assert [r.commercial for r in got] == [True, True, True, False]
