@@ -10,7 +10,8 @@ Defined results: a null text is an empty one; a null role is the empty role. A r
 template doesn't name gets the ``other`` frame, with the role percent-encoded. A turn that
 the machine doesn't allow is formatted all the same and named in ``error``. Rows that
 repeat are turns of their own, in order of (turn, role, text); null turns come first; a null
-conv_id is a conversation. No rows: no rows. Other columns are not read.
+conv_id is a conversation; which of two equal turns comes first does not show. A very long text is
+one turn, which a task holds as a whole. No rows: no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -163,17 +163,22 @@ def in_bitmap(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
 HOT = 256
 
 
-def look_up(rows: DataFrame, values: DataFrame, key: str, spread: str = "inner") -> DataFrame:
+def look_up(rows: DataFrame, values: DataFrame, key: str, size: str | None = None) -> DataFrame:
     """``rows`` joined with ``values`` (one row a key) where few keys may hold a large part of all rows.
 
     Keys that more than 1 / HOT of the rows have meet a broadcast of fewer than HOT values, in
-    place; a shuffle deals the others, none of which can fill a task.
+    place; a shuffle deals the others, none of which can fill a task. ``size`` names a column with
+    the number of a row's key, where it is known.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    (n,) = spare(rows.columns, "n")
     total = rows.count()
-    hot = stored(sizes.filter(F.col("__n") * HOT > total).select(key).join(values, key), "hot-keys")
+    if size is None:
+        hot = rows.groupBy(key).agg(F.count("*").alias(n)).filter(F.col(n) * HOT > total).select(key)
+    else:
+        hot = rows.filter(F.col(size) * HOT > total).select(key).distinct()
+    hot = stored(hot.join(values, key), "hot-keys")
     seen = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values, key, spread)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values, key)
     return seen.unionByName(rest)
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import blocks, in_arrow, mix, partitions
+from coursewright.llm.common import blocks, in_arrow, mix, partitions, spare
 
 SMALLEST, NORMAL, LARGEST = 12, 32, 128
 HARD_BITS, EASY_BITS = 6, 4
@@ -100,13 +100,14 @@ def decoded(fingerprint: str) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of all rows, with fingerprint and n_chunks."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    (said,) = spare(keep, "said")
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias(said))
     fields = rows.schema.fields[:-1]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["fingerprint string", "n_chunks long"])
 
     def work(batches):
-        for batch in blocks(batches, "__text"):
-            sets = chunk_sets([t.encode() for t in batch.column("__text").to_pylist()])
+        for batch in blocks(batches, said):
+            sets = chunk_sets([t.encode() for t in batch.column(said).to_pylist()])
             own = [batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*own, pa.array(map(encoded, sets), pa.string()), pa.array(map(len, sets), pa.int64())], [f.name for f in fields] + ["fingerprint", "n_chunks"])
 

@@ -376,7 +376,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # the node with most company is the least edited of a group of copies
     placed = members.join(company, "node")
     hubs = placed.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
-    stars = members.join(hubs, "bucket").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = look_up(members, stored(hubs, "near-hubs"), "bucket", "n").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     edges = stored(verified(agreeing(stars, drawn), texts, idf).select("a", "b"), "near-edges")
     found = components(edges)
 

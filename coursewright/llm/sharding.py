@@ -8,8 +8,11 @@ and each task places its own against its part of what the heavy ones left.
 A group that exceeds a whole shard in any dimension is split by a hash of its rows' ids.
 
 Defined results: a null text is a group without bytes or tokens; size is the UTF-8 bytes
-plus 1, so that empty texts spread too. Rows that repeat are rows of one group. No rows: no
-rows. Other columns of the input are not read, so that their names cannot clash.
+plus 1, so that empty texts spread too. Of shards with equal dot products the first is taken, of
+equally heavy groups the one of least key. A very long text is a group like others, heavy if it
+fills enough of a shard; its words are counted as a whole. Rows that repeat are rows of one group;
+which of two equal ones has the lesser slot does not show. No rows: no rows. Other columns of the
+input are not read, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -96,7 +99,7 @@ def pack(base: DataFrame, shards: int = SHARDS, heavy: int = HEAVY) -> DataFrame
 def numbered(placed: DataFrame, rows: int) -> DataFrame:
     """A gapless slot from 0 within each shard: numbers within (shard, bucket) plus the buckets before."""
     buckets = max(1, math.ceil(rows / TASK_ROWS), min(partitions(placed.sparkSession), rows // 100))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

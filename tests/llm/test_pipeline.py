@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from coursewright.llm import decontaminate, langid, mixing, neardup, sharding
 from coursewright.llm.common import documents, table
@@ -40,3 +42,23 @@ def test_no_rows(spark):
     none = documents(spark, SF).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_odd_rows(spark, odd):
+    """Nulls in all columns, empty, blank and very long texts, repeated rows and ids, clashing columns: through all stages."""
+    learned = documents(spark, SF).limit(100)
+    for c in odd.columns:
+        if c not in learned.columns:
+            learned = learned.withColumn(c, F.lit("y"))
+    docs = odd.unionByName(learned.withColumn("doc_id", F.col("doc_id") + 1000)).repartition(3)
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "shards":
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+            kept.append({r.doc_id for r in docs.collect()})
+    assert not {3, 4, 5, 7} & kept[0]  # null, empty, blank, without a letter
+    texts = [r.text for r in docs.collect()]
+    assert all(texts) and sorted(r.slot for r in out.filter("shard = 0").collect()) == list(range(out.filter("shard = 0").count()))
+    assert len({r.doc_id for r in out.collect()} - kept[3]) == 0

@@ -52,3 +52,46 @@ def test_placing_follows_the_dot_product():
         left[s] -= v
         want.append(s)
     assert got.tolist() == want == [0, 1, 1]
+
+
+def plain_pack(rows: list[tuple[str, int, int]], shards: int, heavy: int) -> dict[str, int]:
+    """Shard of each group, from rows (group, bytes, tokens): heavy ones first, then the others against what these left."""
+    groups: dict = {}
+    for g, b, t in rows:
+        v = groups.setdefault(g, [0, 0, 0])
+        groups[g] = [v[0] + b, v[1] + t, v[2] + 1]
+    cap = [max(sum(v[d] for v in groups.values()), 1) / shards for d in range(3)]
+    weight = {g: max(v[d] / cap[d] for d in range(3)) for g, v in groups.items()}
+    order = sorted(groups, key=lambda g: (-weight[g], g))
+    share = {g: [v[d] / cap[d] for d in range(3)] for g, v in groups.items()}
+    left, out = [[1.0] * 3 for _ in range(shards)], {}
+
+    def put(some, left):
+        for g in some:
+            dots = [sum(r * x * i for r, x, i in zip(row, share[g], sharding.IMPORTANCE, strict=True)) for row in left]
+            best = max(range(shards), key=lambda s: (round(dots[s], 12), -s))
+            out[g] = best
+            left[best] = [r - x for r, x in zip(left[best], share[g], strict=True)]
+
+    put([g for g in order if weight[g] > 1 / heavy], left)
+    light = [g for g in order if weight[g] <= 1 / heavy]
+    rest = [1 - sum(share[g][d] for g in out) / shards for d in range(3)]
+    own = [sum(share[g][d] for g in light) / shards for d in range(3)]
+    put(light, [[row[d] * own[d] / (rest[d] if rest[d] > 1e-12 else 1) for d in range(3)] for row in left])
+    return out
+
+
+@pytest.mark.parametrize("heavy", [8, 100_000])
+def test_pack_is_that_of_a_plain_reader(spark, heavy):
+    rng = np.random.default_rng(2)
+    rows = [(f"g{i:03}", int(n) + 1, int(n) // 6) for i in range(150) for n in [rng.lognormal(6, 1)] for _ in range(int(rng.integers(1, 4)))]
+    base = spark.createDataFrame(rows, "gkey string, bytes long, tokens long").selectExpr("*", "xxhash64(gkey) AS salt").repartition(4)
+    got = {r.gkey: r.shard for r in sharding.pack(base, shards=5, heavy=heavy).collect()}
+    assert got == plain_pack(rows, 5, heavy)
+
+
+def test_rows_without_an_id_are_numbered_in_many_buckets(spark):
+    rows = spark.createDataFrame([(None, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    p = table_of(spark, rows)
+    for _, slots in p.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
