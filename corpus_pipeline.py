@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, what the stage before
 has kept; all but the last return the columns of documents. Between stages ``run`` writes
 Parquet to the shared folder and reads it again.
+
+Defined results: a null or empty text, and one without a letter, has no language and goes in the
+first stage. Ties of two languages go too. Of equal and near rows the one of least doc_id stays, of
+rows without any id one of them; rows that repeat are such copies. A very long text stays whole in
+all stages but the mixture, which may take a part of it. No rows: no rows. Columns beside those of
+documents, of any name, are carried to the mixture's rows; shards have columns of their own.
 """
 
 from __future__ import annotations
