@@ -8,6 +8,7 @@ written over.
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     job.add_argument("folder")
     job.add_argument("--manifest", default="manifest.yaml")
     job.add_argument("--baseline", type=int, default=0)
+    job.add_argument("--baseline-file", help="a file that holds the number; no such file: --baseline")
     args = parser.parse_args(argv)
     if getattr(args, "write", False) and not args.out:
         parser.error("--write needs --out, a new folder")
@@ -45,6 +47,15 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     return args
 
 
+_held: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Persisted until the job ends."""
+    _held.append(df.persist())
+    return df
+
+
 def show(lines: DataFrame, *order: str) -> None:
     """Prints report lines as they arrive, one partition at a time."""
     for row in lines.orderBy(*order).toLocalIterator():
@@ -62,13 +73,13 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lint(spark: SparkSession, args: argparse.Namespace) -> int:
-    judged = validate_lessons(source.read_raw(spark, args.folder)).persist()
+    judged = held(validate_lessons(source.read_raw(spark, args.folder)))
     show_json(judged, "path", "valid", "errors", "warnings") if args.json else show(reports.lint(judged), "path")
     return reports.failed(judged, "valid").first()[0]
 
 
 def migration(spark: SparkSession, args: argparse.Namespace) -> int:
-    done = migrate.migrated_and_valid(source.typed(source.read_raw(spark, args.folder))).persist()
+    done = held(migrate.migrated_and_valid(source.typed(source.read_raw(spark, args.folder))))
     show_json(done, "path", "valid", "converted", "changes", "errors") if args.json else show(reports.migration(done, args.write), "path")
     if args.write:
         source.write_texts(done.filter("valid AND converted > 0"), args.out)
@@ -78,7 +89,7 @@ def migration(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def minting(spark: SparkSession, args: argparse.Namespace) -> int:
-    done = mint.mint(source.read_raw(spark, args.folder)).persist()
+    done = held(mint.mint(source.read_raw(spark, args.folder)))
     if args.json:
         show_json(done, "path", "ok", "minted", "eligible", "error")
     else:
@@ -92,9 +103,9 @@ def minting(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def suggestions(spark: SparkSession, args: argparse.Namespace) -> int:
-    judged = validate_lessons(source.read_raw(spark, args.folder)).persist()
-    good = judged.filter("valid").select("path", "lesson")
-    found = wiring.suggest(good).persist()
+    judged = held(validate_lessons(source.read_raw(spark, args.folder)))
+    good = judged.filter("valid").select("path", "raw", "lesson")
+    found = held(wiring.suggest(good))
     code = reports.failed(judged, "valid").first()[0]
     show(reports.lint(judged.filter(~F.col("valid"))), "path")
     if not args.write:
@@ -103,8 +114,8 @@ def suggestions(spark: SparkSession, args: argparse.Namespace) -> int:
             print(reports.DRY_WIRING)
         return code
     wanted = spark.createDataFrame([(a,) for a in args.accept], "suggestion_id string").distinct()
-    wired = wiring.apply_suggestions(good, found, wanted).filter("wired > 0").withColumn("raw", F.to_json("lesson")).drop("lesson")
-    again = validate_lessons(wired).persist()
+    wired = wiring.rewired(good, found, wanted)
+    again = held(validate_lessons(wired))
     source.write_texts(again.filter("valid"), args.out)
     lost = [r[0] for r in wiring.unmatched(wanted, found).collect()]  # no more than were given
     for name in lost:
@@ -113,8 +124,8 @@ def suggestions(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def stable_ids(spark: SparkSession, args: argparse.Namespace) -> int:
-    base, head = (tuple(df.persist() for df in source.inventory_of(tree(spark, folder))) for folder in (args.base, args.head))
-    counts, found = identity.checked(base, head).persist(), identity.violations(base, head).persist()
+    base, head = (tuple(held(df) for df in source.inventory_of(tree(spark, folder))) for folder in (args.base, args.head))
+    counts, found = held(identity.checked(base, head)), held(identity.violations(base, head))
     show(reports.stability(counts, found), "phase", "ord")
     row = counts.first()
     if row["head_empty"]:
@@ -128,9 +139,18 @@ def stable_ids(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def coverage(spark: SparkSession, args: argparse.Namespace) -> int:
     sets, elements = source.listed_elements(tree(spark, args.folder), args.manifest)
-    covered = identity.coverage(sets, elements).persist()
-    failures = identity.gate(covered, args.baseline).persist()
-    show(reports.coverage(covered, failures, args.baseline), "ord", "line")
+    baseline = args.baseline
+    if args.baseline_file:
+        name = args.baseline_file.rsplit("/", 1)
+        lines = source.read_raw(spark, name[0] if len(name) > 1 else ".", name[-1]).select("raw").limit(1).collect()
+        said = lines[0]["raw"].strip() if lines else str(baseline)
+        if not re.match(r"[+-]?[0-9]+", said):
+            print(f"the baseline in {args.baseline_file} is not a number")
+            return 2
+        baseline = int(re.match(r"[+-]?[0-9]+", said)[0])
+    covered = held(identity.coverage(sets, elements))
+    failures = held(identity.gate(covered, baseline))
+    show(reports.coverage(covered, failures, baseline), "ord", "line")
     return int(not failures.isEmpty())
 
 
@@ -139,7 +159,11 @@ JOBS = {"lint": lint, "migrate": migration, "mint": minting, "suggest-wiring": s
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
     args = arguments(argv)
-    return JOBS[args.job](spark or SparkSession.builder.appName(f"coursewright-{args.job}").getOrCreate(), args)
+    try:
+        return JOBS[args.job](spark or SparkSession.builder.appName(f"coursewright-{args.job}").getOrCreate(), args)
+    finally:
+        while _held:
+            _held.pop().unpersist()
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.functions.textsem import falsy, is_true
+from coursewright.operators.rewrite import edit, rewritten
 from coursewright.plans.rules import array_of
 from coursewright.plans.validate import validate_lessons
 
@@ -75,14 +76,38 @@ def audit(ex: Column) -> Column:
     return F.when(chosen, row)
 
 
+def changes(lesson: Column) -> Column:
+    """The audit rows of a lesson, in order."""
+    return F.filter(F.transform(F.coalesce(lesson["steps"], F.array()), lambda s: audit(s["exercise"])), lambda a: a.isNotNull())
+
+
+def converted_count() -> Column:
+    return F.size(F.filter("changes", lambda c: c["status"] == "converted"))
+
+
 def migrate(lessons: DataFrame) -> DataFrame:
     """Lessons (path, lesson) rewritten, with changes (audit rows in order) and converted (their number)."""
-    exercises = F.filter(F.transform(F.coalesce("lesson.steps", F.array()), lambda s: audit(s["exercise"])), lambda a: a.isNotNull())
     step = lambda s: F.when(s["exercise"].isNotNull(), s.withField("exercise", converted(s["exercise"]))).otherwise(s)
     done = F.when(F.col("lesson.steps").isNull(), F.col("lesson")).otherwise(F.col("lesson").withField("steps", F.transform("lesson.steps", step)))
-    return lessons.withColumn("changes", exercises).withColumn("converted", F.size(F.filter("changes", lambda c: c["status"] == "converted"))).withColumn("lesson", done)
+    return lessons.withColumn("changes", changes(F.col("lesson"))).withColumn("converted", converted_count()).withColumn("lesson", done)
+
+
+STRIPPED = ["cloze_mode", "sentence", "blanks", "accept", "distractors"]
+
+
+def edits(lesson: Column) -> Column:
+    """What a migration changes in the raw text: an edit for each exercise that it converts."""
+
+    def one(s: Column, i: Column) -> Column:
+        new = converted(s["exercise"])
+        put = F.struct(new["type"].alias("type"), new["prompt"].alias("prompt"), new["options"].alias("options"), F.when(is_true(s["exercise"]["cloze_mode"] == "multiselect"), True).alias("multiple"))
+        return F.when(s["exercise"].isNotNull() & convertible(s["exercise"]), edit(i, put, STRIPPED))
+
+    return F.array_compact(F.transform(F.coalesce(lesson["steps"], F.array()), one))
 
 
 def migrated_and_valid(lessons: DataFrame) -> DataFrame:
-    """As migrate, with the new text in ``raw`` and its verdict, judged without any extension; only valid rows are to be written."""
-    return validate_lessons(migrate(lessons).withColumn("raw", F.to_json("lesson")).drop("lesson"))
+    """As migrate, from rows (path, raw, lesson), with the new text in ``raw`` and its verdict, judged without any extension;
+    only valid rows are to be written. What a migration doesn't change stays as it was written."""
+    done = lessons.withColumn("changes", changes(F.col("lesson"))).withColumn("converted", converted_count())
+    return validate_lessons(rewritten(done, edits(F.col("lesson"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.functions.textsem import falsy
+from coursewright.operators.rewrite import edit, rewritten
 from coursewright.plans.rules import array_of, unused_cards
 
 NO_MATCH = "no verbatim match in any exercise text field"
@@ -134,6 +135,17 @@ def suggest(lessons: DataFrame) -> DataFrame:
     )
 
 
+def wiring_edits(lesson: Column, added: Column) -> Column:
+    """What wiring changes in the raw text, from the array ``added`` of (exercise_id, card_id): an edit for each exercise that gets cards."""
+
+    def one(s: Column, i: Column) -> Column:
+        ex = s["exercise"]
+        new = F.transform(F.filter(added, lambda a: a["exercise_id"] == ex["id"]), lambda a: a["card_id"])
+        return F.when(ex.isNotNull() & (F.size(new) > 0), edit(i, F.struct(F.concat(array_of(ex["card_ids"]), new).alias("card_ids"))))
+
+    return F.array_compact(F.transform(F.coalesce(lesson["steps"], F.array()), one))
+
+
 def apply_suggestions(lessons: DataFrame, suggestions: DataFrame, accepted: DataFrame) -> DataFrame:
     """Lessons with the accepted suggestions (path, ord, suggestion_id) wired in; from accepted (suggestion_id)."""
     some = suggestions.filter("suggestion_id IS NOT NULL").join(accepted, "suggestion_id", "left_semi")
@@ -149,6 +161,14 @@ def apply_suggestions(lessons: DataFrame, suggestions: DataFrame, accepted: Data
     return lessons.join(added, "path", "left").withColumn("lesson", done).withColumn("wired", F.when(F.col("added").isNull(), 0).otherwise(F.size("added"))).drop("added")
 
 
+def rewired(lessons: DataFrame, suggestions: DataFrame, accepted: DataFrame) -> DataFrame:
+    """path, raw of the lessons (path, raw, lesson) that accepted suggestions wire, all else as it was written."""
+    some = suggestions.filter("suggestion_id IS NOT NULL").join(accepted, "suggestion_id", "left_semi")
+    added = some.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "exercise_id", "card_id"))).alias("added"))
+    rows = lessons.select("path", "raw", "lesson").join(added, "path")
+    return rewritten(rows, wiring_edits(F.col("lesson"), F.col("added"))).drop("added")
+
+
 def unmatched(accepted: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Accepted ids that no suggestion has: an error of the caller."""
     return accepted.join(suggestions.select("suggestion_id"), "suggestion_id", "left_anti")

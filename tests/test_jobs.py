@@ -45,7 +45,7 @@ def test_migrate_and_wiring(spark, tmp_path, capsys):
     assert code == 0 and "  suggest c:x0" in lines
     code, lines = run(spark, capsys, "suggest-wiring", where, "--write", "--out", str(tmp_path / "w"), "--accept", "c:x0", "--accept", "no:no")
     assert code == 1 and lines[-1].startswith("ERROR --accept no:no")
-    assert '"card_ids":["c"]' in spark.read.parquet(str(tmp_path / "w")).first()["text"]
+    assert json.loads(spark.read.parquet(str(tmp_path / "w")).first()["text"])["steps"][0]["exercise"]["card_ids"] == ["c"]
     for argv in (["migrate", where, "--write"], ["suggest-wiring", where, "--accept", "a"], ["nothing"]):
         with pytest.raises(SystemExit):
             jobs.arguments(argv)
@@ -68,3 +68,28 @@ def test_snapshots_and_coverage(spark, tmp_path, capsys):
     assert run(spark, capsys, "check-stable-id-coverage", base, "--baseline", "1") == (0, ["stable-id coverage: 1 of 1 set(s) fully minted, baseline 1", "ok: every listed set is fully minted and the baseline matches"])
     code, lines = run(spark, capsys, "check-stable-id-coverage", gone)
     assert code == 1 and lines[1] == "FAIL INCOMPLETE: 1 listed set(s) carry no complete stable_id coverage: sets/a/de"
+
+
+def test_rewrites_keep_what_they_do_not_change(spark, tmp_path, capsys):
+    select = {"id": "e", "type": "cloze", "prompt": "q", "hint": None, "cloze_mode": "select", "sentence": "a ___", "blanks": [{"accept": ["x"]}], "distractors": ["y"], "card_ids": ["c"]}
+    ext = {"id": "x", "type": "ext:a-b", "prompt": "p", "ext_payload": {"z": 1.50, "a": None}}
+    lesson = {"title": "T", "id": "l", "cards": CARDS, "steps": [{"id": "s1", "type": "exercise", "exercise": select}, {"id": "s2", "type": "theory", "body": "b"}], "description": None}
+    where = tree(tmp_path / "t", {"1.json": lesson})
+    code, _ = run(spark, capsys, "migrate", where, "--write", "--out", str(tmp_path / "out"))
+    text = next(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    new = json.loads(text)
+    assert code == 1 or code == 0
+    assert list(new) == list(lesson) and new["description"] is None and new["steps"][1] == lesson["steps"][1] and new["cards"] == lesson["cards"]
+    assert new["steps"][0]["exercise"] == {"id": "e", "type": "multiple_choice", "prompt": "q\n\na ___", "hint": None, "card_ids": ["c"], "options": [{"text": "x", "correct": True}, {"text": "y"}]}
+    assert text == json.dumps(new, ensure_ascii=False, indent=2) + "\n" and ext["ext_payload"]["a"] is None
+
+
+def test_the_baseline_of_a_file(spark, tmp_path, capsys):
+    where = tree(tmp_path / "t", {"1.json": {"id": "l", "title": "T", "steps": [drill(0)]}})
+    (tmp_path / "baseline.txt").write_text("7\n")
+    (tmp_path / "odd.txt").write_text("seven")
+    code, lines = run(spark, capsys, "check-stable-id-coverage", where, "--baseline-file", str(tmp_path / "baseline.txt"))
+    assert code == 1 and any("below baseline 7" in line for line in lines)
+    code, lines = run(spark, capsys, "check-stable-id-coverage", where, "--baseline-file", str(tmp_path / "odd.txt"))
+    assert code == 2 and lines == [f"the baseline in {tmp_path / 'odd.txt'} is not a number"]
+    assert run(spark, capsys, "check-stable-id-coverage", where, "--baseline-file", str(tmp_path / "none.txt"), "--baseline", "3")[0] == 1
