@@ -41,14 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: a cut in the lineage that survives lost executors.
 
-    The table goes when the driver's JVM ends.
+    The table goes when the driver's JVM ends, or with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stored_at = path
+    return read
+
+
+def discard(stored_df: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing will read again."""
+    folder(stored_df.sparkSession, stored_df.stored_at, lambda fs, at: fs.delete(at, True))
+
+
+def folder(spark: SparkSession, path: str, act) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    act(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from coursewright.llm.common import stored
+from coursewright.llm.common import discard, stored
 
 #: Rounds after which something must be wrong; the number needed grows with the logarithm of the nodes.
 MOST_ROUNDS = 60
@@ -28,11 +28,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = _least(down)
         star = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         seen = Observation()
-        now = stored(star.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "arcs")
+        before, now = now, stored(star.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "arcs")
+        discard(before)
         last, sign = sign, (seen.get["n"], seen.get["h"])
         if sign == last:
             break
     else:
         raise RuntimeError("components did not settle")
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
-    return stored(ends.distinct(), "components")
+    out = stored(ends.distinct(), "components")
+    discard(now)
+    return out
