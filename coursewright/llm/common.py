@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task works on at once; one longer text makes a block of its own.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 #: Bytes of an Arrow batch on its way to a Python task and back.
-BATCH_SIZE, BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, "1"
+BATCH_SIZE, BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, "1"
 
 #: What separates words where an operator counts them: ASCII space, tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

@@ -49,7 +49,7 @@ AGREE = 24
 COUNTERS, PARTS, LEAST_SHARE = 1 << 20, 64, 1 / 100
 HASH_BITS = 44
 #: Shingles in a block of sets that are compared with each other.
-SET_BLOCK = 1 << 18
+SET_BLOCK = 1 << 17
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +96,8 @@ def counted(docs: DataFrame, count, above: float) -> tuple[np.ndarray, np.ndarra
         total, n = np.zeros(COUNTERS, np.float32), 0.0
         for batch in blocks(batches):
             at, amount, some = count(*shingles(batch.column("text"))[:2])
-            total += np.bincount(at, amount, COUNTERS).astype(np.float32)
+            own, of = np.unique(at, return_inverse=True)
+            total[own] += np.bincount(of, amount, len(own)).astype(np.float32)
             n += some
         if n:
             parts = [zlib.compress(total[i * step : (i + 1) * step].tobytes(), 1) for i in range(PARTS)]
