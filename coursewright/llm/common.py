@@ -52,6 +52,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return read
 
 
+def bucketed(df: DataFrame, name: str, n: int, *keys: str) -> DataFrame:
+    """``stored`` in n buckets by the keys: a join on them does not shuffle it again."""
+    spark = df.sparkSession
+    named = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{named}"
+    df.write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(named)
+    folder(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    return spark.table(named)
+
+
 def discard(stored_df: DataFrame) -> None:
     """Delete a table of ``stored`` that nothing will read again."""
     folder(stored_df.sparkSession, stored_df.stored_at, lambda fs, at: fs.delete(at, True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursewright.llm import chat, decontaminate, fingerprints, langid, licenses, mixing, neardup, passages, sharding, toxicity
+from coursewright.llm import bpe, chat, decontaminate, fingerprints, langid, licenses, mixing, neardup, passages, sharding, toxicity
 from coursewright.llm.common import documents, table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_passages": lambda spark, sf_dir: passages.query(documents(spark, sf_dir)),
     "op9_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op10_mixing": lambda spark, sf_dir: mixing.query(documents(spark, sf_dir)),
+    "op13_bpe": lambda spark, sf_dir: bpe.query(documents(spark, sf_dir)),
 }
 
 ORACLES = {
