@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coursewright.scratch import discard, folder, shared_dir, stored
+
 #: Text bytes that a Python task works on at once; one longer text makes a block of its own.
 BLOCK_BYTES = 1 << 18
 
@@ -23,35 +24,6 @@ BATCH_SIZE, BATCH_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", 4
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    set_ = sc._jsc.sc().getCheckpointDir()
-    if set_.isDefined():
-        return set_.get()
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="coursewright-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: a cut in the lineage that survives lost executors.
-
-    The table goes when the driver's JVM ends, or with ``discard``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder(spark, path, lambda fs, at: fs.deleteOnExit(at))
-    read = spark.read.schema(df.schema).parquet(path)
-    read.stored_at = path
-    return read
-
-
 def bucketed(df: DataFrame, name: str, n: int, *keys: str) -> DataFrame:
     """``stored`` in n buckets by the keys: a join on them does not shuffle it again."""
     spark = df.sparkSession
@@ -62,16 +34,6 @@ def bucketed(df: DataFrame, name: str, n: int, *keys: str) -> DataFrame:
     return spark.table(named)
 
 
-def discard(stored_df: DataFrame) -> None:
-    """Delete a table of ``stored`` that nothing will read again."""
-    folder(stored_df.sparkSession, stored_df.stored_at, lambda fs, at: fs.delete(at, True))
-
-
-def folder(spark: SparkSession, path: str, act) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    act(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursewright.llm import bpe, chat, decontaminate, fingerprints, langid, licenses, mixing, neardup, passages, sharding, toxicity, trie
+from coursewright.llm import bpe, chat, decontaminate, fingerprints, importance, langid, licenses, mixing, neardup, passages, sharding, toxicity, trie
 from coursewright.llm.common import documents, table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_passages": lambda spark, sf_dir: passages.query(documents(spark, sf_dir)),
     "op9_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
     "op10_mixing": lambda spark, sf_dir: mixing.query(documents(spark, sf_dir)),
+    "op11_importance": lambda spark, sf_dir: importance.query(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")),
     "op12_trie": lambda spark, sf_dir: trie.query(table(spark, sf_dir, "conversations")),
     "op13_bpe": lambda spark, sf_dir: bpe.query(documents(spark, sf_dir)),
 }
@@ -26,5 +27,6 @@ ORACLES = {
     "op4_chat": chat.ORACLE,
     "op5_neardup": neardup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_importance": importance.ORACLE,
     "op12_trie": trie.ORACLE,
 }
