@@ -44,6 +44,8 @@ from coursewright.llm.common import blocks, bucketed, buffers, in_arrow, partiti
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text bytes of a block.
 BLOCK_BYTES = 4 << 20
+#: Level of compression of what is shuffled.
+LEVEL = 9
 #: The classes that patterns are made of, and a character of each that has no other part in a pattern.
 CLASSES = ((r"\p{L}", "é"), (r"\p{N}", "1"), (r"\s", "\t"))
 NO_CLASS = "!"
@@ -86,7 +88,7 @@ def splitter(pattern: str):
 def pack(items: pa.Array) -> bytes:
     """Texts as compressed bytes: their number, their lengths, their UTF-8."""
     raw, at = buffers(items)
-    return zstandard.compress(np.concatenate([np.array([len(items)]), np.diff(at)]).astype("<u4").tobytes() + raw.tobytes())
+    return zstandard.compress(np.concatenate([np.array([len(items)]), np.diff(at)]).astype("<u4").tobytes() + raw.tobytes(), LEVEL)
 
 
 def unpack(data: bytes) -> list[bytes]:
@@ -96,15 +98,26 @@ def unpack(data: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
 
 
+def narrow(numbers: list[int]) -> np.ndarray:
+    """As unsigned numbers of one, two or four bytes."""
+    wide = np.array(numbers, "<u4")
+    width = next(w for w in (1, 2, 4) if wide.max(initial=0) < 1 << 8 * w)
+    return wide.astype(f"<u{width}")
+
+
 def pack_ids(ids: list[list[int]]) -> bytes:
-    flat = [i for word in ids for i in word]
-    return zstandard.compress(np.array([len(ids), *map(len, ids), *flat], "<u4").tobytes())
+    """The ids of words as compressed bytes: how many and of which width, how many of each word, the ids."""
+    sizes, flat = narrow([len(word) for word in ids]), narrow([i for word in ids for i in word])
+    head = np.array([len(ids), sizes.itemsize, flat.itemsize], "<u4")
+    return zstandard.compress(head.tobytes() + sizes.tobytes() + flat.tobytes(), LEVEL)
 
 
 def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each word, and all ids in a row."""
-    whole = np.frombuffer(zstandard.decompress(data), "<u4").astype(np.int64)
-    return whole[1 : 1 + whole[0]], whole[1 + whole[0] :]
+    whole = zstandard.decompress(data)
+    n, size_width, width = np.frombuffer(whole, "<u4", 3).tolist()
+    at = 12 + n * size_width
+    return np.frombuffer(whole[12:at], f"<u{size_width}").astype(np.int64), np.frombuffer(whole[at:], f"<u{width}").astype(np.int64)
 
 
 def coded(docs: DataFrame, keep: list[str], pattern: str, parts: int) -> DataFrame:
@@ -129,7 +142,7 @@ def coded(docs: DataFrame, keep: list[str], pattern: str, parts: int) -> DataFra
         found = pa.array([w for one in said for w in one], pa.large_string()).dictionary_encode()
         del said
         part = np.array([zlib.crc32(w.encode()) % parts for w in found.dictionary.to_pylist()], np.int64)
-        order = np.argsort(part, kind="stable")
+        order = np.asarray(pc.sort_indices(pa.table({"part": part, "word": found.dictionary}), [("part", "ascending"), ("word", "ascending")]))
         codes = np.empty(len(order), np.int64)
         codes[order] = np.arange(len(order))
         sorted_words, cuts = found.dictionary.take(pa.array(order)), np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
@@ -141,7 +154,7 @@ def coded(docs: DataFrame, keep: list[str], pattern: str, parts: int) -> DataFra
                 pa.array([number], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct),
                 pa.array([zstandard.compress(counts.tobytes())], pa.binary()),
-                pa.array([zstandard.compress(codes[np.asarray(found.indices)].astype("<u4").tobytes())], pa.binary()),
+                pa.array([zstandard.compress(codes[np.asarray(found.indices)].astype("<u4").tobytes(), LEVEL)], pa.binary()),
                 pa.array([words], pa.list_(pa.struct([("part", pa.int32()), ("said", pa.binary())]))),
             ],
             ["block", "docs", "counts", "codes", "words"],
