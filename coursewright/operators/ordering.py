@@ -6,10 +6,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursewright.functions.textsem import code_unit_key, natural_key
+from coursewright.operators.ranking import ranked
 from coursewright.plans.rules import issue, none
 from coursewright.schemas import ISSUES
 
@@ -79,12 +80,13 @@ def ordering_rules(ids: Column) -> Column:
 
 
 def divergence(ids: DataFrame) -> DataFrame:
-    """set, rank, shown, meant: the first rank where the two orders of a set differ; from rows (set, id, position)."""
+    """set, rank, shown, meant: the first rank where the two orders of a set differ; from rows (set, id, position).
+
+    Both orders are ranked by sorted ranges, so that a set may have any number of ids.
+    """
     keyed = ids.select("set", "id", "position", code_unit_key(F.col("id")).alias("shown_key"), natural_key(F.col("id")).alias("meant_key"))
-    of = Window.partitionBy("set")
-    ranked = keyed.withColumn("shown_rank", F.row_number().over(of.orderBy("shown_key", "position"))).withColumn("meant_rank", F.row_number().over(of.orderBy("meant_key", "position")))
-    shown = ranked.select("set", F.col("shown_rank").alias("rank"), F.col("id").alias("shown"))
-    meant = ranked.select("set", F.col("meant_rank").alias("rank"), F.col("id").alias("meant"))
+    shown = ranked(keyed.select("set", "shown_key", "position", F.col("id").alias("shown")), ["set"], ["shown_key", "position"]).select("set", "rank", "shown")
+    meant = ranked(keyed.select("set", "meant_key", "position", F.col("id").alias("meant")), ["set"], ["meant_key", "position"]).select("set", "rank", "meant")
     apart = shown.join(meant, ["set", "rank"]).filter("shown <> meant")
     return apart.groupBy("set").agg(F.min("rank").alias("rank"), F.min_by("shown", "rank").alias("shown"), F.min_by("meant", "rank").alias("meant"))
 

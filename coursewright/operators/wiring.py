@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,27 +66,65 @@ def keyed_containment(cards: DataFrame, quotes: DataFrame) -> DataFrame:
     All words (between blanks) of a card but its first and last, which may be parts of words, stand in
     a quote that contains it. Of its runs of RUN of these words (or all of them, if fewer) the one that the
     fewest exercises have finds the candidates, and only these are tested. A card of one or two words
-    is found by its first characters.
+    has no such run: automata find these.
     """
     words = lambda text: F.split(text, " ")
     inner = F.slice(words(F.col("text")), 2, F.greatest(F.size(words(F.col("text"))) - 2, F.lit(0)))
-    some = cards.filter(~falsy(F.col("text"))).withColumn("inner", inner).withColumn("n", F.least(F.size("inner"), F.lit(RUN)))
-    head = lambda text, n: F.xxhash64(F.lit(-n), F.substring(text, 1, n))
-    keys, of_quote = F.array(F.when(F.length("text") >= 3, head(F.col("text"), 3)).otherwise(head(F.col("text"), 1))), []
-    lengths = {r["n"] for r in some.select("n").distinct().collect()}  # RUN + 1 at most
-    for n in sorted(lengths - {0}):
+    every = cards.filter(~falsy(F.col("text"))).withColumn("inner", inner).withColumn("n", F.least(F.size("inner"), F.lit(RUN)))
+    counts = {r["n"]: (r["cards"], r["bytes"]) for r in every.groupBy("n").agg(F.count("*").alias("cards"), F.sum(F.octet_length("text")).alias("bytes")).collect()}  # RUN + 1 rows at most
+    short = contained_short(every.filter("n = 0").select("card_id", "text"), quotes, *counts.get(0, (0, 0)))
+    some, lengths = every.filter("n > 0"), sorted(set(counts) - {0})
+    if not lengths:
+        return short
+    none = F.array().cast("array<bigint>")
+    keys, of_quote = none, []
+    for n in lengths:
         keys = F.when(F.col("n") == n, F.array_distinct(runs_of_words(F.col("inner"), n))).otherwise(keys)
         of_quote.append(runs_of_words(words(F.col("quote")), n))
-    if 0 in lengths:
-        chars = lambda n: F.transform(F.regexp_extract_all("quote", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda x: F.xxhash64(F.lit(-n), x))
-        of_quote += [chars(3), chars(1)]
-    none = F.array().cast("array<bigint>")
     wanted = some.select("card_id", F.explode(keys).alias("key"))
     found = quotes.select("exercise_id", F.explode(F.array_distinct(F.concat(none, *of_quote))).alias("key")).join(wanted.select("key").distinct(), "key").distinct()
     rarest = wanted.join(found.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("card_id").agg(F.min_by("key", F.coalesce("n", F.lit(0))).alias("key"))
     pairs = rarest.join(found, "key").select("card_id", "exercise_id").distinct()
     tested = pairs.join(cards.select("card_id", "text"), "card_id").join(quotes.select("exercise_id", "quote"), "exercise_id").filter(F.col("quote").contains(F.col("text")))
-    return tested.groupBy("card_id", "exercise_id").agg(F.count("*").alias("hits"))
+    return tested.groupBy("card_id", "exercise_id").agg(F.count("*").alias("hits")).unionByName(short)
+
+
+#: Cards and bytes of cards that one automaton holds.
+SLICE_CARDS, SLICE_BYTES = 200_000, 4 << 20
+
+
+def contained_short(cards: DataFrame, quotes: DataFrame, n_cards: int, n_bytes: int) -> DataFrame:
+    """card_id, exercise_id, hits of cards by automata: slices of the cards, of bounded size, are looked for all at once as each quote goes by.
+
+    Quotes are not shuffled, and no pair is made that is not a hit; each slice is a pass over the
+    quotes. ``n_cards`` and ``n_bytes`` are those of all cards.
+    """
+    slices = max(1, -(-n_cards // SLICE_CARDS), -(-n_bytes // SLICE_BYTES))
+    spark = cards.sparkSession
+    texts = cards.select("text").distinct()
+    kind = quotes.schema["exercise_id"].dataType.simpleString()
+    hits = spark.createDataFrame([], f"text string, exercise_id {kind}")
+    for one in range(slices if n_cards else 0):
+        sliced = texts.filter(F.pmod(F.xxhash64("text"), F.lit(slices)) == one).collect()  # SLICE_CARDS in expectation
+        held = spark.sparkContext.broadcast([r["text"] for r in sliced])
+
+        def found(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for text in held.value:
+                automaton.add_word(text, text)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, said = [], []
+                for i, quote in enumerate(batch.column("quote").to_pylist()):
+                    if quote and held.value:
+                        inside = {text for _, text in automaton.iter(quote)}
+                        rows += [i] * len(inside)
+                        said += inside
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), batch.column("exercise_id").take(pa.array(rows, pa.int64()))], ["text", "exercise_id"])
+
+        hits = hits.unionByName(quotes.select("exercise_id", "quote").mapInArrow(found, hits.schema))
+    per = hits.groupBy("text", "exercise_id").agg(F.count("*").alias("hits"))
+    return cards.select("card_id", "text").join(per, "text").groupBy("card_id", "exercise_id").agg(F.sum("hits").alias("hits"))
 
 
 def verdicts(cards: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:

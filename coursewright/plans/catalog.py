@@ -506,3 +506,4 @@ def blanks(spark, sf_dir):
 
 from coursewright.plans import catalog_lessons  # noqa: E402, F401  adds its queries
 from coursewright.plans import catalog_content  # noqa: E402, F401
+from coursewright.plans import catalog_jobs  # noqa: E402, F401

@@ -38,10 +38,16 @@ def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.withColumn("ok_json", F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col(raw), F.lit("]"))) == 1, F.lit(False)))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns as a generator's output, which the optimizer does not copy into what is built on them: each is computed once a row."""
+    once = F.explode_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("once_")
+    return df.select("*", once).select(*[F.col(c) for c in df.columns if c not in columns], *[F.col(f"once_.{name}").alias(name) for name in columns])
+
+
 def _judged(df: DataFrame, issues: Column) -> DataFrame:
     errors = F.filter("issues", lambda i: i["severity"] == "error")
     return (
-        df.withColumn("issues", issues)
+        computed(df, issues=issues)
         .withColumn("errors", errors)
         .withColumn("warnings", F.filter("issues", lambda i: i["severity"] == "warning"))
         .withColumn("valid", F.size("errors") == 0)
@@ -54,8 +60,8 @@ def validate_lessons(df: DataFrame, registry: dict | None = None, permissive: bo
     ``registry`` maps (type, major) to a function from an exercise to its issues; ``permissive``
     accepts every declared extension without a check of its payload.
     """
-    read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw")))
-    read = read.withColumn("lesson", F.from_json("raw_json", LESSON)).withColumn("structure", structural_issues(F.col("raw_json"))).withColumn("ok_json", F.col("structure").isNotNull()).withColumn("unseen", invisible_issues(F.col("raw_json")))
+    read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw"))).withColumn("structure", structural_issues(F.col("raw_json"))).withColumn("unseen", invisible_issues(F.col("raw_json")))
+    read = computed(read, lesson=F.from_json("raw_json", LESSON)).withColumn("ok_json", F.col("structure").isNotNull())
     semantic = rules.lesson_rules(F.col("lesson"), F.col("unseen"), registry, permissive)
     judged = _judged(read, F.when(F.col("ok_json"), F.when(F.size("structure") > 0, F.col("structure")).otherwise(semantic)))
     return judged.withColumn("valid", is_true(F.col("valid"))).drop("structure", "unseen", "raw_json")
