@@ -43,17 +43,21 @@ def normalised(text: Column) -> Column:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
     """(lang, dictionary) of each non-null lang, the most frequent first.
 
-    Texts and their pieces are drawn by hashes of what they say, so that equal ones count once and
-    ids don't matter. What comes to the driver is bounded by languages times DICT_BYTES.
+    Texts and their pieces are drawn by hashes of what they say, at rates from the numbers of different
+    texts (estimated to a few percent) and of their bytes, so that equal ones count once, however
+    many there are, and ids don't matter. What comes to the driver is bounded by languages times DICT_BYTES.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("texts")).collect()  # a row a language
+    counts, texts = ({r["lang"]: r[c] for r in rows} for c in ("n", "texts"))
     if not counts:
         return []
     draw = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
     by_lang = lambda rates: F.element_at(F.create_map(*[x for lang, rate in rates.items() for x in (F.lit(lang), F.lit(min(1.0, rate)))]), F.col("lang"))
-    some = known.filter(draw("text") < by_lang({lang: sample_docs / n for lang, n in counts.items()}))
-    sizes = {r["lang"]: r["bytes"] for r in some.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    some = known.filter(draw("text") < by_lang({lang: sample_docs / max(n, 1) for lang, n in texts.items()}))
+    # a text that was drawn comes with all its copies, and is counted once
+    each = some.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.max(F.octet_length("text")).alias("bytes"))
+    sizes = {r["lang"]: r["bytes"] for r in each.groupBy("lang").agg(F.sum("bytes").alias("bytes")).collect()}
     if not any(sizes.values()):
         return []
     pieces = F.regexp_extract_all(normalised(F.col("text")), F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))

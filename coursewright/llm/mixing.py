@@ -2,9 +2,11 @@
 
 Each source's words, its documents one after the other in the order of a hash, are packed
 into blocks of fixed length. A source takes its target as slots, each a block or a part of one.
-How many slots of each source an output shard has is drawn: every source's slots fall on the
-shards multinomially, so that the counts of all shards together are those of the targets. A
-shard's slots then follow those of the shards before it, and a source's j-th slot is the block at
+An output shard has a fixed number of slots, and how many of them each source has is drawn: shard by
+shard, from what the sources have left, so that each shard is a draw of its own and all together have what the
+targets ask for. Such draws are the pieces of one pseudorandom permutation of all slots, cut at every
+shard's end; so no shard waits for another. A shard's slots then follow those of the shards
+before it, and a source's j-th slot is the block at
 place j of a pseudorandom index permutation of the source, a new one for each pass over its
 blocks; the last pass ends where the target is reached. Slots and documents meet in a join on
 (source, block).
@@ -24,12 +26,14 @@ from pyspark.sql import functions as F
 
 from coursewright.llm.common import WORD_PATTERN, partitions, spare, stored, word_count
 
-#: Words in a block, and slots that an output shard has on average.
+#: Words in a block, and slots of an output shard.
 BLOCK_WORDS, SHARD_SLOTS = 1024, 1024
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Rounds of a walk of the permutation, and walks at most: more than any cycle of a domain of 64 has, and beyond that
 #: fewer than 2 in 9 indices need another walk each time.
 ROUNDS, WALKS = 4, 64
+#: In place of a source's key in the permutation of all slots; no key is equal to it.
+SHARDS = "*"
 #: Slots that one row is exploded into.
 RUN = 4096
 
@@ -109,10 +113,12 @@ def spread(rows: DataFrame, n: str, name: str, *keys: str) -> DataFrame:
 
 
 def shard_counts(per: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """key, shard, k: how many slots of each source an output shard has, drawn slot by slot; from rows (key, n)."""
-    shards = F.greatest(F.ceil(F.sum("n").over(Window.partitionBy(F.lit(0))) / shard_slots), F.lit(1))  # a row per source
-    drawn = spread(per.select("key", "n", shards.alias("shards")), "n", "i", "key")
-    return drawn.groupBy("key", (number(F.lit(seed), F.lit("s"), F.col("key"), F.col("i")) % F.col("shards")).alias("shard")).agg(F.count("*").alias("k"))
+    """key, shard, k: how many of an output shard's slots (``shard_slots`` at most, in all shards as many or one more) each source has; from rows (key, n)."""
+    by_key = Window.partitionBy(F.lit(0)).orderBy("key")  # a row per source
+    starts = per.select("key", "n", (F.sum("n").over(by_key) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+    each = spread(starts, "n", "i", "key")
+    place = permuted(F.col("first") + F.col("i"), F.col("all"), seed, F.lit(SHARDS), F.lit(0))
+    return each.withColumn("place", place).groupBy("key", F.expr(f"(place * ceil(all / {shard_slots})) div all").alias("shard")).agg(F.count("*").alias("k"))
 
 
 def slots(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -240,20 +246,18 @@ per AS (
 per2 AS (
   SELECT *, whole + (tail > 0)::INT AS blocks, take // s AS passes, take % s AS rest, least((take % s) // {BLOCK_WORDS}, whole) AS rw FROM per),
 dr AS (
-  SELECT *, greatest(ceil(sum(nn) OVER () / {SHARD_SLOTS}), 1)::BIGINT AS shards
-  FROM (SELECT *, passes * blocks + rw + (rest > rw * {BLOCK_WORDS})::INT AS nn, ceil(sqrt(whole::DOUBLE))::BIGINT AS root FROM per2) WHERE nn > 0),
-ct AS (
-  SELECT k, ('0x' || substr(md5('0/s/' || k || '/' || i), 1, 15))::BIGINT % shards AS shard, count(*) AS kk
-  FROM (SELECT k, shards, unnest(range(nn::BIGINT)) AS i FROM dr) GROUP BY 1, 2),
+  SELECT *, ceil(sqrt(whole::DOUBLE))::BIGINT AS root, (sum(nn) OVER (ORDER BY k) - nn)::BIGINT AS start_n, (sum(nn) OVER ())::BIGINT AS all_n
+  FROM (SELECT *, (passes * blocks + rw + (rest > rw * {BLOCK_WORDS})::INT)::BIGINT AS nn FROM per2) WHERE nn > 0),
+ct0 AS (
+  SELECT k AS own, '{SHARDS}' AS k, 0 AS turn, all_n, all_n AS whole, ceil(sqrt(all_n::DOUBLE))::BIGINT AS root, start_n + unnest(range(nn)) AS pos FROM dr),
+ct AS (SELECT own AS k, (PLACE) * ceil(all_n / {SHARD_SLOTS})::BIGINT // all_n AS shard, count(*) AS kk FROM ct0 GROUP BY 1, 2),
 sl AS (
   SELECT dr.*, shard, unnest(range(first::BIGINT, (first + kk)::BIGINT)) AS slot
   FROM (SELECT *, sum(kk) OVER (PARTITION BY k ORDER BY shard) - kk AS first FROM ct) c JOIN dr USING (k)),
 sl2 AS (
   SELECT *, slot // blocks AS turn, slot % blocks AS pos FROM sl),
 sl3 AS (
-  SELECT k, shard, CASE WHEN pos < whole THEN -1 - list_reduce(range({ROUNDS * WALKS}), lambda state, i: CASE
-      WHEN state < 0 THEN state
-      WHEN i % {ROUNDS} = {ROUNDS - 1} AND MOVED < whole THEN -1 - MOVED ELSE MOVED END, pos::BIGINT) ELSE whole END AS block,
+  SELECT k, shard, CASE WHEN pos < whole THEN PLACE ELSE whole END AS block,
     CASE WHEN turn = passes AND pos = rw THEN rest - rw * {BLOCK_WORDS} WHEN pos < whole THEN {BLOCK_WORDS} ELSE tail END AS n
   FROM sl2),
 pos AS (
@@ -270,5 +274,7 @@ SELECT pos.doc_id, pos.size, tgt.s AS source_size, tgt.target AS target, (CASE W
   first_shard, coalesce(n_shards, 0) AS n_shards
 FROM pos JOIN tgt USING (k) LEFT JOIN tk ON tk.k = pos.k AND tk.start = pos.start AND pos.size > 0
 """.replace(
+    "PLACE", f"-1 - list_reduce(range({ROUNDS * WALKS}), lambda state, i: CASE WHEN state < 0 THEN state WHEN i % {ROUNDS} = {ROUNDS - 1} AND MOVED < whole THEN -1 - MOVED ELSE MOVED END, pos::BIGINT)"
+).replace(
     "MOVED", f"((state % root) * root + (state // root + ('0x' || substr(md5('0/f/' || k || '/' || turn || '/' || (i % {ROUNDS}) || '/' || (state % root)), 1, 15))::BIGINT % root) % root)"
 )

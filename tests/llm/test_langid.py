@@ -84,3 +84,22 @@ def test_the_sample_is_of_distinct_pieces_from_whole_texts(spark):
     assert 0.7 * langid.DICT_BYTES < len(dictionaries["de"]) <= langid.DICT_BYTES and dictionaries["de"].count(b"immer der gleiche satz") <= 1
     words = [w for w in long.split() if w.encode() in dictionaries["de"]]
     assert long.index(words[-1]) > 0.9 * len(long)
+
+
+@pytest.mark.parametrize("copies", [2_000, 200_000])
+def test_copies_of_a_text_do_not_unlearn_a_language(spark, copies):
+    random = random_words(7)
+    texts = [" ".join(random() for _ in range(400)) for _ in range(500)]
+    docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    for hot in (texts[0], " ".join(random() for _ in range(900))):  # one that was there, and one more
+        with_copies = docs.unionAll(spark.range(copies).select(F.col("id") + 1000, F.lit(hot), F.lit("de")))
+        (plain,), (repeated,) = langid.learn(docs), langid.learn(with_copies)
+        assert abs(len(plain[1]) - len(repeated[1])) <= 0.1 * len(plain[1])
+        words = [set(d.decode().split()) for d in (plain[1], repeated[1])]
+        assert len(words[0] & words[1]) > 0.7 * len(words[0])
+
+
+def random_words(seed: int):
+    dice = random.Random(seed)
+    parts = ["un", "ver", "ge", "lich", "keit", "schaft", "haus", "berg", "wald", "zeit", "tag", "licht", "en", "er"]
+    return lambda: "".join(dice.choices(parts, k=dice.randint(1, 5)))

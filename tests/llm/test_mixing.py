@@ -66,7 +66,7 @@ def test_permutations_of_all_small_sizes(spark):
     assert sum(far) / 99 > 20 and by[100] != by[99]
 
 
-def test_shard_counts_are_multinomial_and_sum_to_the_slots(spark):
+def test_shard_counts_are_drawn_and_sum_to_the_slots(spark):
     per = spark.createDataFrame([("sa", 30_000), ("sb", 10_000), ("sc", 7)], "key string, n long")
     counts = mixing.shard_counts(per, shard_slots=1000).toPandas()
     assert counts.groupby("key").k.sum().to_dict() == {"sa": 30_000, "sb": 10_000, "sc": 7}
@@ -75,7 +75,8 @@ def test_shard_counts_are_multinomial_and_sum_to_the_slots(spark):
         some = counts[counts.key == key].k
         expected = n / 41
         chi = ((some - expected) ** 2 / expected).sum()
-        assert len(some) == 41 and 15 < chi < 80  # 40 degrees of freedom
+        drawn = 40 * (1 - n / 40_007)  # 40 degrees of freedom, less what the other sources' shares fix
+        assert len(some) == 41 and 0.375 * drawn < chi < 2 * drawn
     again = mixing.shard_counts(per.repartition(3), shard_slots=1000).toPandas()
     order = ["key", "shard"]
     assert counts.sort_values(order).values.tolist() == again.sort_values(order).values.tolist()
@@ -88,3 +89,25 @@ def test_mixed_documents_hold_the_words_taken(spark):
         want = {r.doc_id: r.n for r in mixing.query(rows).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect() if r.n}
         got = {r.doc_id: r.n for r in mixing.mixed(rows).groupBy("doc_id").agg(F.sum(word_count(F.col("text"))).alias("n")).collect()}
         assert got == want
+
+
+def test_every_shard_is_a_draw_of_fixed_size(spark):
+    """Each shard has as many slots, the sources in proportion to what they have, as drawing without putting back gives them."""
+    n, size = {"sa": 6000, "sb": 3000, "sn": 1000, "sz": 7}, 100
+    per = spark.createDataFrame(list(n.items()), "key string, n long")
+    by = {}
+    for r in mixing.shard_counts(per, shard_slots=size).collect():
+        by.setdefault(r.shard, {})[r.key] = r.k
+    whole = sum(n.values())
+    shards = -(-whole // size)
+    sizes = [sum(by[s].values()) for s in range(shards)]
+    assert sorted(by) == list(range(shards)) and max(sizes) - min(sizes) <= 1 and sum(sizes) == whole
+    for key, count in n.items():
+        got = [by[s].get(key, 0) for s in range(shards)]
+        assert sum(b.get(key, 0) for b in by.values()) == count
+        share = count / whole
+        mean, spread = sum(got) / len(got), (sum((x - size * share) ** 2 for x in got) / len(got)) ** 0.5
+        expected = (size * share * (1 - share) * (whole - size) / (whole - 1)) ** 0.5
+        assert abs(mean - size * share) < 2 and 0.75 * expected < spread < 1.3 * expected
+    other = mixing.shard_counts(per, seed=1, shard_slots=size).filter("shard = 0").collect()
+    assert {r.key: r.k for r in other} != by[0]
