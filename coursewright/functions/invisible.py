@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-
-from coursewright.schemas import ISSUES
 
 #: Fixed values: (first, last, name) of the code points that count as invisible.
 RANGES = [
@@ -64,11 +59,9 @@ def _places(value, path: str):
             yield from _places(entry, f"{path}/{i}")
 
 
-def _described(raw: str | None) -> list[dict]:
-    try:
-        found = list(_places(json.loads(raw or "null"), ""))
-    except (ValueError, RecursionError):  # faults that the structure tells
-        return []
+def hidden_issues(value) -> list[dict]:
+    """The issue of a lesson's parsed JSON, if there is one."""
+    found = list(_places(value, ""))
     if not found:
         return []
     names = {ord(c): next(name for a, b, name in RANGES if a <= ord(c) <= b) for _, c in found}
@@ -80,12 +73,3 @@ def _described(raw: str | None) -> list[dict]:
         "These usually arrive by pasting from a PDF or a web page; they are invisible when reading the file."
     )
     return [{"path": "", "message": message, "id": "W-INVISIBLE-CHAR", "severity": "warning", "doc_anchor": "author-lints"}]
-
-
-def invisible_issues(raw: Column) -> Column:
-    """The issue of a lesson's raw JSON. Rows that cannot hide anything send null to the walk."""
-
-    def walk(raw: pd.Series) -> pd.Series:
-        return raw.map(_described)
-
-    return pandas_udf(walk, ISSUES)(F.when(may_hide(raw), raw))

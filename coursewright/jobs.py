@@ -1,8 +1,8 @@
 """The operators as jobs: ``spark-submit coursewright/jobs.py lint FOLDER`` and the like.
 
 A job reads a folder, prints its report and exits with 0 or 1; 2 means it could not run. With
---write, files that changed and are valid go to a new folder, --out; what was read is never
-written over.
+--write, files that changed and are valid go to a new folder, --out, as Parquet of path and text, or
+with --files as files at the same places below it; what was read is never written over.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursewright.operators import identity, migrate, mint, reports, wiring
-from coursewright.plans.validate import validate_lessons
+from coursewright.operators import identity, migrate, mint, quality, reports, wiring
+from coursewright.plans.validate import parsed, validate_lessons
 from coursewright.sources import lessons as source
+from coursewright.sources.tree import write_tree
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -29,6 +30,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
         if name != "lint":
             job.add_argument("--write", action="store_true")
             job.add_argument("--out")
+            job.add_argument("--files", action="store_true", help="write files, not Parquet")
     jobs.choices["suggest-wiring"].add_argument("--accept", action="append", default=[])
     job = jobs.add_parser("check-stable-ids")
     job.add_argument("base")
@@ -39,6 +41,10 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     job.add_argument("--manifest", default="manifest.yaml")
     job.add_argument("--baseline", type=int, default=0)
     job.add_argument("--baseline-file", help="a file that holds the number; no such file: --baseline")
+    job = jobs.add_parser("quality")
+    job.add_argument("folder")
+    job.add_argument("--json", action="store_true")
+    job.add_argument("--minimums", help="a JSON file with an object rules; without it the published minimums hold")
     args = parser.parse_args(argv)
     if getattr(args, "write", False) and not args.out:
         parser.error("--write needs --out, a new folder")
@@ -72,6 +78,14 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
     return source.read_raw(spark, folder, "*").withColumn("name", source.relative(F.col("path"), folder))
 
 
+def write_back(rows: DataFrame, args: argparse.Namespace, text: str = "raw") -> None:
+    """The texts at the places where they were read, below --out."""
+    if args.files:
+        write_tree(rows.select(source.relative(F.col("path"), args.folder).alias("path"), F.col(text).alias("raw")), args.out)
+    else:
+        source.write_texts(rows, args.out, text)
+
+
 def lint(spark: SparkSession, args: argparse.Namespace) -> int:
     judged = held(validate_lessons(source.read_raw(spark, args.folder)))
     show_json(judged, "path", "valid", "errors", "warnings") if args.json else show(reports.lint(judged), "path")
@@ -82,7 +96,7 @@ def migration(spark: SparkSession, args: argparse.Namespace) -> int:
     done = held(migrate.migrated_and_valid(source.typed(source.read_raw(spark, args.folder))))
     show_json(done, "path", "valid", "converted", "changes", "errors") if args.json else show(reports.migration(done, args.write), "path")
     if args.write:
-        source.write_texts(done.filter("valid AND converted > 0"), args.out)
+        write_back(done.filter("valid AND converted > 0"), args)
     elif not args.json and not done.filter("converted > 0").isEmpty():
         print(reports.DRY_RUN)
     return reports.failed(done, "valid").first()[0]
@@ -98,7 +112,7 @@ def minting(spark: SparkSession, args: argparse.Namespace) -> int:
         if not args.write:
             print(reports.DRY_RUN)
     if args.write:
-        source.write_texts(done.filter("ok AND minted > 0"), args.out, "new_text")
+        write_back(done.filter("ok AND minted > 0"), args, "new_text")
     return reports.failed(done).first()[0]
 
 
@@ -116,7 +130,7 @@ def suggestions(spark: SparkSession, args: argparse.Namespace) -> int:
     wanted = spark.createDataFrame([(a,) for a in args.accept], "suggestion_id string").distinct()
     wired = wiring.rewired(good, found, wanted)
     again = held(validate_lessons(wired))
-    source.write_texts(again.filter("valid"), args.out)
+    write_back(again.filter("valid"), args)
     lost = [r[0] for r in wiring.unmatched(wanted, found).collect()]  # no more than were given
     for name in lost:
         print(f"ERROR --accept {name} matches no suggestion in any given file - nothing applied for it")
@@ -154,7 +168,27 @@ def coverage(spark: SparkSession, args: argparse.Namespace) -> int:
     return int(not failures.isEmpty())
 
 
-JOBS = {"lint": lint, "migrate": migration, "mint": minting, "suggest-wiring": suggestions, "check-stable-ids": stable_ids, "check-stable-id-coverage": coverage}
+def minimums(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Shortfalls as they are found; the gate reads what was counted meanwhile."""
+    least = quality.read_minimums(spark, args.minimums) if args.minimums else quality.MINIMUMS
+    read = parsed(source.typed(source.read_raw(spark, args.folder)))
+    lessons = read.withColumn("lesson", F.when(F.col("ok_json"), F.col("lesson")))
+    judged, seen = quality.observed(quality.judged(lessons, least), least)
+    rows = held(judged.select("path", "shortfalls"))
+    rows.write.format("noop").mode("overwrite").save()
+    some = rows.filter("shortfalls IS NULL OR size(shortfalls) > 0")
+    if args.json:
+        show_json(some, "path", "shortfalls")
+    else:
+        told = F.transform("shortfalls", lambda s: F.concat(F.lit("  "), s["rule"], F.lit(" at "), s["path"], F.lit(": "), s["found"].cast("string"), F.lit(" of "), s["minimum"].cast("string")))
+        show(some.select("path", F.concat(F.array(F.concat(F.lit("SHORT "), "path")), F.coalesce(told, F.array(F.lit("  cannot be read")))).alias("lines")), "path")
+    ok, lines = quality.gate(seen.get)
+    if not args.json:
+        print("\n".join(lines))
+    return int(not ok)
+
+
+JOBS = {"quality": minimums, "lint": lint, "migrate": migration, "mint": minting, "suggest-wiring": suggestions, "check-stable-ids": stable_ids, "check-stable-id-coverage": coverage}
 
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:

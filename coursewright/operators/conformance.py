@@ -34,6 +34,33 @@ def summary(repos: DataFrame, judged: DataFrame) -> DataFrame:
     return counts.crossJoin(empty).withColumn("ok", ok)  # of one row each
 
 
+def totals(repos: DataFrame, judged: DataFrame) -> DataFrame:
+    """level (corpus, repo, set), repo, set, repos, sets, lessons, parse_errors, invalid, empty_repos, ok: a row for the corpus, each repository and each set.
+
+    From repos (repo), which may have no lessons, and judged (repo, set, ok_json, valid). Lessons are
+    counted by set with map-side combine; one rollup of these counts gives all three levels. A repository
+    without lessons fails, and with it the corpus; a corpus without lessons fails.
+    """
+    counts = judged.groupBy("repo", "set").agg(
+        F.count("*").alias("lessons"), F.count_if(~F.col("ok_json")).alias("parse_errors"), F.count_if(F.col("ok_json") & ~F.col("valid")).alias("invalid")
+    )
+    listed = repos.select("repo").distinct().select("repo", F.lit(None).cast(judged.schema["set"].dataType).alias("set"), *[F.lit(0).cast("long").alias(c) for c in ("lessons", "parse_errors", "invalid")])
+    every = counts.withColumn("has", F.lit(True)).unionByName(listed.withColumn("has", F.lit(False)))
+    by_repo = every.withColumn("real", F.when(F.col("has"), F.col("repo")))
+    rolled = by_repo.rollup("repo", F.struct("set", "has").alias("part")).agg(
+        F.grouping_id().alias("g"),
+        F.count_distinct("real").alias("repos"),
+        F.count_if("has").alias("sets"),
+        *[F.sum(c).alias(c) for c in ("lessons", "parse_errors", "invalid")],
+        F.count_distinct("repo").alias("listed"),
+    )
+    empty = F.col("listed") - F.col("repos")
+    level = F.when(F.col("g") == 3, "corpus").when(F.col("g") == 1, "repo").otherwise("set")
+    ok = (F.col("lessons") > 0) & (F.col("parse_errors") == 0) & (F.col("invalid") == 0) & (empty == 0)
+    shown = rolled.filter("g > 0 OR part.has")
+    return shown.select(level.alias("level"), "repo", F.col("part.set").alias("set"), "repos", "sets", "lessons", "parse_errors", "invalid", empty.alias("empty_repos"), ok.alias("ok"))
+
+
 def exercises_by_type(lessons: DataFrame) -> DataFrame:
     """type, n over all exercises of lessons (lesson)."""
     drills = lessons.select(F.explode("lesson.steps").alias("s")).filter("s.exercise IS NOT NULL").select(F.coalesce("s.exercise.type", F.lit("?")).alias("type"))

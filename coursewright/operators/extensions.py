@@ -35,9 +35,9 @@ def is_number(payload: Column, path: str) -> Column:
 
 
 def is_strings(payload: Column, path: str) -> Column:
-    return is_true(kind_of(payload, path).isin("ARRAY<STRING>", "ARRAY<VOID>") & ((F.coalesce(F.size(get(payload, path, "array<variant>")), F.lit(0)) == 0) | (kind_of(payload, path) == "ARRAY<STRING>"))) & ~is_true(
-        F.exists(get(payload, path, "array<string>"), lambda x: x.isNull())
-    )
+    kind = kind_of(payload, path)
+    whole = F.when(kind == "ARRAY<STRING>", ~F.exists(get(payload, path, "array<string>"), lambda x: x.isNull()))
+    return is_true(whole.when(kind == "ARRAY<VOID>", F.size(get(payload, path, "array<variant>")) == 0))
 
 
 def strings(payload: Column, path: str) -> Column:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.operators import ordering, quality, wiring
+from coursewright.operators import conformance, ordering, quality, wiring
 from coursewright.plans.catalog import query, table
 from coursewright.scratch import folder, shared_dir
 from coursewright.sources.tree import read_tree, write_tree
@@ -144,3 +144,24 @@ def one_set(spark, sf_dir):
     """One set of all parts: its order is found without a window over the set."""
     ids = table(spark, sf_dir, "part").select(F.lit("all").alias("set"), F.concat_ws("-", "p_name", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("position"))
     return ordering.divergence(ids)
+
+
+@query(
+    "q57_totals",
+    """
+WITH d AS (SELECT source AS repo, lang AS "set", text LIKE '%.%' AS ok_json, n_chars >= 100 AS valid, true AS has FROM documents
+  UNION ALL SELECT DISTINCT source || ' (archive)', NULL, true, true, false FROM documents WHERE source < 'src2'),
+g AS (
+  SELECT GROUPING(repo) AS gr, GROUPING("set", has) AS gs, repo, "set", has, count(DISTINCT repo) FILTER (has) AS repos, count(DISTINCT (repo, "set")) FILTER (has) AS sets, count(*) FILTER (has) AS lessons,
+    count(*) FILTER (has AND NOT ok_json) AS parse_errors, count(*) FILTER (has AND ok_json AND NOT valid) AS invalid, count(DISTINCT repo) AS listed
+  FROM d GROUP BY GROUPING SETS ((), (repo), (repo, "set", has)))
+SELECT CASE WHEN gr = 1 THEN 'corpus' WHEN gs > 0 THEN 'repo' ELSE 'set' END AS level, repo, "set", repos, sets, lessons, parse_errors, invalid, listed - repos AS empty_repos,
+  lessons > 0 AND parse_errors = 0 AND invalid = 0 AND listed = repos AS ok
+FROM g WHERE gs > 0 OR has""",
+)
+def corpus_totals(spark, sf_dir):
+    """Sources as repositories, languages as sets; texts without a full stop count as unread, short ones as invalid. Some sources have an archive without lessons."""
+    d = table(spark, sf_dir, "documents")
+    judged = d.select(F.col("source").alias("repo"), F.col("lang").alias("set"), F.col("text").contains(".").alias("ok_json"), (F.col("n_chars") >= 100).alias("valid"))
+    archives = d.filter("source < 'src2'").select(F.concat("source", F.lit(" (archive)")).alias("repo"))
+    return conformance.totals(judged.select("repo").unionByName(archives), judged)

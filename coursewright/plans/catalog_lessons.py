@@ -66,6 +66,11 @@ def part_exercise(k: Column, n: Column) -> Column:
     )
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a few bytes that each become a lesson: one file of them, read by one task, is work for all cores."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def part_lessons(spark, sf_dir) -> DataFrame:
     """k, raw: a lesson of a theory step, a drill and up to two cards for each part."""
     k = F.col("p_partkey")
@@ -84,7 +89,7 @@ def part_lessons(spark, sf_dir) -> DataFrame:
         F.when(n % 3 == 0, F.array(two)).otherwise(F.array(one, two)).alias("cards"),
         F.array(theory, drill).alias("steps"),
     )
-    return table(spark, sf_dir, "part").select(k.alias("k"), F.when(n % 37 == 0, F.lit("{")).otherwise(F.to_json(lesson)).alias("raw"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey")).select(k.alias("k"), F.when(n % 37 == 0, F.lit("{")).otherwise(F.to_json(lesson)).alias("raw"))
 
 
 #: For each part its kind and number, and whether rules can run at all.
@@ -238,7 +243,7 @@ def extension_lessons(spark, sf_dir) -> DataFrame:
     ex = F.struct(F.lit("e1").alias("id"), name.alias("type"), F.lit("Prompt").alias("prompt"), F.lit("@payload@").alias("ext_payload"))
     step = F.struct(F.lit("s1").alias("id"), F.lit("exercise").alias("type"), ex.alias("exercise"))
     lesson = F.struct(said("order-", k).alias("id"), F.lit("T").alias("title"), declared.alias("requires_extensions"), F.array(step).alias("steps"))
-    return table(spark, sf_dir, "orders").select(k.alias("k"), F.replace(F.to_json(lesson), F.lit('"@payload@"'), payload).alias("raw"))
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select(k.alias("k"), F.replace(F.to_json(lesson), F.lit('"@payload@"'), payload).alias("raw"))
 
 
 #: Faults of questions: the first that holds.

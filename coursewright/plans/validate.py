@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.functions.invisible import invisible_issues
 from coursewright.functions.textsem import file_stem, is_true, trimmed
 from coursewright.operators.ordering import ordering_rules
 from coursewright.plans import rules
 from coursewright.plans.rules import issue, none, when
-from coursewright.plans.structural import structural_issues
+from coursewright.plans.structural import structural_and_unseen, structural_issues
 from coursewright.schemas import ISSUES, LESSON
 
 #: The vocabulary of domains and levels.
@@ -60,11 +59,12 @@ def validate_lessons(df: DataFrame, registry: dict | None = None, permissive: bo
     ``registry`` maps (type, major) to a function from an exercise to its issues; ``permissive``
     accepts every declared extension without a check of its payload.
     """
-    read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw"))).withColumn("structure", structural_issues(F.col("raw_json"))).withColumn("unseen", invisible_issues(F.col("raw_json")))
-    read = computed(read, lesson=F.from_json("raw_json", LESSON)).withColumn("ok_json", F.col("structure").isNotNull())
+    read = computed(df, raw=F.col("raw"))  # which may be an expression
+    read = computed(parsed(read), raw_json=F.when(F.col("ok_json"), F.col("raw"))).withColumn("faults", structural_and_unseen(F.col("raw_json")))
+    read = computed(read, lesson=F.from_json("raw_json", LESSON)).withColumn("structure", F.col("faults.structure")).withColumn("unseen", F.col("faults.unseen")).withColumn("ok_json", F.col("structure").isNotNull())
     semantic = rules.lesson_rules(F.col("lesson"), F.col("unseen"), registry, permissive)
     judged = _judged(read, F.when(F.col("ok_json"), F.when(F.size("structure") > 0, F.col("structure")).otherwise(semantic)))
-    return judged.withColumn("valid", is_true(F.col("valid"))).drop("structure", "unseen", "raw_json")
+    return judged.withColumn("valid", is_true(F.col("valid"))).drop("faults", "structure", "unseen", "raw_json")
 
 
 def _strings(v: str, path: str) -> Column:

@@ -127,6 +127,8 @@ class TreeWriter(DataSourceWriter):
         if not {"path", "raw"} <= set(columns):
             raise ValueError("a tree is written from columns path and raw")
         self.root, self.overwrite, self.job = root, overwrite, uuid.uuid4().hex
+        system, base = opened(root)
+        system.create_dir(self.staging(base), recursive=True)
 
     def staging(self, base: str) -> str:
         return posixpath.join(base, STAGING, self.job)
@@ -142,6 +144,8 @@ class TreeWriter(DataSourceWriter):
                 raise ValueError(f"not a path below the root: {path!r}")
             at = posixpath.join(folder, path)
             if (above := posixpath.dirname(at)) not in made:
+                if system.get_file_info(self.staging(base)).type == pafs.FileType.NotFound:
+                    raise RuntimeError("the job has ended without this task")
                 system.create_dir(above, recursive=True)
                 made.add(above)
             with system.open_output_stream(at) as stream:

@@ -93,3 +93,31 @@ def test_the_baseline_of_a_file(spark, tmp_path, capsys):
     code, lines = run(spark, capsys, "check-stable-id-coverage", where, "--baseline-file", str(tmp_path / "odd.txt"))
     assert code == 2 and lines == [f"the baseline in {tmp_path / 'odd.txt'} is not a number"]
     assert run(spark, capsys, "check-stable-id-coverage", where, "--baseline-file", str(tmp_path / "none.txt"), "--baseline", "3")[0] == 1
+
+
+def test_files_are_written_back_as_files(spark, tmp_path, capsys):
+    select = {"type": "cloze", "cloze_mode": "select", "sentence": "das Haus ___", "accept": None, "blanks": [{"accept": ["x"]}], "distractors": ["y"]}
+    lessons = {"1.json": {"id": "l", "title": "T", "cards": CARDS, "steps": [drill(0, **select)]}, "2.json": {"id": "m", "title": "T", "steps": [drill(0)]}}
+    where = tree(tmp_path / "t", lessons)
+    code, _ = run(spark, capsys, "migrate", where, "--write", "--files", "--out", str(tmp_path / "m"))
+    made = {str(p.relative_to(tmp_path / "m")): p.read_text() for p in (tmp_path / "m").rglob("*") if p.is_file()}
+    assert code == 0 and list(made) == ["sets/a/de/lessons/1.json"]  # the other needs no change
+    text = made["sets/a/de/lessons/1.json"]
+    assert text.endswith("}\n") and json.loads(text)["steps"][0]["exercise"]["type"] == "multiple_choice"
+    run(spark, capsys, "mint", where, "--write", "--files", "--out", str(tmp_path / "n"))
+    minted = tmp_path / "n/sets/a/de/lessons/2.json"
+    assert "stable_id" in minted.read_text() and len([p for p in (tmp_path / "n").rglob("*") if p.is_file()]) == 2
+    run(spark, capsys, "suggest-wiring", where, "--write", "--files", "--out", str(tmp_path / "w"), "--accept", "c:x0")
+    assert json.loads((tmp_path / "w/sets/a/de/lessons/1.json").read_text())["steps"][0]["exercise"]["card_ids"] == ["c"]
+
+
+def test_quality_job(spark, tmp_path, capsys):
+    theory = {"id": "t", "type": "theory", "body": "b"}
+    good = {"id": "l", "title": "T", "steps": [theory, *[drill(i, accept=["a", "b"]) for i in range(4)], drill(5, type="matching", pairs=[{"left": x, "right": x} for x in "abc"])]}
+    where = tree(tmp_path / "t", {"1.json": good, "2.json": good | {"steps": [theory]}, "3.json": "{"})
+    code, lines = run(spark, capsys, "quality", where)
+    assert code == 1 and lines[-3:] == ["3 lesson(s), 1 with all minimums, 1 unread", "minExerciseTypes: 1 lesson(s) short", "minExercisesPerLesson: 1 lesson(s) short"]
+    assert lines[0].startswith("SHORT ") and lines[1] == "  minExerciseTypes at /steps: 0 of 2" and "  cannot be read" in lines
+    (tmp_path / "own.json").write_text(json.dumps({"rules": {"minTheorySteps": 1}}))
+    one = tree(tmp_path / "u", {"1.json": good})
+    assert run(spark, capsys, "quality", one, "--minimums", str(tmp_path / "own.json")) == (0, ["1 lesson(s), 1 with all minimums, 0 unread"])

@@ -83,10 +83,16 @@ def test_nothing_is_written_over_or_twice(spark, tmp_path):
     write_tree(rows(spark, 0), str(tmp_path / "none"))
 
 
-def test_a_job_that_fails_leaves_nothing(spark, tmp_path):
+def test_a_job_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
     bad = rows(spark).repartition(4).withColumn("raw", F.when(F.col("path").endswith("/17.json"), F.raise_error(F.lit("lost"))).otherwise(F.col("raw")))
     with pytest.raises(Exception, match="lost"):
         write_tree(bad, str(tmp_path / "t"))
+    late = tree.TreeWriter(str(tmp_path / "u"), ["path", "raw"], False)
+    late.abort([])
+    monkeypatch.setattr(tree.TaskContext, "get", staticmethod(lambda: Context(0, 0)))
+    with pytest.raises(RuntimeError, match="has ended"):  # a task that outlives its job writes no more
+        late.write(iter([{"path": "a/b/c/1.json", "raw": "{}"}]))
+    assert files_of(tmp_path / "u") == {}
     assert files_of(tmp_path / "t") == {}
 
 
