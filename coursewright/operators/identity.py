@@ -44,11 +44,15 @@ def disappeared(base: DataFrame, head: DataFrame, retired: DataFrame) -> DataFra
 
 
 def moved(base: DataFrame, head: DataFrame, order: str = "ord") -> DataFrame:
-    """V3: base elements whose id stands for another kind or type in head, with the first such (now_kind, now_type)."""
-    other = head.groupBy(*KEY, F.col("kind").alias("now_kind"), F.col("type").alias("now_type")).agg(F.min(order).alias("first"))
-    pairs = base.join(other, KEY).filter("kind <> now_kind OR type <> now_type")
-    first = pairs.groupBy(*KEY, "kind", "type").agg(F.min_by(F.struct("now_kind", "now_type"), "first").alias("now"))
-    return base.join(first, [*KEY, "kind", "type"]).select(*base.columns, "now.now_kind", "now.now_type")
+    """V3: base elements whose id stands for another kind or type in head, with the first such (now_kind, now_type).
+
+    What head has of an id is counted down to its kinds and types first, which are few.
+    """
+    kinds = head.groupBy(*KEY, F.col("kind").alias("now_kind"), F.col("type").alias("now_type")).agg(F.min(order).alias("first"))
+    others = kinds.groupBy(*KEY).agg(F.collect_list(F.struct("first", "now_kind", "now_type")).alias("others_"))
+    different = F.filter("others_", lambda o: (F.col("kind") != o["now_kind"]) | (F.col("type") != o["now_type"]))
+    found = base.join(others, KEY).withColumn("now_", F.array_min(different)).filter("now_ IS NOT NULL")
+    return found.select(*base.columns, "now_.now_kind", "now_.now_type")
 
 
 def unretired(base_retired: DataFrame, head_retired: DataFrame) -> DataFrame:

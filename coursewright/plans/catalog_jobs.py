@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.operators import conformance, ordering, quality, wiring
+from coursewright.operators import conformance, identity, ordering, quality, wiring
+from coursewright.plans import catalog
 from coursewright.plans.catalog import query, table
 from coursewright.scratch import folder, shared_dir
+from coursewright.sources.snapshots import open_snapshot, write_snapshot
 from coursewright.sources.tree import read_tree, write_tree
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
@@ -165,3 +167,21 @@ def corpus_totals(spark, sf_dir):
     judged = d.select(F.col("source").alias("repo"), F.col("lang").alias("set"), F.col("text").contains(".").alias("ok_json"), (F.col("n_chars") >= 100).alias("valid"))
     archives = d.filter("source < 'src2'").select(F.concat("source", F.lit(" (archive)")).alias("repo"))
     return conformance.totals(judged.select("repo").unionByName(archives), judged)
+
+
+def stored_snapshots(spark, sf_dir):
+    """The two snapshots of q08b, stored in buckets and opened again."""
+    base, head = catalog.snapshots(spark, sf_dir)
+    root, opened = shared_dir(spark), []
+    for snapshot in (base, head):
+        name = f"snapshot_{uuid.uuid4().hex}"
+        write_snapshot(snapshot, name, root, buckets=8)
+        for part in ("elements", "lessons", "retired"):
+            folder(spark, f"{root.rstrip('/')}/{name}_{part}", lambda fs, at: fs.deleteOnExit(at))
+        opened.append(open_snapshot(spark, name))
+    return opened
+
+
+@query("q08d_stored", catalog.ORACLES["q08b_violations"])
+def stored_violations(spark, sf_dir):
+    return identity.violations(*stored_snapshots(spark, sf_dir)).select("rule", "set", "message")
