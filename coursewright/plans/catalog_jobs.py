@@ -13,6 +13,7 @@ from coursewright.plans.catalog import query, table
 from coursewright.scratch import folder, shared_dir
 from coursewright.sources.snapshots import open_snapshot, write_snapshot
 from coursewright.sources.tree import read_tree, write_tree
+from coursewright.streaming import landing
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
 
@@ -185,3 +186,32 @@ def stored_snapshots(spark, sf_dir):
 @query("q08d_stored", catalog.ORACLES["q08b_violations"])
 def stored_violations(spark, sf_dir):
     return identity.violations(*stored_snapshots(spark, sf_dir)).select("rule", "set", "message")
+
+
+def customer_lessons(spark, sf_dir) -> DataFrame:
+    """name, raw: a lesson for each order, whose card and exercise have the ids of the customer and of the customer's clerk of the day."""
+    o = table(spark, sf_dir, "orders")
+    stable = lambda kind, x: F.concat(F.lit(f"{kind}-"), F.lpad(x.cast("string"), 8, "0"))
+    card = F.struct(F.lit("c").alias("id"), F.lit("f").alias("front"), F.lit("b").alias("back"), stable("customer", F.col("o_custkey")).alias("stable_id"))
+    ex = F.struct(F.lit("x").alias("id"), F.lit("free_text").alias("type"), F.lit("p").alias("prompt"), stable("clerk", F.col("o_custkey") * 7 + F.dayofmonth("o_orderdate")).alias("stable_id"))
+    lesson = F.struct(F.lit("l").alias("id"), F.lit("T").alias("title"), F.array(card).alias("cards"), F.array(F.struct(F.lit("s").alias("id"), F.lit("exercise").alias("type"), ex.alias("exercise"))).alias("steps"))
+    name = F.concat(F.lit("orders/status/"), "o_orderstatus", F.lit("/lessons/"), F.col("o_orderkey").cast("string"), F.lit(".json"))
+    return o.select(name.alias("name"), F.to_json(lesson).alias("raw"))
+
+
+@query(
+    "q59_landed",
+    """
+WITH e AS (
+  SELECT 'orders/status/' || o_orderstatus AS "set", o_orderkey || '.json' AS lesson, 'card' AS kind, 'customer-' || lpad(o_custkey::VARCHAR, 8, '0') AS stable_id FROM orders
+  UNION ALL SELECT 'orders/status/' || o_orderstatus, o_orderkey || '.json', 'exercise', 'clerk-' || lpad((o_custkey * 7 + day(o_orderdate))::VARCHAR, 8, '0') FROM orders)
+SELECT "set", stable_id, count(*) AS n, min(lesson) AS lesson, min(kind) AS kind FROM e GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def landed_ids(spark, sf_dir):
+    """The lessons land in three batches; the state carries an id from one to the next."""
+    root = f"{shared_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    customer_lessons(spark, sf_dir).repartition(3).write.parquet(f"{root}/lessons")
+    folder(spark, root, lambda fs, at: fs.deleteOnExit(at))
+    stream = spark.readStream.schema("name string, raw string").option("maxFilesPerTrigger", 1).parquet(f"{root}/lessons")
+    landing.watch_ids(stream, f"{root}/changes", f"{root}/state").awaitTermination()
+    return landing.repeated_so_far(spark, f"{root}/changes").select("set", "stable_id", "n", "first.lesson", "first.kind")
