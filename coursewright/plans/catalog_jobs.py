@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.operators import conformance, identity, ordering, quality, wiring
+from coursewright.operators import canonical, conformance, identity, ordering, quality, wiring
 from coursewright.plans import catalog
 from coursewright.plans.catalog import query, table
+from coursewright.plans.validate import exploded, validate_lessons
+from coursewright.schemas import SLUG
 from coursewright.scratch import folder, shared_dir
 from coursewright.sources.snapshots import open_snapshot, write_snapshot
 from coursewright.sources.tree import read_tree, write_tree
@@ -215,3 +217,108 @@ def landed_ids(spark, sf_dir):
     stream = spark.readStream.schema("name string, raw string").option("maxFilesPerTrigger", 1).parquet(f"{root}/lessons")
     landing.watch_ids(stream, f"{root}/changes", f"{root}/state").awaitTermination()
     return landing.repeated_so_far(spark, f"{root}/changes").select("set", "stable_id", "n", "first.lesson", "first.kind")
+
+
+def odd_lessons(spark, sf_dir) -> DataFrame:
+    """k, raw: a lesson for each part with the part's texts and numbers, of which some break each kind of structural rule."""
+    k, when = F.col("p_partkey"), F.when
+    ex = F.struct(
+        F.lit("e1").alias("id"),
+        F.lit("picture_choice").alias("type"),
+        when(k % 3 != 0, F.col("p_name")).alias("prompt"),
+        when(k % 17 == 0, F.array_repeat(F.col("p_brand"), 51)).alias("card_ids"),
+        F.array(F.struct(F.col("p_name").alias("label"), when(k % 19 == 0, F.repeat("p_name", F.lit(60))).otherwise(F.col("p_name")).alias("src"))).alias("images"),
+    )
+    step = F.struct(F.lit("s1").alias("id"), when(k % 5 == 0, F.lower("p_type")).otherwise("exercise").alias("type"), ex.alias("exercise"))
+    tag = when(k % 4 == 0, F.col("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("-")))
+    card = F.struct(F.lit("c1").alias("id"), F.col("p_name").alias("front"), F.col("p_brand").alias("back"), (F.col("p_size") % 7).alias("difficulty"), F.array(tag).alias("tags"))
+    lesson = F.struct(
+        when(k % 11 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("part-"), k.cast("string"))).alias("id"),
+        when(k % 7 == 0, "@size@").otherwise(F.col("p_name")).alias("title"),
+        ((F.col("p_size") - 10) * 7).alias("estimated_minutes"),
+        when(k % 23 == 0, F.col("p_type")).alias("extra"),
+        F.array(card).alias("cards"),
+        when(k % 13 == 0, F.array().cast("array<string>")).alias("none"),
+        when(k % 13 != 0, F.array(step)).alias("steps"),
+    )
+    text = F.replace(F.replace(F.to_json(lesson), F.lit('"@size@"'), F.col("p_size").cast("string")), F.lit('"none":'), F.lit('"steps":'))
+    return table(spark, sf_dir, "part").select(k.alias("k"), text.alias("raw"))
+
+
+#: The pattern of ids, as its message has it.
+SLUG_LIKE = f'must match pattern "^{SLUG}$"'
+SCHEMA_KINDS = [
+    ("", "/id", SLUG_LIKE, "k % 11 = 0"),
+    ("", "/title", "must be string", "k % 7 = 0"),
+    ("", "/estimated_minutes", "must be >= 1", "p_size <= 10"),
+    ("", "/estimated_minutes", "must be <= 240", "(p_size - 10) * 7 > 240"),
+    ("", "/", "must NOT have additional properties (extra)", "k % 23 = 0"),
+    ("", "/cards/0/difficulty", "must be >= 1", "p_size % 7 = 0"),
+    ("", "/cards/0/difficulty", "must be <= 5", "p_size % 7 = 6"),
+    ("", "/cards/0/tags/0", SLUG_LIKE, "k % 4 = 0 AND contains(p_name, ' ')"),
+    ("", "/steps", "must NOT have fewer than 1 items", "k % 13 = 0"),
+    ("step", "/steps/0/type", "must be equal to one of the allowed values", "k % 5 = 0"),
+    ("step", "/steps/0/exercise", "must have required property 'prompt'", "k % 3 = 0"),
+    ("step", "/steps/0/exercise/card_ids", "must NOT have more than 50 items", "k % 17 = 0"),
+    ("step", "/steps/0/exercise/images/0/src", "must NOT have more than 500 characters", "k % 19 = 0 AND length(p_name) * 60 > 500"),
+]
+
+
+@query(
+    "q58_schema_kinds",
+    "WITH p AS (SELECT p_partkey AS k, p_name, p_size FROM part) "
+    + " UNION ALL ".join(
+        f"SELECT k, '{'E-UNKNOWN-FIELD' if 'additional' in said else 'E-SCHEMA'}' AS id, '{path}' AS path, '{said.replace(chr(39), chr(39) * 2)}' AS message FROM p WHERE {condition}{' AND k % 13 <> 0' if of else ''}"
+        for of, path, said, condition in SCHEMA_KINDS
+    ),
+)
+def schema_kinds(spark, sf_dir):
+    """Lessons that break the structure have these issues and no others: their rules and lints wait."""
+    issues = exploded(validate_lessons(odd_lessons(spark, sf_dir)), "k", "valid")
+    return issues.filter("id IN ('E-SCHEMA', 'E-UNKNOWN-FIELD')").select("k", "id", "path", "message")
+
+
+@query(
+    "q10b_gate_branches",
+    f"""{catalog.COVERED}, t AS (SELECT count(*) AS total, count_if(covered) AS n, string_agg("set"::VARCHAR, ', ' ORDER BY "set"::VARCHAR) FILTER (NOT covered) AS names FROM c),
+u AS (SELECT count(*) AS total FROM c WHERE covered)
+SELECT 'all' AS run, 'UNDECLARED_RAISE' AS rule, 'coverage ' || n || ' above baseline 0; raise it deliberately' AS message FROM t WHERE n > 0
+UNION ALL SELECT 'all', 'INCOMPLETE', (total - n) || ' listed set(s) carry no complete stable_id coverage: ' || names FROM t WHERE total > n
+UNION ALL SELECT 'covered', 'UNDECLARED_RAISE', 'coverage ' || total || ' above baseline 0; raise it deliberately' FROM u WHERE total > 0
+UNION ALL SELECT 'none', 'NO_SETS', 'the root manifest lists no sets; a run over nothing is never fully covered'""",
+)
+def gate_branches(spark, sf_dir):
+    """All sets, those that are covered, and none, against a baseline of 0."""
+    sets = catalog.covered(spark, sf_dir)
+    runs = {"all": sets, "covered": sets.filter("covered"), "none": sets.filter("set IS NULL AND set IS NOT NULL")}
+    found = [identity.gate(rows, 0).select(F.lit(run).alias("run"), "rule", "message") for run, rows in runs.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    "q61_parse",
+    """
+WITH s AS (SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey)
+SELECT s_suppkey, 'T ' || s_name AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'own' ELSE lower(r_name) END AS target_language, 'en' AS source_language, lower(n_name) AS domain,
+  CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name || '=' || n_name || ' | ' || 'second=last' END AS pairs, s_suppkey % 4 = 0 AS from_cards
+FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
+)
+def parsed_lessons(spark, sf_dir):
+    """The whole of parse_lessons over suppliers' JSON: the set's context, pairs from cards in order (the last of a repeated id, unknown ids left out), a resolver of titles."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    rows = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    card = lambda i, front, back: F.struct(F.lit(i).alias("id"), front.alias("front"), back.alias("back"))
+    cards = F.array(card("a", F.lit("second"), F.lit("first")), card("b", F.col("s_name"), F.col("n_name")), card("a", F.lit("second"), F.lit("last")))
+    kind = F.when(F.col("s_suppkey") % 4 == 0, "free_text").otherwise("matching")
+    ex = F.struct(F.lit("e").alias("id"), kind.alias("type"), F.lit("p").alias("prompt"), F.lit(True).alias("from_cards"), F.array(F.lit("b"), F.lit("nothing"), F.lit("a")).alias("card_ids"))
+    lesson = F.struct(
+        F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 3 == 0, "own").alias("target_language"),
+        cards.alias("cards"), F.array(F.struct(F.lit("s1").alias("id"), F.lit("exercise").alias("type"), ex.alias("exercise"))).alias("steps"),
+    )
+    raw = rows.select("s_suppkey", F.col("n_name").alias("set"), F.to_json(lesson).alias("raw"))
+    entries = nation.select(F.col("n_name").alias("set"), F.lower("r_name").alias("target_language"), F.lit("en").alias("source_language"), F.lower("n_name").alias("domain"))
+    titled = lambda at: at.withField("title", F.concat(F.lit("T "), at["title"]))
+    done = canonical.parse_lessons(raw, entries, resolvers=[titled])
+    first = F.col("lesson.steps")[0]["exercise"]
+    pairs = F.array_join(F.transform(F.coalesce(first["pairs"], F.array()), lambda p: F.concat_ws("=", p["left"], p["right"])), " | ")
+    return done.select("s_suppkey", "lesson.title", "lesson.target_language", "lesson.source_language", "lesson.domain", pairs.alias("pairs"), F.coalesce(first["from_cards"], F.lit(False)).alias("from_cards"))
