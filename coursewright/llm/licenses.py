@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, with DataFrame operations only.
 
 A text is cut into sentences, which may be wrapped over lines with comment leaders; each is
-normalised (lower case, runs of anything but ASCII letters and digits become one blank) and
+normalised (lower case, runs of anything but ASCII letters and digits become one blank, whoever
+holds the rights becomes the holder of the standard text) and
 looked up among known licence sentences. Where it is none, each of its lines is looked up, so
 that one-line notices are found. The identifiers found, in order, are matched against ordered
 rules: a rule holds where its identifiers follow one another among those found. Rules are tried in
@@ -33,6 +34,12 @@ SENTENCES = {
     "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "x11-name": "except as contained in this notice the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium",
     "apache-2-notice": "licensed under the apache license version 2 0",
+    "apache-2-defined": "licensed under the apache license version 2 0 the license",
+    "apache-2-title": "apache license version 2 0 january 2004 http www apache org licenses",
+    "apache-2-title-alone": "apache license version 2 0 january 2004",
+    "apache-2-terms": "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    "apache-2-licensor": "licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license",
+    "apache-2-grant": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
     "apache-2-spdx": "spdx license identifier apache 2 0",
     "apache-2-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache-2-use": "you may not use this file except in compliance with the license",
@@ -54,6 +61,17 @@ SENTENCES = {
     "gpl-received": "you should have received a copy of the gnu general public license along with this program",
     "gpl-title-2": "gnu general public license version 2 june 1991",
     "gpl-title-3": "gnu general public license version 3 29 june 2007",
+    "gpl-verbatim": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "gpl-price": "when we speak of free software we are referring to freedom not price",
+    "gpl-2-preamble": "the licenses for most software are designed to take away your freedom to share and change it",
+    "gpl-3-preamble": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "gpl-3-practical": "the licenses for most software and other practical works are designed to take away your freedom to share and change the works",
+    "agpl-preamble": "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software",
+    "agpl-title": "gnu affero general public license version 3 19 november 2007",
+    "lgpl-title-21": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl-title-3": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl-21-applies": "this license the lesser general public license applies to some specially designated software packages typically libraries of the free software foundation and other authors who decide to use it",
+    "lgpl-3-incorporates": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",
     "lgpl-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
     "lgpl-3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
@@ -66,6 +84,9 @@ SENTENCES = {
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "mpl-copy-https": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-title": "mozilla public license version 2 0",
+    "mpl-contributor": "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software",
+    "mpl-covered": "covered software means source code form to which the initial contributor has attached the notice in exhibit a the executable form of such source code form and modifications of such source code form in each case including portions thereof",
     "mpl-spdx": "spdx license identifier mpl 2 0",
     "epl-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
     "epl-spdx": "spdx license identifier epl 2 0",
@@ -123,22 +144,35 @@ RULES = [
     *[("MIT", True, [x]) for x in ("mit-title", "mit-title-short", "mit-notice", "mit-licensed", "mit-spdx")],
     *[("Apache-2.0", True, [x, y, "apache-2-as-is", "apache-2-see"]) for x in ("apache-2-header", "apache-2-use") for y in ("apache-2-copy", "apache-2-copy-https")],
     *[("Apache-2.0", True, [x, y]) for x in ("apache-2-header", "apache-2-use") for y in ("apache-2-copy", "apache-2-copy-https")],
-    *[("Apache-2.0", True, [x]) for x in ("apache-2-header", "apache-2-notice", "apache-2-spdx")],
+    *[("Apache-2.0", True, [x]) for x in ("apache-2-header", "apache-2-notice", "apache-2-spdx", "apache-2-defined")],
+    ("Apache-2.0", True, ["apache-2-terms", "apache-2-licensor"]),
+    *[("Apache-2.0", True, [x]) for x in ("apache-2-title", "apache-2-title-alone", "apache-2-terms", "apache-2-grant")],
     ("AGPL-3.0", True, ["agpl-free", "gpl-hope", "agpl-see"]),
     ("AGPL-3.0", True, ["agpl-free"]),
     ("AGPL-3.0", True, ["agpl-spdx"]),
+    ("AGPL-3.0", True, ["agpl-title", "gpl-verbatim"]),
+    *[("AGPL-3.0", True, [x]) for x in ("agpl-title", "agpl-preamble")],
+    ("LGPL-2.1", True, ["lgpl-title-21", "gpl-verbatim"]),
+    ("LGPL-3.0", True, ["lgpl-title-3", "gpl-verbatim", "lgpl-3-incorporates"]),
+    *[("LGPL-2.1", True, [x]) for x in ("lgpl-title-21", "lgpl-21-applies")],
+    *[("LGPL-3.0", True, [x]) for x in ("lgpl-title-3", "lgpl-3-incorporates")],
+    ("GPL-3.0", True, ["gpl-title-3", "gpl-verbatim", "gpl-3-preamble", "gpl-3-practical"]),
+    ("GPL-3.0", True, ["gpl-title-3", "gpl-verbatim"]),
+    ("GPL-2.0", True, ["gpl-title-2", "gpl-verbatim", "gpl-2-preamble"]),
+    ("GPL-2.0", True, ["gpl-title-2", "gpl-verbatim"]),
     ("LGPL-3.0", True, ["lgpl-3-free", "lgpl-hope"]),
     ("LGPL-2.1", True, ["lgpl-free", "lgpl-hope"]),
     ("LGPL-3.0", True, ["lgpl-3-spdx"]),
     ("LGPL-2.1", True, ["lgpl-21-spdx"]),
     *[(name, True, [x, "gpl-hope", "gpl-see", "gpl-received"]) for name, x in (("GPL-3.0", "gpl-free"), ("GPL-3.0", "gpl-3-only-free"), ("GPL-2.0", "gpl-2-free"), ("GPL-2.0", "gpl-2-only-free"))],
     *[(name, True, [x, "gpl-hope"]) for name, x in (("GPL-3.0", "gpl-free"), ("GPL-3.0", "gpl-3-only-free"), ("GPL-2.0", "gpl-2-free"), ("GPL-2.0", "gpl-2-only-free"))],
-    *[("GPL-3.0", True, [x]) for x in ("gpl-3-notice", "gpl-3-spdx", "gpl-3-later-spdx", "gpl-title-3")],
-    *[("GPL-2.0", True, [x]) for x in ("gpl-2-spdx", "gpl-2-later-spdx", "gpl-title-2")],
+    *[("GPL-3.0", True, [x]) for x in ("gpl-3-notice", "gpl-3-spdx", "gpl-3-later-spdx", "gpl-title-3", "gpl-3-preamble", "gpl-3-practical")],
+    *[("GPL-2.0", True, [x]) for x in ("gpl-2-spdx", "gpl-2-later-spdx", "gpl-title-2", "gpl-2-preamble")],
     ("MPL-2.0", True, ["mpl-form", "mpl-copy"]),
     ("MPL-2.0", True, ["mpl-form", "mpl-copy-https"]),
     ("MPL-2.0", True, ["mpl-form"]),
     ("MPL-2.0", True, ["mpl-spdx"]),
+    *[("MPL-2.0", True, [x]) for x in ("mpl-title", "mpl-contributor", "mpl-covered")],
     ("EPL-2.0", True, ["epl-terms"]),
     ("EPL-2.0", True, ["epl-spdx"]),
     *[("BSD-4-Clause", True, ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-advertising", x, "bsd-as-is"]) for x in ("bsd-endorse", "bsd-endorse-old")],
@@ -182,10 +216,21 @@ BREAK = rf"\n(?:{EMPTY})+|:[^\S\n]*\n|[.!?]+(?:\s+|\z)"
 BEFORE_URL = rf"\n(?:{EMPTY})+([^\S\n]*[#*/;%-]*[^\S\n]*https?://)"
 CLAUSE = r"(\n[^\S\n]*[#*/;%-]*[^\S\n]*)(?:[0-9]\.|\([0-9a-z]\)|[0-9]\))[^\S\n]+"
 OTHER = "[^a-z0-9]+"
+#: Where a normalised sentence names who holds the rights, and what stands there in SENTENCES.
+HOLDERS = [
+    ("^(this software is provided by) [a-z0-9 ]{1,200} (as is and any express)", r"$1 the copyright holders and contributors $2"),
+    ("^(in no event shall) [a-z0-9 ]{1,200} (be liable for any direct indirect)", r"$1 the copyright holder or contributors $2"),
+    ("^(neither the names? of) [a-z0-9 ]{1,200} (may be used to endorse or promote products derived from)", r"neither the name of the copyright holder nor the names of its contributors $2"),
+    ("^the names? of [a-z0-9 ]{1,200} (may not be used to endorse or promote products derived from)", r"the name of the author $1"),
+    ("^(except as contained in this notice the names?) of [a-z0-9 ]{1,200} (shall not be used in advertising or otherwise) (to promote the sale use or other dealings in this software without prior written authorization) from [a-z0-9 ]{1,200}$", "except as contained in this notice the name of the x consortium $2 $3 from the x consortium"),
+]
 
 
 def normal(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(sentence), OTHER, " "))
+    said = F.btrim(F.regexp_replace(F.lower(sentence), OTHER, " "))
+    for pattern, instead in HOLDERS:
+        said = F.regexp_replace(said, pattern, instead)
+    return said
 
 
 def sentence_ids(text: Column, known: dict[str, str] = SENTENCES) -> Column:
@@ -241,7 +286,13 @@ def query(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     known = ", ".join(f"('{name}', '{sentence}')" for name, sentence in SENTENCES.items())
-    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+    def normal(x: str) -> str:
+        said = f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+        for pattern, instead in HOLDERS:
+            said = f"regexp_replace({said}, '{pattern}', '{instead.replace('$', chr(92))}')"
+        return said
+
     steps = "SELECT doc_id, ids, k, ',' || ids || ',' AS t0 FROM g"
     for i, (_, _, ids) in enumerate(RULES):
         seq = f",{','.join(ids)},"
