@@ -111,11 +111,11 @@ def tree_round_trip(spark, sf_dir):
     return read_back(read_tree(spark, part_tree(spark, sf_dir)))
 
 
-@query("q54b_sets", f"SELECT * FROM ({PART_FILES}) WHERE \"set\" IN ('parts/economy/brand-1', 'parts/promo/brand-7', 'parts/none/none')")
+@query("q54b_sets", f"SELECT * FROM ({PART_FILES}) WHERE \"set\" IN ('parts/economy/Brand-2', 'parts/economy/Brand-17', 'parts/none/none')")
 def sets_of_a_tree(spark, sf_dir):
     """Two sets of the tree (and one that isn't there): only their folders are opened."""
     every = read_tree(spark, part_tree(spark, sf_dir))
-    return read_back(every.filter(F.col("set").isin("parts/economy/brand-1", "parts/promo/brand-7", "parts/none/none")))
+    return read_back(every.filter(F.col("set").isin("parts/economy/Brand-2", "parts/economy/Brand-17", "parts/none/none")))
 
 
 @query(
