@@ -90,11 +90,19 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches of BATCH_BYTES, unless the session has a size of its own (Spark's is 64 MB)."""
+    """mapInArrow with batches of BATCH_BYTES, unless the session has a size of its own (Spark's is 64 MB).
+
+    A worker that waits for the next task gives back what Arrow holds for no array.
+    """
     conf = df.sparkSession.conf
     if conf.get(BATCH_SIZE, UNSET) == UNSET:
         conf.set(BATCH_SIZE, str(BATCH_BYTES))
-    return df.mapInArrow(work, schema)
+
+    def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(then_release, schema)
 
 
 #: Bits of a filter by key (2 MB), and of one of its parts, which is what Spark's bitmap functions make.
