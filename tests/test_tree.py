@@ -96,6 +96,32 @@ def test_a_job_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
     assert files_of(tmp_path / "t") == {}
 
 
+def test_the_driver_names_no_files_of_a_large_tree(spark, tmp_path, monkeypatch):
+    write_tree(rows(spark), str(tmp_path / "t"))
+    reader = tree.TreeReader(str(tmp_path / "t"), ".json", None)
+    names = sorted(p for part in reader.partitions() for p in part.paths)
+    monkeypatch.setattr(tree, "NAMED", 10)
+    monkeypatch.setattr(tree, "PART_FILES", 6)
+    parts = reader.partitions()
+    assert {type(p) for p in parts} == {tree.Share} and len(parts) == 9  # 14, 13 and 13 files
+    assert sorted(r[2] for p in parts for r in reader.read(p)) == names and len(names) == 40
+    list(reader.pushFilters([tree.EqualTo(("set",), "content/sets/1")]))
+    assert sorted(r[2] for p in reader.partitions() for r in reader.read(p)) == [n for n in names if n.startswith("content/sets/1/")]
+    monkeypatch.setattr(tree.TaskContext, "get", staticmethod(lambda: Context(0, 0)))
+    said = tree.TreeWriter(str(tmp_path / "u"), ["path", "raw"], False).write({"path": f"a/b/c/{i}.json", "raw": "{}"} for i in range(50))
+    assert ".json" not in str(said)
+
+
+def test_one_path_of_two_tasks_is_seen_before_any_file_moves(tmp_path, monkeypatch):
+    writer, done = tree.TreeWriter(str(tmp_path), ["path", "raw"], False), []
+    for part, names in enumerate((["a-b", "a", "c"], ["b", "a", "a0"])):
+        monkeypatch.setattr(tree.TaskContext, "get", staticmethod(lambda part=part: Context(part, part)))
+        done.append(writer.write({"path": f"x/{n}/1.json", "raw": n} for n in names))
+    with pytest.raises(ValueError, match="written twice: ..x/a/1.json"):
+        writer.commit(done)
+    assert files_of(tmp_path) == {}
+
+
 class Context:
     def __init__(self, part, attempt):
         self.part, self.attempt = part, attempt
