@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from coursewright.operators import canonical, conformance, identity, migrate, mint, ordering, reports, wiring
 from coursewright.plans import rules, structural
-from coursewright.plans.catalog import query, table
+from coursewright.plans.catalog import dealt, query, table
 from coursewright.plans.catalog_lessons import TEXTS, part_lessons, said
-from coursewright.plans.validate import validate_lessons
+from coursewright.plans.validate import computed, validate_lessons
 from coursewright.schemas import LESSON, MANIFEST
+from coursewright.scratch import stored
 from coursewright.sources import lessons as files_of
 from coursewright.sources import manifests as yaml_of
 from coursewright.sources import qti
@@ -305,7 +306,7 @@ def yaml_manifests(spark, sf_dir):
     text = F.concat(
         F.lit("# a manifest\nname: "), F.col("c_name"), F.lit('\nmetadata:\n  flag: true\nsets:\n  - id: a\n    title: >-\n      some\n      title\n    version: "1.10"\n    language: no\n    lesson_count: '), (k % 100).cast("string"), F.when(k % 5 == 0, "\n  tags: [").otherwise("\n")
     )
-    found = yaml_of.manifests(table(spark, sf_dir, "customer").select(k.cast("string").alias("path"), text.alias("raw")))
+    found = yaml_of.manifests(dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(k.cast("string").alias("path"), text.alias("raw")))
     first = F.element_at("manifest.sets", 1)
     return found.select(F.col("path").cast("long").alias("k"), F.col("manifest.name").alias("name"), first["version"].alias("version"), first["language"].alias("language"), first["lesson_count"].alias("lessons"), F.expr("try_variant_get(manifest.metadata, '$.flag', 'boolean')").alias("flag"), F.col("error").isNotNull().alias("failed"))
 

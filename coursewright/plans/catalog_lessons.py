@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from coursewright.operators import canonical, migrate, ordering, wiring
 from coursewright.operators.extensions import REGISTRY, grade_categorization, grade_error_correction, grade_quiz, grade_reading, grade_text, render
 from coursewright.plans import rules
-from coursewright.plans.catalog import query, table
-from coursewright.plans.validate import exploded, validate_lessons, validate_manifests
+from coursewright.plans.catalog import dealt, query, table
+from coursewright.plans.validate import computed, exploded, validate_lessons, validate_manifests
 from coursewright.schemas import LESSON
 
 TEXTS = "array<string>"
@@ -66,11 +66,6 @@ def part_exercise(k: Column, n: Column) -> Column:
     )
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of a few bytes that each become a lesson: one file of them, read by one task, is work for all cores."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-
-
 def part_lessons(spark, sf_dir) -> DataFrame:
     """k, raw: a lesson of a theory step, a drill and up to two cards for each part."""
     k = F.col("p_partkey")
