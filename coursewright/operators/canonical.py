@@ -70,8 +70,8 @@ def inject_context(lessons: DataFrame, entries: DataFrame, key: str = "set") ->
 def pairs_from_cards(ids: Column, cards: Column) -> Column:
     """(left, right) of the named cards in the order of the ids; unknown ids are skipped, of cards with one id the last counts."""
     of = lambda i: F.filter(cards, lambda c: c["id"] == i)
-    known = F.filter(array_of(ids), lambda i: F.size(of(i)) > 0)
-    return F.transform(known, lambda i: F.struct(F.element_at(of(i), -1)["front"].alias("left"), F.element_at(of(i), -1)["back"].alias("right")))
+    found = F.filter(F.transform(array_of(ids), lambda i: F.slice(F.reverse(of(i)), 1, 1)), lambda c: F.size(c) > 0)
+    return F.transform(found, lambda c: F.struct(c[0]["front"].alias("left"), c[0]["back"].alias("right")))
 
 
 def resolve_from_cards(lesson: Column) -> Column:

@@ -355,7 +355,8 @@ def from_cards(spark, sf_dir):
     lessons = rows.groupBy("l_orderkey").agg(F.transform(F.sort_array(refs), lambda r: r["id"]).alias("card_ids"), cards.alias("cards"))
     ex = F.struct(F.lit("e").alias("id"), F.lit("matching").alias("type"), F.lit(True).alias("from_cards"), "card_ids")
     lesson = typed(F.struct("cards", F.array(F.struct(F.lit("exercise").alias("type"), ex.alias("exercise"))).alias("steps")), LESSON)
-    done = lessons.filter(F.size("cards") > 0).select("l_orderkey", canonical.resolve_from_cards(lesson).alias("lesson"))
+    made = validate.computed(lessons.filter(F.size("cards") > 0), lesson=lesson)
+    done = validate.computed(made, lesson=canonical.resolve_from_cards(F.col("lesson")))
     pairs = F.element_at("lesson.steps", 1)["exercise"]["pairs"]
     return done.select("l_orderkey", F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["left"], p["right"])), ", ").alias("pairs"))
 
