@@ -212,9 +212,10 @@ SELECT "set", stable_id, count(*) AS n, min(lesson) AS lesson, min(kind) AS kind
 def landed_ids(spark, sf_dir):
     """The lessons land in three batches; the state carries an id from one to the next."""
     root = f"{shared_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
-    customer_lessons(spark, sf_dir).repartition(3).write.parquet(f"{root}/lessons")
+    tasks = spark.sparkContext.defaultParallelism  # of each batch
+    customer_lessons(spark, sf_dir).repartition(3 * tasks).write.parquet(f"{root}/lessons")
     folder(spark, root, lambda fs, at: fs.deleteOnExit(at))
-    stream = spark.readStream.schema("name string, raw string").option("maxFilesPerTrigger", 1).parquet(f"{root}/lessons")
+    stream = spark.readStream.schema("name string, raw string").option("maxFilesPerTrigger", tasks).parquet(f"{root}/lessons")
     landing.watch_ids(stream, f"{root}/changes", f"{root}/state").awaitTermination()
     return landing.repeated_so_far(spark, f"{root}/changes").select("set", "stable_id", "n", "first.lesson", "first.kind")
 

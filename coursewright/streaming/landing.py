@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from coursewright.operators.identity import KEY
 from coursewright.plans.rules import stable_elements
-from coursewright.plans.validate import exploded, validate_lessons
+from coursewright.plans.validate import computed, exploded, validate_lessons
 from coursewright.schemas import LESSON
 from coursewright.sources.lessons import file_of, set_of
 
@@ -34,8 +34,8 @@ def repeated_ids(files: DataFrame) -> DataFrame:
 
     A name is a path whose first three components are the set. Lessons that aren't JSON have no ids.
     """
-    lesson = F.when(F.json_object_keys("raw").isNotNull(), F.from_json("raw", LESSON)).alias("lesson")
-    rows = files.select(set_of(F.col("name")).alias("set"), file_of(F.col("name")).alias("file"), lesson)
+    lesson = F.when(F.json_object_keys("raw").isNotNull(), F.from_json("raw", LESSON))
+    rows = computed(files.select("raw", set_of(F.col("name")).alias("set"), file_of(F.col("name")).alias("file")), lesson=lesson)
     each = rows.select("set", "file", F.explode(stable_elements(F.col("lesson"))).alias("e")).select(
         "set", F.col("e.stable_id").alias("stable_id"), F.struct(F.col("file").alias("lesson"), F.col("e.kind").alias("kind"), F.col("e.element").alias("element")).alias("place")
     )
