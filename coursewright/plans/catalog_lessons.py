@@ -331,7 +331,8 @@ def graded_exercises(spark, sf_dir) -> DataFrame:
     ft = F.struct(F.lit("f").alias("prompt"), F.lit("free_text").alias("type"), F.lit(None).cast("array<struct<text string, correct boolean>>").alias("options"), F.array(F.col("c_mktsegment")).alias("accept"), F.lit(2).alias("points"), F.lit(False).alias("partial_credit"))
     asked = F.struct(F.lit("text").alias("passage"), F.array(mc(k % 2 == 0, k % 3 + 1), ft).alias("questions"), F.when(k % 5 > 0, 60).alias("pass_threshold"))
     as_ex = lambda payload: F.struct(F.parse_json(F.to_json(payload)).alias("ext_payload"))
-    return table(spark, sf_dir, "customer").select(k.alias("k"), "c_name", "c_mktsegment", as_ex(cats).alias("cats"), as_ex(fix).alias("fix"), as_ex(heard).alias("heard"), as_ex(asked).alias("asked"))
+    customers = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    return computed(customers.withColumn("k", k), cats=as_ex(cats), fix=as_ex(fix), heard=as_ex(heard), asked=as_ex(asked))
 
 
 @query(
