@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from coursewright.functions.textsem import falsy
 from coursewright.operators.rewrite import edit, rewritten
 from coursewright.plans.rules import array_of, unused_cards
+from coursewright.plans.validate import computed
 
 NO_MATCH = "no verbatim match in any exercise text field"
 
@@ -158,11 +159,9 @@ def suggest(lessons: DataFrame) -> DataFrame:
         return found
 
     rows = lessons.select("path", F.posexplode(unused_cards(F.col("lesson"))).alias("ord", "card_id"), cards.alias("cards"), exercises.alias("exercises"))
-    rows = rows.withColumn("card", F.element_at(F.filter("cards", lambda c: c["id"] == F.col("card_id")), -1))
-    rows = rows.withColumn(
-        "found",
-        F.filter(F.transform("exercises", lambda e: F.struct(e["id"].alias("exercise_id"), evidence(F.col("card"), e).alias("evidence"))), lambda f: F.size(f["evidence"]) > 0),
-    )
+    rows = computed(rows, card=F.element_at(F.filter("cards", lambda c: c["id"] == F.col("card_id")), -1))
+    found = F.transform("exercises", lambda e: F.struct(e["id"].alias("exercise_id"), evidence(F.col("card"), e).alias("evidence")))
+    rows = computed(rows, found=F.filter(found, lambda f: F.size(f["evidence"]) > 0))
     n = F.size("found")
     only = F.col("found")[0]
     return rows.select(

@@ -33,7 +33,8 @@ def wiring_lessons(spark, sf_dir) -> DataFrame:
         step("e3", prompt=F.lit("r"), tiles=F.when(k % 5 == 0, F.array(F.lit("one"), F.lit("gamma now")))),
     )
     cards = F.array(card("c1", name, F.lit("beta")), card("c2", F.lit("gamma"), F.lit("delta")), card("c3", F.lit("used"), F.lit("card")))
-    return table(spark, sf_dir, "customer").select(k.alias("k"), k.cast("string").alias("path"), typed(F.struct(cards.alias("cards"), steps.alias("steps"))).alias("lesson"))
+    customers = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("*", k.alias("k"), k.cast("string").alias("path"))
+    return computed(customers, lesson=typed(F.struct(cards.alias("cards"), steps.alias("steps")))).select("k", "path", "lesson")
 
 
 SUGGESTED = """
