@@ -91,7 +91,9 @@ def keyed_containment(cards: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 #: Cards and bytes of cards that one automaton holds.
-SLICE_CARDS, SLICE_BYTES = 200_000, 4 << 20
+SLICE_CARDS, SLICE_BYTES = 50_000, 1 << 20
+#: Hits that a task holds at a time.
+HITS = 100_000
 
 
 def contained_short(cards: DataFrame, quotes: DataFrame, n_cards: int, n_bytes: int) -> DataFrame:
@@ -116,16 +118,21 @@ def contained_short(cards: DataFrame, quotes: DataFrame, n_cards: int, n_bytes:
             automaton.make_automaton()
             for batch in batches:
                 rows, said = [], []
-                for i, quote in enumerate(batch.column("quote").to_pylist()):
-                    if quote and held.value:
-                        inside = {text for _, text in automaton.iter(quote)}
+                told = lambda batch, said, rows: pa.RecordBatch.from_arrays([pa.array(said, pa.string()), batch.column("exercise_id").take(pa.array(rows, pa.int64()))], ["text", "exercise_id"])
+                for i, quote in enumerate(batch.column("quote")):
+                    if held.value and (text := quote.as_py()):
+                        inside = {text for _, text in automaton.iter(text)}
                         rows += [i] * len(inside)
                         said += inside
-                yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), batch.column("exercise_id").take(pa.array(rows, pa.int64()))], ["text", "exercise_id"])
+                    if len(rows) >= HITS:
+                        yield told(batch, said, rows)
+                        rows, said = [], []
+                yield told(batch, said, rows)
 
         hits = hits.unionByName(quotes.select("exercise_id", "quote").mapInArrow(found, hits.schema))
-    per = hits.groupBy("text", "exercise_id").agg(F.count("*").alias("hits"))
-    return cards.select("card_id", "text").join(per, "text").groupBy("card_id", "exercise_id").agg(F.sum("hits").alias("hits"))
+    # hits of one exercise meet before they are counted: a task that reads quotes has hardly two of a kind, and would hold all of its own
+    of_cards = cards.select("card_id", "text").join(hits, "text").repartition("exercise_id")
+    return of_cards.groupBy("card_id", "exercise_id").agg(F.count("*").alias("hits"))
 
 
 def verdicts(cards: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
