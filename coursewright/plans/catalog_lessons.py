@@ -175,7 +175,7 @@ def manifests(spark, sf_dir) -> DataFrame:
     raw = F.to_json(whole)
     # a retirement list of the wrong type
     raw = F.when(k % 13 == 0, F.regexp_replace(F.to_json(whole.withField("metadata", meta.withField("retired_ids", F.array(F.lit("@"))))), '"@"', "7")).otherwise(raw)
-    return table(spark, sf_dir, "customer").select(k.alias("k"), raw.alias("raw"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select(k.alias("k"), raw.alias("raw"))
 
 
 MANIFEST_RULES = [

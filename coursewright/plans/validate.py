@@ -73,8 +73,9 @@ def _strings(v: str, path: str) -> Column:
 
 def validate_manifests(df: DataFrame) -> DataFrame:
     """Rows with ``raw`` JSON of a manifest (see sources.manifests for YAML)."""
-    read = parsed(df).withColumn("raw_json", F.when(F.col("ok_json"), F.col("raw"))).withColumn("structure", structural_issues(F.col("raw_json"), manifest=True)).withColumn("ok_json", F.col("structure").isNotNull())
-    read = read.withColumn("v", F.expr("try_parse_json(raw_json)"))
+    read = computed(parsed(computed(df, raw=F.col("raw"))), raw_json=F.when(F.col("ok_json"), F.col("raw")))
+    read = read.withColumn("structure", structural_issues(F.col("raw_json"), manifest=True)).withColumn("ok_json", F.col("structure").isNotNull())
+    read = computed(read, v=F.expr("try_parse_json(raw_json)"))
     listed = "schema_of_variant(variant_get(v, '$.metadata.retired_ids')) LIKE 'ARRAY%'"
     retired = _strings("v", "$.metadata.retired_ids")
     size = F.expr("size(try_variant_get(v, '$.metadata.retired_ids', 'array<variant>'))")
@@ -85,6 +86,7 @@ def validate_manifests(df: DataFrame) -> DataFrame:
         .withColumn("lesson_ids", F.transform(_strings("v", "$.metadata.lessons"), file_stem))
         .withColumn("sets", F.from_json(F.get_json_object("raw_json", "$.sets"), "array<struct<domain string, level string>>"))
     )
+    read = computed(read, **{name: F.col(name) for name in ("retired", "retired_ok", "lesson_ids", "sets", "structure")})
     wrong_type = issue(
         "E-RETIRED-IDS-TYPE",
         "/metadata/retired_ids",
