@@ -194,7 +194,7 @@ def order_issues(spark, sf_dir) -> DataFrame:
     """l_orderkey, ex, i: an exercise that matches the names of an order's parts with their brands, and each of its issues."""
     pairs = order_pairs(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("p_name").alias("left"), F.col("p_brand").alias("right"))).alias("pairs"))
     ex = F.struct("pairs", F.lit(False).alias("from_cards"), F.array().cast("array<string>").alias("card_ids"))
-    judged = pairs.select("l_orderkey", ex.alias("ex"))
+    judged = validate.computed(pairs, ex=ex).select("l_orderkey", "ex")
     return judged.select("l_orderkey", "ex", F.explode(rules.matching(F.col("ex"), F.lit("/exercise"))).alias("i"))
 
 

@@ -38,15 +38,19 @@ def first_of(condition: Column, issues: Column, otherwise: Column) -> Column:
     return F.when(is_true(condition), issues).otherwise(otherwise)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, however often the body names it, within lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def array_of(x: Column, kind: str = "array<string>") -> Column:
     return F.coalesce(x, F.array().cast(kind))
 
 
 def matching(ex: Column, path: Column) -> Column:
     pairs, anchor = ex["pairs"], "matching"
-    keys = F.transform(pairs, lambda p: folded(p["left"]))
-    places = lambda key: F.filter(F.transform(keys, lambda k, i: F.when(k == key, i + 1)), lambda i: i.isNotNull())
-    groups = F.transform(F.array_distinct(keys), places)
+    places = lambda keys, key: F.filter(F.transform(keys, lambda k, i: F.when(k == key, i + 1)), lambda i: i.isNotNull())
+    groups = let(F.transform(pairs, lambda p: folded(p["left"])), lambda keys: F.transform(F.array_distinct(keys), lambda key: places(keys, key)))
     repeated = F.filter(groups, lambda g: F.size(g) > 1)
     dup_left = F.transform(
         repeated,
