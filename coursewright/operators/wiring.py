@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +56,71 @@ def containment(cards: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFra
 RUN = 4
 
 
-def runs_of_words(words: Column, n: int) -> Column:
-    """Hashes of all n words in a row, from shifted copies of the words: no step looks at more than n of them."""
-    shifted = [F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"w{k}") for k in range(n)]
-    whole = F.filter(F.arrays_zip(*shifted), lambda z: z[f"w{n - 1}"].isNotNull())
-    return F.transform(whole, lambda z: F.xxhash64(F.lit(n), *[z[f"w{k}"] for k in range(n)]))
+#: Bits of the table that keeps the runs that no card has out of the join.
+RUN_BITS, PART_BITS = 1 << 24, 1 << 15
+_BASE, _M1, _M2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n - 1 of an odd base modulo 2^64, and of its inverse."""
+    of = lambda base: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64)
+    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _M1
+    h = (h ^ (h >> np.uint64(27))) * _M2
+    return h ^ (h >> np.uint64(31))
+
+
+_BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+
+
+def runs_of_words(said: bytes, lengths: list[int]) -> np.ndarray:
+    """Hashes of all runs of so many words (what stands between blanks) of a text in UTF-8, each once."""
+    raw = np.frombuffer(said, np.uint8)
+    up, down = _powers(1 << (len(raw) + 1).bit_length())
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)]
+    blanks = np.flatnonzero(raw == 32)
+    start, end = np.r_[0, blanks + 1], np.r_[blanks, len(raw)]
+    out = [np.zeros(0, np.uint64)]
+    for n in lengths:
+        first = start[: max(0, len(start) - n + 1)]
+        out.append(_mix((sums[end[n - 1 :]] - sums[first]) * down[first] + np.uint64(n)))
+    return np.unique(np.concatenate(out))
+
+
+def keys_of(rows: DataFrame, key: str, text: str, runs: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """(key column, key) for the hashes that ``runs`` finds in each text. A task holds those of one batch of texts at most HITS of them at a time."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda ids, at, found: pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(at, [len(f) for f in found]).astype(np.int64))), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], [key, "key"])
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            at, found, held = [], [], 0
+            for i in range(len(texts)):
+                if texts[i].is_valid and len(one := runs(texts[i].as_buffer().to_pybytes())):
+                    at.append(i)
+                    found.append(one)
+                    held += len(one)
+                if held >= HITS:
+                    yield told(ids, at, found)
+                    at, found, held = [], [], 0
+            yield told(ids, at, found)
+
+    return rows.select(key, text).mapInArrow(work, f"{key} {kind}, key long")
+
+
+def run_bits(wanted: DataFrame) -> np.ndarray:
+    """A bit for each key by its low bits, as bytes on the driver: of a fixed size however many keys there are."""
+    at = F.pmod("key", F.lit(RUN_BITS)) + 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # RUN_BITS / PART_BITS at most
+    whole = np.zeros(RUN_BITS // 8, np.uint8)
+    for r in parts:
+        whole[(r["part"] - 1) * PART_BITS // 8 : r["part"] * PART_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return whole
 
 
 def keyed_containment(cards: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -77,13 +139,20 @@ def keyed_containment(cards: DataFrame, quotes: DataFrame) -> DataFrame:
     some, lengths = every.filter("n > 0"), sorted(set(counts) - {0})
     if not lengths:
         return short
-    none = F.array().cast("array<bigint>")
-    keys, of_quote = none, []
-    for n in lengths:
-        keys = F.when(F.col("n") == n, F.array_distinct(runs_of_words(F.col("inner"), n))).otherwise(keys)
-        of_quote.append(runs_of_words(words(F.col("quote")), n))
-    wanted = some.select("card_id", F.explode(keys).alias("key"))
-    found = quotes.select("exercise_id", F.explode(F.array_distinct(F.concat(none, *of_quote))).alias("key")).join(wanted.select("key").distinct(), "key").distinct()
+
+    def of_card(text: bytes) -> np.ndarray:
+        inner = text.split(b" ")[1:-1]
+        return runs_of_words(b" ".join(inner), [min(len(inner), RUN)])
+
+    wanted = keys_of(some, "card_id", "text", of_card)
+    bits = quotes.sparkSession.sparkContext.broadcast(run_bits(wanted))
+
+    def of_quote(text: bytes) -> np.ndarray:
+        keys = runs_of_words(text, lengths)
+        at = keys & np.uint64(RUN_BITS - 1)
+        return keys[(bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+
+    found = keys_of(quotes, "exercise_id", "quote", of_quote).join(wanted.select("key").distinct(), "key").distinct()
     rarest = wanted.join(found.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("card_id").agg(F.min_by("key", F.coalesce("n", F.lit(0))).alias("key"))
     pairs = rarest.join(found, "key").select("card_id", "exercise_id").distinct()
     tested = pairs.join(cards.select("card_id", "text"), "card_id").join(quotes.select("exercise_id", "quote"), "exercise_id").filter(F.col("quote").contains(F.col("text")))
