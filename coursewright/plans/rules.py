@@ -220,13 +220,16 @@ def extension(ex: Column, path: Column, declared: Column, registry: dict, permis
     """Declared, then supported, then what the extension itself finds."""
     kind = ex["type"]
     own = F.filter(declared, lambda d: d["type"] == kind)
-    major = F.when(F.size(own) > 0, F.element_at(own, -1)["major"])
     undeclared = issue("E-EXT-UNDECLARED", path, F.concat(F.lit("exercise uses extension type '"), kind, F.lit("' but the lesson does not declare it in 'requires_extensions'")), "extensions")
-    unsupported = issue("E-EXT-UNSUPPORTED", path, F.concat(F.lit("no registered extension for '"), kind, F.lit("@"), major.cast("string"), F.lit("'; the consumer cannot render this lesson")), "extensions")
-    found = none() if permissive else F.array(unsupported).cast(ISSUES)
-    for (name, version), validate in registry.items():
-        found = F.when((kind == name) & (major == version), validate(ex).cast(ISSUES)).otherwise(found)
-    return F.when(major.isNull(), F.array(undeclared).cast(ISSUES)).otherwise(found)
+
+    def judged(major: Column) -> Column:
+        unsupported = issue("E-EXT-UNSUPPORTED", path, F.concat(F.lit("no registered extension for '"), kind, F.lit("@"), major.cast("string"), F.lit("'; the consumer cannot render this lesson")), "extensions")
+        found = none() if permissive else F.array(unsupported).cast(ISSUES)
+        for (name, version), validate in registry.items():
+            found = F.when((kind == name) & (major == version), validate(ex).cast(ISSUES)).otherwise(found)
+        return F.when(major.isNull(), F.array(undeclared).cast(ISSUES)).otherwise(found)
+
+    return let(F.try_element_at(own, F.lit(-1))["major"], judged)
 
 
 def exercise(ex: Column, path: Column, known: Column, declared: Column, registry: dict, permissive: bool = False) -> Column:
@@ -303,9 +306,9 @@ def stable_id_duplicates(lesson: Column) -> Column:
     ).cast(ISSUES)
 
 
-def lesson_rules(lesson: Column, invisible: Column, registry: dict | None = None, permissive: bool = False) -> Column:
-    """All semantic issues of a lesson, in order. ``invisible`` holds the issues of the walk over all its strings."""
-    known, declared = card_ids(lesson), required_majors(lesson)
+def lesson_rules(lesson: Column, invisible: Column, registry: dict | None = None, permissive: bool = False, declared: Column | None = None) -> Column:
+    """All semantic issues of a lesson, in order. ``invisible`` holds the issues of the walk over all its strings, ``declared`` its ``required_majors`` where they are computed already."""
+    known, declared = card_ids(lesson), required_majors(lesson) if declared is None else declared
     steps = F.transform(
         F.coalesce(lesson["steps"], F.array()), lambda s, i: step(s, F.concat(F.lit("/steps/"), i.cast("string")), known, declared, registry or {}, permissive)
     )

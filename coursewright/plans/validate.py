@@ -62,9 +62,10 @@ def validate_lessons(df: DataFrame, registry: dict | None = None, permissive: bo
     read = computed(df, raw=F.col("raw"))  # which may be an expression
     read = computed(parsed(read), raw_json=F.when(F.col("ok_json"), F.col("raw"))).withColumn("faults", structural_and_unseen(F.col("raw_json")))
     read = computed(read, lesson=F.from_json("raw_json", LESSON)).withColumn("structure", F.col("faults.structure")).withColumn("unseen", F.col("faults.unseen")).withColumn("ok_json", F.col("structure").isNotNull())
-    semantic = rules.lesson_rules(F.col("lesson"), F.col("unseen"), registry, permissive)
+    read = computed(read, declared_=rules.required_majors(F.col("lesson")))
+    semantic = rules.lesson_rules(F.col("lesson"), F.col("unseen"), registry, permissive, F.col("declared_"))
     judged = _judged(read, F.when(F.col("ok_json"), F.when(F.size("structure") > 0, F.col("structure")).otherwise(semantic)))
-    return judged.withColumn("valid", is_true(F.col("valid"))).drop("faults", "structure", "unseen", "raw_json")
+    return judged.withColumn("valid", is_true(F.col("valid"))).drop("faults", "structure", "unseen", "raw_json", "declared_")
 
 
 def _strings(v: str, path: str) -> Column:
